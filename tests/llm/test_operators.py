@@ -241,8 +241,7 @@ def edit_distance(a, b):
 
 
 def test_lines(spark):
-    long = "the quick brown fox jumps over the lazy dog and runs far away from all of the other animals that live in the wood "
-    base = (long * 6).strip()
+    base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}{'xyz'[i % 3]}" for i in range(140)) + " the lazy fox"
     texts = ["alpha beta gamma delta epsilon\n" + base, "ALPHA  beta gamma delta epsilon \nshort\nshort", base.replace("lazy", "lasy", 1), base + " end\n\nsomething else entirely here now", "x " * 40000, None, "", "unlike any other line of these\nshort"] + [base.replace("fox", w, 1) for w in ("fax", "fix", "fux", "fog", "for")]
     docs = spark.createDataFrame([(i, t, len(t or ""), "k") for i, t in enumerate(texts)] + [(7, texts[7], 1, "k"), (None, "alpha beta gamma delta epsilon", 1, "k")], "doc_id long, text string, n_chars long, key string")
     lines = []
@@ -252,7 +251,7 @@ def test_lines(spark):
                 lines.append((r.doc_id, pos, norm))
 
     def fp(norm):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(norm.split(" "))]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     distinct = sorted({x for *_, x in lines})
