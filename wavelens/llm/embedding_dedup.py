@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
-from .pairing import Union, block_pairs
+from .pairing import Union, block_pairs, sides
 
 CELL_ROWS = 4096
 MAX_CELLS = 1024
@@ -116,21 +116,18 @@ def _links(rows: DataFrame, dim: int, threshold: float, cell_rows: int, sample:
     groups = block_pairs(dealt, "rep", BLOCK)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        x, y = int(pdf.x.iloc[0]), int(pdf.y.iloc[0])
-        v, mult, rep = unit(np.array(pdf.v.tolist())), pdf["mult"].to_numpy(float), pdf.rep.to_numpy()
-        side = pdf["at"].to_numpy()
-        a, b = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        rep, a, b = sides(pdf, "rep")
+        v, mult, same = unit(sides(pdf, "v")[0].astype(float)), sides(pdf, "mult")[0].astype(float), pdf["x"].iloc[0] == pdf["y"].iloc[0]
         links, union = np.zeros(len(v)), Union(len(v))
         for at in range(0, len(a), 512):
             some = a[at : at + 512]
             near = v[some] @ v[b].T >= threshold
-            if x == y:
+            if same:
                 near[np.arange(len(some)), at + np.arange(len(some))] = False
             if near.any():
                 i, j = np.nonzero(near)
                 links[some] += near @ mult[b]
-                if x != y:
+                if not same:
                     links[b] += mult[some] @ near
                 union.link(some[i], b[j])
         linked = np.flatnonzero(links > 0)

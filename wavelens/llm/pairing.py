@@ -15,9 +15,10 @@ BLOCK = 4096
 
 
 def block_pairs(rows: DataFrame, id_column: str, block: int = BLOCK) -> DataFrame:
-    """rows(cell int, probes array<int>, ...) as (cell, x, y, at, ...): each row once for each pair (x, y) of blocks of a
-    cell that is to be searched, at telling its own block. Block numbers of probes begin after those of members. Only
-    the number of rows by cell reaches the driver, one row for each cell and side; the caller bounds the cells."""
+    """rows(cell int, probes array<int>, ...) as (cell, x, y, at, ...): each block once for each pair (x, y) of blocks of
+    a cell that is to be searched, at telling which it is. A block is one row, its other columns lists of about block
+    values. Block numbers of probes begin after those of members. Only the number of rows by cell reaches the driver,
+    one row for each cell and side; the caller bounds the cells."""
     sides = rows.select("cell", F.lit(0).alias("side")).union(rows.select(F.explode("probes"), F.lit(1)))
     sizes = sides.groupBy("cell").agg(F.count_if(F.expr("side = 0")).alias("m"), F.count_if(F.expr("side = 1")).alias("p"))
     sizes = sizes.where("m > 0").selectExpr("cell AS c", f"int(ceil(m / {block})) AS mb", f"int(ceil(p / {block})) AS pb").collect()
@@ -26,10 +27,23 @@ def block_pairs(rows: DataFrame, id_column: str, block: int = BLOCK) -> DataFram
     member = rows.join(blocks, rows.cell == blocks.c).selectExpr("cell", f"int(pmod(xxhash64({id_column}, 11), mb)) AS at", "mb + pb - 1 AS last", *others)
     probe = rows.select(F.explode("probes").alias("cell"), *others)
     probe = probe.join(blocks, probe.cell == blocks.c).selectExpr("cell", f"int(mb + pmod(xxhash64({id_column}, 11), pb)) AS at", "mb - 1 AS last", *others)
-    both = member.union(probe).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    packed = member.union(probe).groupBy("cell", "at", "last").agg(*(F.collect_list(c).alias(c) for c in others))
+    both = packed.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     return both.select("cell", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", *others)
 
 
+def sides(pdf, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column's values of a pair of blocks in one array, and where those of block x and of block y lie (the same
+    places if the pair is a block with itself; none for a block that has no rows)."""
+    lists = {int(at): np.array(list(values)) for at, values in zip(pdf["at"], pdf[column], strict=True)}
+    x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+    n = len(lists.get(x, ()))
+    if x == y:
+        return lists[x], np.arange(n), np.arange(n)
+    m = len(lists.get(y, ()))
+    return np.concatenate([lists[k] for k in (x, y) if k in lists]), np.arange(n), np.arange(n, n + m)
+
+
 class Union:
     """Least-index components under links that come in arrays."""
 

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
-from .pairing import Union, block_pairs
+from .pairing import Union, block_pairs, sides
 
-SHARD = 16_384
+SHARD = 131_072
 MAX_SHARDS = 1024
 SAMPLE = 20_000
 LEAF = 128
+BLOCK = 8192
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -139,10 +140,8 @@ def links(distinct: DataFrame, radius: int, shard: int = SHARD, sample: int = SA
             yield pd.DataFrame({"fp": pdf.fp, "cell": home, "probes": probes})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf.x.iloc[0]), int(pdf.y.iloc[0])
-        side, fp = pdf["at"].to_numpy(), pdf.fp.to_numpy(np.int64)
-        bits = np.ascontiguousarray(fp).view(np.uint64)
-        a, b = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        fp, a, b = sides(pdf, "fp")
+        bits = fp.view(np.uint64)
         union = Union(len(fp))
         if len(a) and len(b):
             tree = VantageTree(bits[a], LEAF)
@@ -156,7 +155,7 @@ def links(distinct: DataFrame, radius: int, shard: int = SHARD, sample: int = SA
         return pd.DataFrame({"a": fp[linked], "b": fp[union.root[linked]]})
 
     dealt = distinct.mapInPandas(assign, "fp bigint, cell int, probes array<int>")
-    return block_pairs(dealt, "fp").groupBy("cell", "x", "y").applyInPandas(search, "a bigint, b bigint")
+    return block_pairs(dealt, "fp", BLOCK).groupBy("cell", "x", "y").applyInPandas(search, "a bigint, b bigint")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
