@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.features import FEATURES, pair_features
-from .operators import events, joins, metrics
+from .operators import events, joins, metrics, tuning
 from .plans import rules, views
 from .plans.views import DECISIONS, SAMPLES, SCORES
 
@@ -336,3 +336,108 @@ def q42_graph_reach(spark, sf_dir):
     edges = t("nation").selectExpr("concat('r', n_regionkey) AS a", "concat('n', n_nationkey) AS b").union(t("supplier").selectExpr("concat('n', s_nationkey)", "concat('s', s_suppkey)"))
     found = reach(edges, t("region").selectExpr("concat('r', r_regionkey) AS root"))
     return found.groupBy("root", "hops").agg(F.count("*").alias("nodes"))
+
+
+BASELINE, TUNED = {"A": 0.5, "N": 0.5, "R": 0.5}, {"A": 0.55, "N": 0.6, "R": 0.45}
+
+
+def profile_metrics(profiles: dict[str, dict[str, float]]) -> str:
+    """SQL: measured, the metrics of every profile by tier."""
+    rows = ", ".join(f"('{p}', '{s}', {t}::DOUBLE)" for p, of in profiles.items() for s, t in of.items())
+    return f"""th AS (SELECT * FROM (VALUES {rows}) AS x(profile, signature_id, threshold)), passing AS (SELECT *, confidence >= threshold AS h FROM scores JOIN th USING (signature_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY profile, capture_id ORDER BY h DESC, confidence DESC, signature_id) AS k FROM passing),
+    decided AS (SELECT profile, capture_id, any_value(truth) AS truth, any_value(tier) AS tier, max(CASE WHEN k = 1 AND h THEN signature_id END) AS winner, count(*) FILTER (h) AS hits FROM placed GROUP BY ALL),
+    counted AS (SELECT profile, tier, count(*) AS total, {COUNTS}, count(*) FILTER (hits >= 2) AS conflict_cases FROM (SELECT *, truth <> 'N' AS p, coalesce(winner = truth, false) AS q FROM decided) GROUP BY ALL),
+    rated AS (SELECT *, (tp + tn) / total AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, conflict_cases / total AS conflict_rate FROM counted),
+    measured AS (SELECT *, (recall + specificity) / 2 AS balanced_accuracy, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, coalesce(fp / nullif(fp + tn, 0), 0) AS false_positive_rate, coalesce(fn / nullif(fn + tp, 0), 0) AS false_negative_rate FROM rated)"""
+
+
+def measured(spark, sf_dir, profiles: dict[str, dict[str, float]]) -> DataFrame:
+    d = tuning.decide(views.scores(spark, sf_dir), profiles)
+    hit = F.coalesce(F.col("winner") == F.col("truth"), F.lit(False))
+    return tuning.full_metrics(d.select("profile", "tier", (F.col("truth") != "N").alias("positive"), hit.alias("predicted"), (F.col("hits") >= 2).alias("conflict")), "profile", "tier")
+
+
+BOTH = {"baseline": BASELINE, "tuned": TUNED}
+FAMILY = {"A": "acceptance", "N": "normal", "R": "return"}
+
+
+@query(f"""WITH {SCORES}, m AS (SELECT *, count(*) FILTER (matched) OVER (PARTITION BY capture_id) >= 2 AS amb, truth = signature_id AS p, matched AS q FROM scores)
+    SELECT signature_id, CASE signature_id {' '.join(f"WHEN '{s}' THEN '{f}'" for s, f in FAMILY.items())} END AS family, count(*) AS total, {COUNTS}, count(*) FILTER (amb) AS ambiguous_cases FROM m GROUP BY 1""")
+def q19_session_summary(spark, sf_dir):
+    family = F.when(F.col("signature_id") == "A", FAMILY["A"]).when(F.col("signature_id") == "N", FAMILY["N"]).otherwise(FAMILY["R"])
+    return tuning.session_summary(views.scores(spark, sf_dir), family)
+
+
+@query(f"""WITH {SCORES}, {profile_metrics(BOTH)}, l AS (SELECT profile, tier, unnest([{', '.join(f"struct_pack(metric := '{m}', value := {m}::DOUBLE)" for m in tuning.METRICS)}]) AS x FROM measured),
+    w AS (SELECT tier, x.metric AS metric, max(CASE WHEN profile = 'baseline' THEN x.value END) AS baseline, max(CASE WHEN profile = 'tuned' THEN x.value END) AS tuned FROM l GROUP BY ALL)
+    SELECT tier, metric, {r('baseline', 'tuned', 'tuned - baseline AS delta')} FROM w""")
+def q21_profile_compare(spark, sf_dir):
+    return tuning.compare_profiles(measured(spark, sf_dir, BOTH), "tier", "baseline", "tuned")
+
+
+@query(f"""WITH {SCORES}, {profile_metrics(BOTH)} SELECT profile, tier, {r('balanced_accuracy - 2 * greatest(0, 0.88 - precision) AS balanced_default', 'precision - 2 * greatest(0, 0.85 - recall) AS conservative_precision',
+    'recall - 2 * greatest(0, 0.85 - precision) AS sensitive_fault_finding', 'f1 - 0.25 * conflict_rate AS field_triage')} FROM measured""")
+def q22_objective(spark, sf_dir):
+    return tuning.objectives(measured(spark, sf_dir, BOTH)).select("profile", "tier", *tuning.GATED, "field_triage")
+
+
+VARIANTS = tuning.reverted(BASELINE, TUNED)
+
+
+@query(f"""WITH {SCORES}, {profile_metrics(VARIANTS)} SELECT v.profile AS variant, v.tier AS tier, {r('v.precision AS precision', 'v.recall AS recall', 'v.f1 AS f1', 'v.f1 - t.f1 AS f1_change')}
+    FROM measured v JOIN measured t ON t.tier = v.tier AND t.profile = 'tuned' WHERE v.profile <> 'tuned'""")
+def q23_ablation(spark, sf_dir):
+    """What each changed threshold contributes: all variants are evaluated in one pass."""
+    tuned = F.max(F.when(F.col("profile") == "tuned", F.col("f1"))).over(Window.partitionBy("tier"))
+    m = measured(spark, sf_dir, VARIANTS).withColumn("f1_change", F.col("f1") - tuned)
+    return m.where("profile <> 'tuned'").select(F.col("profile").alias("variant"), "tier", "precision", "recall", "f1", "f1_change")
+
+
+@query(f"""WITH {SCORES}, {SWEEP}, b AS (SELECT *, max(coalesce(youden_j, 0)) OVER (PARTITION BY signature_id) AS best FROM sweep)
+    SELECT signature_id, {r('max(best) AS best_score', 'min(CASE WHEN coalesce(youden_j, 0) >= best - 0.01 THEN threshold END) AS selected_threshold', 'max(threshold) - min(threshold) AS width')}, count(*) FILTER (coalesce(youden_j, 0) >= best - 0.01) AS near_best FROM b GROUP BY 1""")
+def q26_threshold_robustness(spark, sf_dir):
+    return tuning.threshold_robustness(metrics.threshold_sweep(views.scores(spark, sf_dir), CUTS, 0.3, 0.6), "youden_j")
+
+
+@query(f"""WITH {SAMPLES} SELECT capture_id, n, round((coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / nullif(coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t), 0), 6) AS dv_dt FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY n)""")
+def q38_gradient(spark, sf_dir):
+    return events.gradient(views.samples(spark, sf_dir)).select("capture_id", "n", "dv_dt")
+
+
+@query(f"""WITH s AS (SELECT l.toxic = 1 AS p, least(1, d.n_chars / 4000) AS c FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND d.n_chars IS NOT NULL),
+    g AS (SELECT threshold, count(*) FILTER (p AND c >= threshold) AS tp, count(*) FILTER (NOT p AND c >= threshold) AS fp, count(*) FILTER (NOT p AND c < threshold) AS tn, count(*) FILTER (p AND c < threshold) AS fn FROM s, (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in CUTS)}]) AS threshold) GROUP BY 1)
+    SELECT {r('threshold')}, tp, fp, tn, fn, {r('tp / nullif(tp + fn, 0) AS tpr', 'fp / nullif(fp + tn, 0) AS fpr')} FROM g""")
+def q41_label_thresholds(spark, sf_dir):
+    """A document's length as the score of its toxic label, over all thresholds."""
+    docs, labels = views.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), views.table(spark, sf_dir, "labels").where("toxic IS NOT NULL")
+    scored = labels.join(docs, "doc_id").where("n_chars IS NOT NULL").selectExpr("'toxic' AS signature_id", "if(toxic = 1, 'toxic', 'other') AS truth", "least(1e0, n_chars / 4000) AS confidence")
+    sweep = metrics.threshold_sweep(scored, CUTS)
+    return sweep.select("threshold", *(F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "tn", "fn")), "tpr", "fpr")
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT *, CASE WHEN bool_and(coalesce(v >= 50, false)) OVER a AND count(*) OVER a = 2 THEN 1 WHEN bool_and(coalesce(v <= 30, true)) OVER b AND count(*) OVER b = 3 THEN 0 END AS mark FROM samples
+        WINDOW a AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), b AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY capture_id ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS state FROM m), p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY capture_id ORDER BY n), 0) AS before FROM s),
+    e AS (SELECT *, sum(CASE WHEN state = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY n)::BIGINT AS event FROM p),
+    g AS (SELECT capture_id, event, min(n) - 1 AS start_n, max(CASE WHEN state = 0 THEN n - 2 END) AS closed_n, max(n) AS last_n FROM e WHERE state = 1 OR before = 1 GROUP BY ALL)
+    SELECT capture_id, event, start_n, coalesce(closed_n, last_n) AS end_n, closed_n IS NULL AS is_open FROM g WHERE coalesce(closed_n, last_n) - start_n >= 2""")
+def q43_hysteresis(spark, sf_dir):
+    return events.hysteresis(views.samples(spark, sf_dir), 50.0, 30.0, 2, 3, 2)
+
+
+@query()
+def q44_greedy_match(spark, sf_dir):
+    s = views.samples(spark, sf_dir)
+    side = lambda kind: s.where(f"event_type = '{kind}'").selectExpr("capture_id", "event_id AS id", "t")
+    return events.greedy_match(side("purchase"), side("click"), 7200.0)
+
+
+@query()
+def q45_bootstrap(spark, sf_dir):
+    return tuning.bootstrap(cases(spark, sf_dir).withColumn("conflict", F.lit(False)), "tier")
+
+
+@query()
+def q47_chatter_windows(spark, sf_dir):
+    return events.chatter(views.samples(spark, sf_dir), 86400.0, 3)

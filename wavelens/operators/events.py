@@ -121,3 +121,84 @@ def circular(rows: DataFrame, by: str, angle: str) -> DataFrame:
     """Phase coherence (length of the mean phasor) and mean angle by group."""
     c, s = F.avg(F.cos(angle)), F.avg(F.sin(angle))
     return rows.groupBy(by).agg(F.sqrt(c * c + s * s).alias("coherence"), F.atan2(s, c).alias("mean_angle"), F.count("*").alias("count"))
+
+
+def hysteresis(samples: DataFrame, enter: float, leave: float, enter_n: int, leave_n: int, least: int) -> DataFrame:
+    """Events (capture_id, event, start_n, end_n, is_open) of a detector with persistence; leave < enter.
+
+    It turns on where v has been at enter or above for enter_n samples and the event starts at the first of them; it
+    turns off where v has been at leave or below (or null, or NaN) for leave_n samples and the event ends at the first of
+    them. One still on at the last sample is open and ends there. Events of end_n - start_n under least go. As leave <
+    enter, no sample is part of both kinds of runs, so the state is the last completed run: windows, no loop."""
+    valid = F.col("v").isNotNull() & ~F.isnan("v")
+    held = lambda on, k: (F.min(F.when(on, 1).otherwise(0)).over(by_n().rowsBetween(1 - k, 0)) == 1) & (F.count("*").over(by_n().rowsBetween(1 - k, 0)) == k)
+    marked = samples.withColumn("mark", F.when(held(valid & (F.col("v") >= enter), enter_n), 1).when(held(~valid | (F.col("v") <= leave), leave_n), 0))
+    state = marked.withColumn("state", F.coalesce(F.last("mark", ignorenulls=True).over(by_n().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    moved = state.withColumn("before", F.lag("state", 1, 0).over(by_n()))
+    moved = moved.withColumn("event", F.sum(F.when((F.col("state") == 1) & (F.col("before") == 0), 1).otherwise(0)).over(by_n().rowsBetween(Window.unboundedPreceding, 0)))
+    inside = moved.where("state = 1 OR before = 1").groupBy("capture_id", "event").agg(
+        (F.min("n") - (enter_n - 1)).alias("start_n"), F.max(F.when(F.col("state") == 0, F.col("n") - (leave_n - 1))).alias("closed_n"), F.max("n").alias("last_n")
+    )
+    out = inside.select("capture_id", "event", "start_n", F.coalesce("closed_n", "last_n").alias("end_n"), F.col("closed_n").isNull().alias("is_open"))
+    return out.where(F.col("end_n") - F.col("start_n") >= least)
+
+
+def gradient(samples: DataFrame) -> DataFrame:
+    """samples with dv_dt: central differences, one-sided at a capture's ends; null where no time passes."""
+    behind, ahead = (lambda c: F.coalesce(F.lag(c).over(by_n()), F.col(c))), (lambda c: F.coalesce(F.lead(c).over(by_n()), F.col(c)))
+    return samples.withColumn("dv_dt", F.try_divide(ahead("v") - behind("v"), ahead("t") - behind("t")))
+
+
+def clusters(rows: DataFrame, gap: float, order: str) -> DataFrame:
+    """rows(capture_id, t) with cluster: a capture's rows, cut where more than gap passes without one.
+
+    Greedy passes that never look further than gap can run on each cluster alone, so no task holds a whole capture."""
+    w = Window.partitionBy("capture_id").orderBy("t", order)
+    opens = F.when(F.col("t") - F.lag("t").over(w) <= gap, 0).otherwise(1)
+    return rows.withColumn("cluster", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def chatter(edges: DataFrame, span: float, least: int) -> DataFrame:
+    """Windows (capture_id, start_s, end_s, edges) of least edges or more within span of their first edge.
+
+    Windows are taken greedily in time and share no edge; an edge that opens none is passed over."""
+    import numpy as np
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        t, out, at, end = np.sort(group.t.to_numpy()), [], 0, 0
+        while at < len(t):
+            while end < len(t) and t[end] - t[at] <= span:
+                end += 1
+            if end - at >= least:
+                out.append((group.capture_id.iloc[0], t[at], t[end - 1], end - at))
+                at = end
+            else:
+                at += 1
+        return pd.DataFrame(out, columns=["capture_id", "start_s", "end_s", "edges"])
+
+    return clusters(edges.select("capture_id", "t"), span, "t").groupBy("capture_id", "cluster").applyInPandas(run, "capture_id bigint, start_s double, end_s double, edges bigint")
+
+
+def greedy_match(references: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
+    """(capture_id, reference_id, candidate_id, lag_s): references(capture_id, id, t) in order of time each take the
+    nearest free candidate within tolerance, the earlier one of two equally near; every candidate is taken once at most."""
+    import numpy as np
+    import pandas as pd
+
+    both = references.select("capture_id", "id", "t", F.lit(0).alias("side")).union(candidates.select("capture_id", "id", "t", F.lit(1)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["t", "id"])
+        refs, free = group[group.side == 0], group[group.side == 1]
+        t, ids, used, out = free.t.to_numpy(), free.id.to_numpy(), np.zeros(len(free), bool), []
+        for rid, at in zip(refs.id, refs.t, strict=True):
+            low, high = np.searchsorted(t, [at - 2 * tolerance, at + 2 * tolerance])
+            lag = np.where(used[low:high], np.inf, np.abs(t[low:high] - at))
+            if len(lag) and lag.min() <= tolerance:
+                best = low + int(lag.argmin())
+                used[best] = True
+                out.append((group.capture_id.iloc[0], rid, ids[best], abs(t[best] - at)))
+        return pd.DataFrame(out, columns=["capture_id", "reference_id", "candidate_id", "lag_s"])
+
+    return clusters(both, tolerance, "id").groupBy("capture_id", "cluster").applyInPandas(run, "capture_id bigint, reference_id bigint, candidate_id bigint, lag_s double")
