@@ -124,17 +124,20 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """A pre-token's ids as bytes (32-bit, little-endian), worked out on first sight; forgets all when it is full."""
+    """A pre-token's ids as bytes (32-bit, little-endian), worked out on first sight. When it is full, what has
+    not been met since it was last full is forgotten."""
 
-    def __init__(self, encode, most: int = 300_000):
+    def __init__(self, encode, most: int = 600_000):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.older = encode, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        if (out := self.older.get(piece)) is None:
+            ids = self.encode(piece)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) < 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out

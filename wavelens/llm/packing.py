@@ -104,11 +104,18 @@ def powers(n: int) -> list[int]:
     return [1 << i for i in reversed(range(n.bit_length())) if n >> i & 1]
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary's pieces: printable ones stand for themselves (a fixed
+    rule of the format), the others take the characters from 256 on in turn."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 @lru_cache(2)
 def ids_by_piece(path: str) -> Remembered:
     """Shared by the tasks that one Python worker runs in turn."""
-    tokenizer, _ = library(path)
-    return Remembered(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids)
+    tokenize, letters = library(path)[0].model.tokenize, byte_letters()
+    return Remembered(lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
 
 
 def lengths(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, unit: int) -> DataFrame:
