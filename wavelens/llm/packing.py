@@ -26,7 +26,7 @@ from .token_counts import library
 
 SIZE = 2048
 UNIT = 32
-#: Rows to a block within which ranks and positions are running counts.
+#: Rows to a block within which ranks and positions are running counts, at most; a few blocks for each partition at least.
 BLOCK = 50_000
 
 
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SIZE
     cuts = materialise(lengths(docs, tokenizer_path, end_id, size, unit))
     capacity = size // unit
     n = cuts.where("part > 0").count()
-    spread = max(1, -(-n // block))
+    spread = max(-(-n // block), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     numbered = cuts.where("part > 0").withColumn("blk", F.expr(f"pmod(xxhash64(uid), {spread})"))
 
     # Ranks of the cores within their length: blocks in turn, running numbers within a block.
