@@ -336,3 +336,33 @@ def test_pipeline(spark):
         odd = stage(spark, odd, SF)
         assert odd.columns == ["doc_id", "text", "lang", "source", "component_id"]
     assert corpus_pipeline.packing_stage(spark, odd, SF).count() > 0
+
+
+def edited(rng, line, edits):
+    """line with random substitutions, deletions and insertions."""
+    letters = list(line)
+    for _ in range(edits):
+        i, kind = int(rng.integers(len(letters))), rng.integers(3)
+        letters[i : i + (kind != 2)] = [] if kind == 1 else [chr(97 + int(rng.integers(26)))]
+    return "".join(letters)
+
+
+def test_similar_lines(spark):
+    """Groups against brute force on edit similarity alone: short, medium, long and unspaced lines, and one that repeats its words."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    texts = []
+    for words in (4, 6, 10, 14, 25, 50) * 3:
+        line = " ".join(word() for _ in range(words))
+        texts += [line, edited(rng, line, 1), edited(rng, line, max(1, len(line) // 16))]
+    for n in (20, 40, 120):
+        line = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 5000, n))
+        texts += [line, line[: n // 2] + "x" + line[n // 2 + 1 :]]
+    repeated = ("the quick brown fox jumps over the lazy dog and runs far away from all of the other animals that live in the wood " * 6).strip()
+    texts += [repeated, repeated.replace("lazy", "lasy", 1), repeated.replace("fox", "fax", 1)]
+    texts = sorted({t.strip() for t in texts})
+    close = [(i, j) for i, j in combinations(range(len(texts)), 2) if min(len(texts[i]), len(texts[j])) >= 0.8 * max(len(texts[i]), len(texts[j])) and edit_distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)]
+    group = roots(len(texts), close)
+    want = {i for i in range(len(texts)) if any(group[j] == group[i] for j in range(i))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(want) >= 35 and {r.doc_id for r in line_dedup.line_report(docs).collect() if r.n_dropped} == want
