@@ -79,3 +79,14 @@ def test_bootstrap(spark):
     spread = 1.96 * math.sqrt(truth * (1 - truth) / 300)
     assert r.estimate == pytest.approx(truth) and r.ci_low == pytest.approx(truth - spread, abs=0.01) and r.ci_high == pytest.approx(truth + spread, abs=0.01)
     assert (by["b", "recall"].ci_low, by["b", "recall"].ci_high, by[None, "precision"].estimate) == (1.0, 1.0, 0.0)
+
+
+def test_theil_sen_whole_track(spark):
+    """The query reaches a capture's end: all its pairs count."""
+    from wavelens.catalog import QUERIES
+    from wavelens.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    sizes = {r.capture_id: r["count"] for r in views.samples(spark, sf).groupBy("capture_id").count().collect()}
+    got = {r.capture_id: r.pairs for r in QUERIES["q48_theil_sen_track"](spark, sf).collect()}
+    assert max(sizes.values()) > 40 and got == {c: n * (n - 1) // 2 for c, n in sizes.items() if n > 1}

@@ -312,6 +312,12 @@ def q37_theil_sen(spark, sf_dir):
     return events.theil_sen(views.samples(spark, sf_dir).where("n < 40"), "capture_id", "n", "v")
 
 
+@query(f"WITH {SAMPLES} SELECT a.capture_id, round(median((b.v - a.v) / (b.n - a.n)), 6) AS slope, count(*) AS pairs FROM samples a JOIN samples b ON a.capture_id = b.capture_id AND a.n < b.n GROUP BY ALL")
+def q48_theil_sen_track(spark, sf_dir):
+    """Slope of each capture's whole track; q37_theil_sen takes its first 40 samples only."""
+    return events.theil_sen(views.samples(spark, sf_dir), "capture_id", "n", "v")
+
+
 @query("SELECT l_returnflag, l_orderkey, l_linenumber, rank::INT AS rank, round(l_extendedprice, 6) AS l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 10")
 def q39_topk_per_group(spark, sf_dir):
     """Ten largest of each group; the window's limit also applies before the shuffle."""
