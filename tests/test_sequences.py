@@ -90,3 +90,14 @@ def test_theil_sen_whole_track(spark):
     sizes = {r.capture_id: r["count"] for r in views.samples(spark, sf).groupBy("capture_id").count().collect()}
     got = {r.capture_id: r.pairs for r in QUERIES["q48_theil_sen_track"](spark, sf).collect()}
     assert max(sizes.values()) > 40 and got == {c: n * (n - 1) // 2 for c, n in sizes.items() if n > 1}
+
+
+def test_reach_is_whole(spark):
+    """Nodes beyond the rounds allowed are an error, not left out."""
+    from wavelens.operators.graph import reach
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "a string, b string")
+    roots = spark.createDataFrame([("n0",)], "root string")
+    assert {r.node: r.hops for r in reach(edges, roots, most=5).collect()} == {f"n{i}": i for i in range(5)}
+    with pytest.raises(RuntimeError):
+        reach(edges, roots, most=3)

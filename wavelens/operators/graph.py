@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def reach(edges: DataFrame, roots: DataFrame, directed: bool = True, most: int = 50) -> DataFrame:
     """(root, node, hops): least number of edges (a, b) from each root to each node it reaches, itself included.
 
-    Each round joins only the newest nodes with the edges and drops those already seen."""
+    Each round joins only the newest nodes with the edges and drops those already seen; it raises if round most still finds
+    new ones."""
     if not directed:
         edges = edges.union(edges.select("b", "a"))
     edges = edges.select("a", "b").distinct().persist()
@@ -20,4 +21,6 @@ def reach(edges: DataFrame, roots: DataFrame, directed: bool = True, most: int =
         if new.isEmpty():
             break
         seen = seen.union(new)
+    else:
+        raise RuntimeError(f"nodes may lie farther than {most} edges away")
     return seen
