@@ -250,13 +250,8 @@ def test_lines(spark):
             if len(norm := re.sub(r"\s+", " ", line).strip(" ").lower()) >= 16:
                 lines.append((r.doc_id, pos, norm))
 
-    def fp(norm):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(norm.split(" "))]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
     distinct = sorted({x for *_, x in lines})
-    prints = [fp(x) for x in distinct]
-    links = [(i, j) for i, j in combinations(range(len(distinct)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3 and len(distinct[i]) * len(distinct[j]) < 10**7 and edit_distance(distinct[i], distinct[j]) <= int(0.2 * max(len(distinct[i]), len(distinct[j])) + 1e-9)]
+    links = [(i, j) for i, j in combinations(range(len(distinct)), 2) if len(distinct[i]) * len(distinct[j]) < 10**7 and edit_distance(distinct[i], distinct[j]) <= int(0.2 * max(len(distinct[i]), len(distinct[j])) + 1e-9)]
     assert links
     group = dict(zip(distinct, roots(len(distinct), links), strict=True))
     order = lambda x: (x[0] is None, x[0] or 0, x[1])
@@ -366,3 +361,28 @@ def test_similar_lines(spark):
     want = {i for i in range(len(texts)) if any(group[j] == group[i] for j in range(i))}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(want) >= 35 and {r.doc_id for r in line_dedup.line_report(docs).collect() if r.n_dropped} == want
+
+
+def test_short_lines_by_equality(spark):
+    """With min_chars=1, lines too short for edit similarity are one if they are equal, and empty lines stay."""
+    docs = spark.createDataFrame([(1, "les.\n\nfin"), (2, "Les. \n\nfine"), (3, ""), (4, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(docs, min_chars=1).collect()}
+    assert out == {1: "les.\n\nfin", 2: "\nfine", 3: "", 4: None}
+    assert line_dedup.deduplicated(empty(docs), min_chars=1).count() == 0
+
+
+def test_line_groups_that_share_phrases(spark):
+    """Two large groups of like lines and many unlike ones, all with a phrase in common, against brute force."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    many = lambda n: " ".join(word() for _ in range(n))
+    phrase = "and so it came to pass that all of them went home again"
+    first, second = (f"{many(6)} {phrase} {many(6)}" for _ in range(2))
+    texts = sorted({edited(rng, first, 3) for _ in range(30)} | {edited(rng, second, 3) for _ in range(30)} | {f"{many(6)} {phrase} {many(6)}" for _ in range(30)})
+    close = [(i, j) for i, j in combinations(range(len(texts)), 2) if edit_distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)]
+    group = roots(len(texts), close)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.line_report(docs).collect() if r.n_dropped} == {i for i in range(len(texts)) if group[i] != i}
+    long = " ".join(word() for _ in range(400))
+    docs = spark.createDataFrame([(0, long), (1, edited(rng, long, 60)), (2, "added in front of it all " + long), (3, many(400))], "doc_id long, text string")
+    assert [r.doc_id for r in line_dedup.line_report(docs).orderBy("doc_id").collect() if r.n_dropped] == [1, 2]

@@ -26,7 +26,7 @@ def op3_packing(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op5_embedding_dedup(spark, sf_dir):
