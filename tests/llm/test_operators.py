@@ -313,6 +313,86 @@ def test_quality(spark):
     assert len(odd) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in odd)
 
 
+def plain_logit(net, words):
+    """One window by loops over words and units."""
+    import pyarrow as pa
+
+    p, u = {k: v.astype(float) for k, v in net.p.items()}, toxicity.UNITS
+    one = lambda x: 1 / (1 + np.exp(-x))
+    x = []
+    for word in words:
+        w = toxicity.Words(pa.array([word], pa.string()))
+        x.append(np.r_[p["word"][w.word[0]], sum((p["gram"][g] for g in w.gram), np.zeros(toxicity.DIM)) / np.sqrt(w.grams[0])])
+    states = np.zeros((len(words), 2 * u))
+    for d, order, part in (("f", range(len(words)), slice(0, u)), ("b", reversed(range(len(words))), slice(u, 2 * u))):
+        h = np.zeros(u)
+        for s in order:
+            g = x[s] @ p[f"x{d}"] + p[f"c{d}"]
+            z, r = one(g[:u] + h @ p[f"h{d}"][:, :u]), one(g[u : 2 * u] + h @ p[f"h{d}"][:, u : 2 * u])
+            c = np.tanh(g[2 * u :] + (r * h) @ p[f"h{d}"][:, 2 * u :])
+            h = (1 - z) * c + z * h
+            states[s, part] = h
+    if not words:
+        return p["bias"][0]
+    e = np.exp(states @ p["att"] - (states @ p["att"]).max())
+    return (e / e.sum()) @ states @ p["out"] + p["bias"][0]
+
+
+def test_toxicity_plain(spark):
+    """Scores against loops over all windows of each whole text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    net = toxicity.Network(3)
+    net.p["out"] *= 20
+    model = toxicity.Model(net, 1.3, -0.2)
+    texts = [t for t in ODD if t is None or len(t) < 5000] + [" ".join(f"word{i % 37}" for i in range(n)) for n in (63, 64, 65, 112, 113, 300)]
+    for r in toxicity.score_documents(odd_docs(spark, texts).where("doc_id IS NOT NULL"), None, model=model).collect():
+        words = [pc.utf8_lower(pa.scalar(w)).as_py().strip(".,;:!?\"'()") for w in (texts[r.doc_id] or "").split()]
+        logits = [plain_logit(net, words[a : a + toxicity.WINDOW]) for a in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE)]
+        assert abs(r.score - 1 / (1 + np.exp(-(1.3 * max(logits) - 0.2)))) < 1e-4, texts[r.doc_id]
+
+
+def test_quality_plain(spark):
+    """Scores against a plain version; pseudo-labels are the most confident of all unlabelled documents."""
+    rng = np.random.default_rng(4)
+    model = quality.Model([(rng.normal(0, 1, quality.BUCKETS + 1), 0.7, 0.1), (rng.normal(0, 1, quality.METADATA + 1), 1.2, -0.3)])
+    docs = odd_docs(spark)
+    texts = {r.doc_id: r for r in docs.collect()}
+    bucket = quality.Buckets().__getitem__
+    for r in quality.score_documents(docs, None, model=model).where("doc_id IS NOT NULL").collect():
+        words, meta = (texts[r.doc_id].text or "").split(), [quality.metadata(x.text or "", x.lang, x.source) for x in docs.where(f"doc_id = {r.doc_id}").collect()]
+        z = model.views[0][0][-1] + sum(np.sqrt(sum(bucket(w) == b for w in words) / len(words)) * model.views[0][0][b] for b in {bucket(w) for w in words})
+        want = [1 / (1 + np.exp(-(0.7 * z + 0.1 + 1.2 * (m @ model.views[1][0][:-1] + model.views[1][0][-1]) - 0.3) / 2)) for m in meta]
+        assert min(abs(r.score - x) for x in want) < 1e-4
+    pool = quality.features(documents(spark))
+    weights = [v[0].astype(np.float32) for v in model.views]
+    rows = {r.doc_id: r for r in pool.collect()}
+    x = quality.dense(list(rows.values()))
+    got = quality.confident(pool, weights, [set(), {0, 1, 2}], 7)
+    for view in (0, 1):
+        z = dict(zip(rows, x[view] @ weights[view][:-1] + weights[view][-1], strict=True))
+        for side in (0, 1):
+            sure = {i: (v if side else -v) for i, v in z.items() if (v if side else -v) > 1 and not (view == 0 and i in {0, 1, 2})}
+            assert {r.doc_id for r in got if (r.view, r.side) == (view, side)} == set(sorted(sure, key=lambda i: (-sure[i], i))[:7])
+    labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, 1), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score_documents(docs, labels).count() == docs.count() and quality.score_documents(empty(docs), labels).count() == 0
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    for rows in (odd_docs(spark).drop("n_tokens"), empty(odd_docs(spark)).drop("n_tokens")):
+        n, columns = rows.count(), rows.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, SF)
+            assert rows.columns == columns and rows.count() <= n, name
+        out = corpus_pipeline.packing_stage(spark, rows, SF)
+        assert (out.count() > 0) == (n > 0)
+    toxic = toxicity.without_toxic(odd_docs(spark), empty(spark.read.parquet(f"{SF}/labels.parquet")), threshold=2.0)
+    assert sorted(map(str, toxic.collect())) == sorted(map(str, odd_docs(spark).collect()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

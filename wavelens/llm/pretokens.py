@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from itertools import islice
 
+import numpy as np
+import pyarrow.compute as pc
 import regex
 
 # Letters, numbers and white space below U+0250, as in the Unicode character database.
@@ -62,7 +64,19 @@ class Splitter:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def slices(batch, rows: int = 256):
-    """Parts of an Arrow batch, so that few texts are Python strings at a time."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch, rows: int = 256, size: int = 1 << 20, column: str = "text"):
+    """Parts of an Arrow batch of at most rows rows, and of about size bytes of text unless one text alone is longer; so
+    few texts are Python objects at a time, and working memory follows the longest text and not the number of rows."""
+    names = batch.schema.names
+    if column not in names:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(names.index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = int(np.searchsorted(ends, before + size, "right")) - at
+        n = max(1, min(n, rows))
+        yield batch.slice(at, n)
+        at += n

@@ -23,6 +23,8 @@ WORD_BUCKETS, GRAM_BUCKETS = 8192, 16384
 GRAMS = (3, 4, 5)
 #: Labelled documents of either class that take part in fitting, at most.
 MOST_TOXIC, MOST_CLEAN = 900, 1500
+#: Longer texts are scored like any other but are not collected for fitting.
+MOST_CHARS = 50_000
 EPOCHS = 8
 
 
@@ -269,17 +271,17 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, epochs: int = EPOCHS
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Model:
     """Fit on a bounded sample of labelled documents whose crc32(doc_id) modulo 4 is not 2, taken in hash order.
 
-    Null ids and labels take no part; an id labelled both ways counts as toxic. Without any example of a class the
-    network learns what there is."""
+    Texts of over most_chars characters are left out of the sample, so that its bytes are bounded too. Null ids and labels
+    take no part; an id labelled both ways counts as toxic. Without any example of a class the network learns what there is."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic_n, n = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     pick = lambda value, most: known.where(f"toxic = {value}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(1, most_toxic).union(pick(0, most_clean)).withColumnsRenamed({"doc_id": "id"})
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     y = np.array([r.toxic for r in rows])
     if not len(rows):
         return Model(Network(), 1.0, -1.0)
@@ -305,7 +307,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows whose text scores threshold or more; all columns come back."""
+    """docs without the rows whose text scores threshold or more; all columns come back.
+
+    Null and empty texts are scored as one empty window and stay null or empty. Rows that repeat are scored alike; an
+    empty table stays empty. A long text is scored in windows over all of it; memory follows the longest text."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     columns = docs.columns
     at = columns.index("text")
