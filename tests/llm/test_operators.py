@@ -207,7 +207,11 @@ def plain_secrets(text, scope=200):
     weak = [(m.start(), 3, m.end()) for m in re.finditer("(?:AKIA|ASIA)[A-Z0-9]{8,}", text)]
     weak += [(m.start(), 4, m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     weak += [(m.start(), 5, m.end()) for m in re.finditer(r"https?://[^\s\x22'<>]+", text)]
-    weak = [w for w in weak if not any(w[0] < s[2] and s[0] < w[2] for s in spans)]
+    over = lambda w, others: any(w[0] < s[2] and s[0] < w[2] for s in others)
+    weak = [w for w in weak if not over(w, spans)]
+    sites = [w for w in weak if w[1] == 5]
+    names = [w for w in weak if w[1] == 3 and not over(w, sites)]
+    weak = sites + names + [w for w in weak if w[1] == 4 and not over(w, sites + names)]
     part = {0: "secret", 2: "secret", 4: "secret", 1: "access", 3: "access", 5: "endpoint"}
     met = lambda w, p: any(part[s[1]] == p and s[0] <= w[2] + scope and s[2] >= w[0] - scope for s in spans + weak)
     need = {3: ["secret"], 4: ["access"], 5: ["access", "secret"]}
@@ -228,7 +232,16 @@ def test_secrets(spark):
     assert any("weak" in r.spans and "endpoint" in r.spans for r in out)
     clean = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
     assert clean[len(ODD) + 2] == "é [REDACTED] x [REDACTED]" and clean[1] is None and clean[4] == "[REDACTED]" and clean[8] == ODD[8]
-    assert secret_scan.scan(empty(docs)).count() == 0
+    assert secret_scan.scan(empty(docs)).count() == 0 and secret_scan.redacted(empty(docs)).count() == 0
+
+
+def test_secret_parts_are_disjoint(spark):
+    """A part is no complement of itself or of what overlaps it."""
+    texts = ["id AKIA1234ABCD5678 alone here", "see https://host.example/path/AKIA1234ABCD5678 only", "see https://host.example/AKIA1234ABCD5678/wJalrXUtnFEMI7K7MDENG", "AKIA1234ABCD5678 and wJalrXUtnFEMI7K7MDENG at https://host.example/"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    assert [got[i] for i in range(3)] == ["", "", ""] and got[3] == "weak_access:0:16,weak_secret:21:42,endpoint:46:67"
+    assert [r.text for r in secret_scan.redacted(docs).orderBy("doc_id").collect()][:3] == texts[:3]
 
 
 def edit_distance(a, b):

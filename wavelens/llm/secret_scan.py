@@ -1,7 +1,8 @@
 """Secret scans by multipart credential linking, in DataFrame functions only.
 
 Strong patterns are reported as such. Weak candidates (short access identifiers, mixed tokens, endpoints) are parts of
-a credential: an interval join within scopes of a text reports them only where the complementary parts co-occur.
+a credential: an interval join within scopes of a text reports them only where complementary parts co-occur. Parts of a
+text don't overlap: overlapping candidates are settled first, so that no part is its own complement.
 """
 
 from __future__ import annotations
@@ -49,19 +50,29 @@ def matches(docs: DataFrame) -> DataFrame:
     return materialise(base.select("key", "doc_id", F.expr(f"concat({each})").alias("found")))
 
 
+def _clear_of(rows: DataFrame, stronger: str) -> DataFrame:
+    """rows(key, kind, start, end) without those that overlap a row of a kind for which stronger holds (rows of such a
+    kind stay)."""
+    over = F.expr(f"""
+        coalesce(max(if({stronger}, end, NULL)) OVER (PARTITION BY key ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > start, false)
+        OR coalesce(min(if({stronger}, start, NULL)) OVER (PARTITION BY key ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < end, false)""")
+    return rows.withColumn("over", over).where(f"({stronger}) OR NOT over").select("key", "kind", "start", "end")
+
+
 def spans(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(key, kind, start, end) of what is reported: strong spans, and weak ones whose complements lie within scope.
 
-    A weak access identifier needs a secret, a weak secret an access identifier, an endpoint both; weak candidates
-    that overlap a strong span are dropped. Distances are between the nearest ends, in code points."""
+    A weak access identifier needs a secret, a weak secret an access identifier, an endpoint both. A weak candidate that
+    overlaps a strong span is dropped, then a weak access identifier or secret that overlaps an endpoint (it is part of
+    an address), then a weak secret that overlaps a weak access identifier. So complements are other, disjoint spans.
+    Distances are between the nearest ends, in code points."""
     one = found.where("size(found) > 0").dropDuplicates(["key"]).select("key", F.inline("found"))
     placed = one.withColumn("start", F.expr("sum(gap + len) OVER (PARTITION BY key, kind ORDER BY i ROWS UNBOUNDED PRECEDING) - len"))
-    placed = placed.where("ok").selectExpr("key", "kind", "start", "start + len AS end")
-    strong = f"kind < {len(BASE)}"
-    apart = placed.withColumn("over", F.expr(f"""
-        coalesce(max(if({strong}, end, NULL)) OVER (PARTITION BY key ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > start, false)
-        OR coalesce(min(if({strong}, start, NULL)) OVER (PARTITION BY key ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < end, false)"""))
-    parts = materialise(apart.where(f"{strong} OR NOT over").select("key", "kind", "start", "end"))
+    parts = placed.where("ok").selectExpr("key", "kind", "start", "start + len AS end")
+    strong, access, endpoint = f"kind < {len(BASE)}", KINDS.index("weak_access"), KINDS.index("endpoint")
+    for stronger in (strong, f"{strong} OR kind = {endpoint}", f"{strong} OR kind = {endpoint} OR kind = {access}"):
+        parts = _clear_of(parts, stronger)
+    parts = materialise(parts)
     part = "CASE " + " ".join(f"WHEN kind = {i} THEN '{PART[k]}'" for i, k in enumerate(KINDS)) + " END"
     # A summary row for each scope-wide bucket that a part touches; parts are clipped to it.
     touched = parts.withColumn("part", F.expr(part)).where("part <> 'endpoint'").withColumn("bucket", F.expr(f"explode(sequence(start DIV {scope}, end DIV {scope}))"))
@@ -70,7 +81,7 @@ def spans(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     asks = asks.withColumn("need", F.expr("explode(CASE part WHEN 'access' THEN array('secret') WHEN 'secret' THEN array('access') ELSE array('access', 'secret') END)"))
     asks = asks.withColumn("near", F.expr(f"explode(sequence(greatest(start - {scope}, 0) DIV {scope}, (end + {scope}) DIV {scope}))"))
     met = asks.alias("a").join(summary.alias("s"), F.expr("a.key = s.key AND a.need = s.part AND a.near = s.bucket")).where(f"s.last >= a.start - {scope} AND s.first <= a.end + {scope}")
-    linked = met.groupBy("a.key", "a.kind", "a.start", "a.end").agg(F.countDistinct("a.need").alias("n")).where("n = CASE WHEN kind = {} THEN 2 ELSE 1 END".format(KINDS.index("endpoint")))
+    linked = met.groupBy("a.key", "a.kind", "a.start", "a.end").agg(F.countDistinct("a.need").alias("n")).where(f"n = CASE WHEN kind = {endpoint} THEN 2 ELSE 1 END")
     return parts.where(strong).select("key", "kind", "start", "end").union(linked.select("key", "kind", "start", "end"))
 
 
@@ -84,7 +95,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Returns a row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans ('kind:start:end', by start and
     then kind; code points, end exclusive). A null text counts as empty: no spans. Repeated rows each give a row, a
-    null doc_id stays null, other columns are ignored. Texts are read once; only matches are shuffled.
+    null doc_id stays null, other columns are ignored; an empty table gives no rows. Texts are read once, however long;
+    only matches are shuffled.
     """
     found = matches(docs)
     listed = spans(found, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
@@ -95,7 +107,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
     """docs with every reported span of text replaced by mark (overlapping ones by one mark); all columns come back and
-    n_chars, where there is one, is the new length. A null text stays null."""
+    n_chars, where there is one, is the new length. A null text stays null, texts without spans and repeated rows stay as
+    they are; an empty table stays empty."""
     listed = spans(matches(docs), scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__wl_spans")).withColumnRenamed("key", "__wl_key")
     joined = docs.join(listed, row_key("doc_id", "text") == F.col("__wl_key"), "left")
     text = F.expr(f"""
