@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """materialise, for large tables: compressed more, and the shuffle files behind it are let go at once (Spark deletes
+    them when the driver collects its garbage)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def shortened(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder; the files go when the frame does."""
     shared_dir(df.sparkSession)
