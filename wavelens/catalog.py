@@ -117,7 +117,7 @@ def q08_rule_scores(spark, sf_dir):
     round(max(CASE WHEN k = 1 THEN confidence END), 6) AS top_confidence, max(CASE WHEN k = 1 THEN reference_label END) AS best_reference FROM k GROUP BY 1""")
 def q09_tournament(spark, sf_dir):
     """Each capture's winning signature: features, rules, best reference and ranking."""
-    return rules.ranked(rules.score_signatures(pair_features(views.vectors(spark, sf_dir)))).drop("ranked_ids")
+    return rules.ranked(rules.score_signatures(pair_features(views.vectors(spark, sf_dir)))).drop("ranked_ids", "evidence", "rejections")
 
 
 COUNTS = "count(*) FILTER (p AND q) AS tp, count(*) FILTER (NOT p AND q) AS fp, count(*) FILTER (NOT p AND NOT q) AS tn, count(*) FILTER (p AND NOT q) AS fn"

@@ -1,69 +1,93 @@
-"""The signature rule base as data, and its scores as column expressions in one projection."""
+"""The signature rule base as data. Its scores are one projection over the feature row: the rules are a constant array,
+walked by array functions, so the generated code stays small however many rules there are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Short names of features in the tables below.
-SHORT = {"rms": "rms_ratio", "pk": "peak_ratio", "cr": "correlation", "g": "gain", "ag": "abs(gain)", "lo": "low_freq_ratio", "mi": "mid_freq_ratio", "hi": "high_freq_ratio", "sg": "edge_segments", "zc": "zero_crossings", "ivf": "initial_vs_final_rms", "dr": "derivative_rms"}
+#: What rules look at; abs_gain is derived.
+VALUES = ["rms_ratio", "peak_ratio", "correlation", "gain", "abs_gain", "low_freq_ratio", "mid_freq_ratio", "high_freq_ratio", "edge_segments", "zero_crossings", "initial_vs_final_rms", "derivative_rms"]
 
-#: Fixed values. Signature: family, terms (weight feature low high), condition, reason if it holds, reason if not.
+#: Fixed values. Signature: family, terms (weight, feature, low, high), conditions, reason if all hold, reason if not.
 RULES = {
-    "pq_voltage_sag": ("power_quality", ".28 rms .74 .80, .22 pk 1.04 1.18, .20 cr -.40 .10, .15 g -.30 .02, .15 ivf .96 1.05", "rms < .82 and pk > 1.02 and cr < .2 and g < .1", "reduced_rms_and_gain", "no_sag_like_drop"),
-    "pq_voltage_swell": ("power_quality", ".30 rms 1.01 1.05, .25 pk 1.45 1.60, .20 lo .45 .70, .15 cr -.25 .10, .10 ag .05 .25", "rms > 1.00 and pk > 1.35 and lo > .40", "elevated_rms_and_gain", "no_swell_like_rise"),
-    "pq_short_interruption": ("power_quality", ".32 rms .68 .76, .20 pk 1.00 1.15, .18 hi .48 .74, .15 zc 50 450, .15 sg 1 3", "rms < .78 and pk > .98 and hi > .42", "near_zero_energy_window", "not_short_interruption_like"),
-    "pq_harmonic_distortion": ("power_quality", ".28 rms .87 .93, .28 mi .10 .20, .24 hi .25 .62, .12 pk 1.15 1.28, .08 lo .25 .70", "mi > .08 and hi > .22 and rms > .84", "harmonic_energy_enhanced", "insufficient_harmonic_energy"),
-    "pq_flicker_am_mod": ("power_quality", ".30 lo .55 .85, .25 pk 1.15 1.35, .20 hi .15 .45, .15 zc 0 100, .10 ag 0 .08", "lo > .50 and hi < .50 and pk > 1.10 and zc < 120", "slow_amplitude_envelope_variation", "no_clear_flicker_envelope"),
-    "pq_commutation_notch": ("power_quality", ".28 pk 1.20 1.38, .24 zc 18 140, .24 hi .34 .70, .14 mi .03 .07, .10 cr -.20 .20", "pk > 1.18 and zc >= 12 and hi > .30", "sharp_event_cluster_detected", "no_commutation_notch_cluster"),
-    "pq_impulsive_transient": ("power_quality", ".28 pk 1.10 2.20, .24 hi .40 .68, .20 ivf 1.08 1.22, .14 rms .84 .92, .14 zc 8 120", "pk > 1.05 and hi > .36 and ivf > 1.05", "impulsive_peak_and_derivative", "no_impulsive_transient"),
-    "pq_oscillatory_transient": ("power_quality", ".30 hi .45 .72, .25 pk 1.05 1.20, .18 rms .84 .92, .15 g -.20 .05, .12 mi .025 .06", "hi > .40 and pk > 1.02 and rms > .82", "oscillatory_tail_energy", "no_oscillatory_tail"),
-    "emi_eft_burst": ("switching_emc", ".26 rms .08 .14, .24 hi .82 .95, .20 ivf .95 1.15, .16 pk .40 .60, .14 zc 100 2000", "rms < .16 and hi > .80 and ivf > .92 and ivf < 1.20", "burst_like_edge_cluster", "no_eft_burst_pattern"),
-    "current_inrush": ("switching_emc", ".32 ivf 2.2 3.2, .26 rms .38 .46, .18 pk 1.04 1.20, .12 cr .25 .55, .12 hi .35 .75", "ivf > 2.0 and rms < .50 and pk > 1.0", "startup_envelope_above_recovery", "no_inrush_envelope"),
-    "switch_relay_contact_bounce": ("digital_timing", ".28 sg 8 12, .24 zc 150 1500, .22 hi .76 .87, .14 pk .62 .76, .12 cr .08 .25", "sg >= 8 and zc >= 100 and hi > .72 and pk < .80", "clustered_digital_toggles", "no_relay_bounce_cluster"),
-    "relay_coil_inductive_kick": ("switching_emc", ".26 rms .09 .14, .24 hi .58 .80, .20 zc 250 1500, .18 pk .88 1.04, .12 ivf .95 1.10", "rms < .14 and hi > .55 and pk > .88 and pk < 1.06", "kickback_like_transient", "no_inductive_kick_like_transient"),
-    "ground_loop_hum": ("measurement_artifact", ".30 rms .25 .35, .24 lo .20 .40, .18 pk .40 .60, .18 hi .35 .85, .10 zc 20 250", "rms < .40 and lo > .18 and pk < .65", "mains_frequency_dominance", "no_ground_loop_hum_signature"),
-    "common_mode_noise": ("measurement_artifact", ".30 rms .12 .22, .24 hi .85 1.0, .20 pk .28 .45, .16 lo .03 .12, .10 ivf .75 .98", "rms < .28 and hi > .82 and pk < .50 and ivf < 1.05", "shared_residual_energy_detected", "no_common_mode_excess"),
-    "pwm_vfd_edge_coupled_noise": ("switching_emc", ".30 ivf 1.25 1.85, .24 hi .82 .95, .18 rms .15 .30, .16 pk .40 .60, .12 zc 120 2000", "ivf > 1.20 and hi > .80 and pk < .65", "edge_coupled_high_frequency_activity", "no_pwm_vfd_like_coupling"),
-    "sensor_threshold_chatter": ("digital_timing", ".28 sg 20 30, .24 zc 240 2000, .20 hi .76 .88, .18 pk .30 .42, .10 ivf 1.25 2.20", "sg >= 18 and zc >= 180 and pk < .50", "threshold_hover_toggle_cluster", "no_sensor_chatter"),
-    "slow_edge_late_transition": ("digital_timing", ".30 cr .84 .95, .24 g .82 .97, .22 ivf .04 .10, .14 rms .83 .88, .10 pk 1.04 1.18", "cr > .80 and g > .75 and ivf < .12", "slow_transition_slope", "no_slow_edge_pattern"),
-    "missed_short_pulse": ("digital_timing", ".30 rms .10 .13, .24 pk .84 .92, .18 hi .78 .86, .16 sg 1 3, .12 zc 120 2000", "rms < .15 and pk < .95 and hi > .75", "pulse_missing_or_subthreshold", "no_missed_pulse_pattern"),
-    "high_speed_input_bounce": ("digital_timing", ".28 sg 12 18, .24 hi .83 .92, .20 pk .74 .86, .18 zc 150 2000, .10 dr .035 .09", "sg >= 10 and hi > .80 and pk > .70", "clustered_input_transitions", "no_high_speed_bounce_cluster"),
+    "pq_voltage_sag": ("power_quality", [(0.28, "rms_ratio", 0.74, 0.8), (0.22, "peak_ratio", 1.04, 1.18), (0.2, "correlation", -0.4, 0.1), (0.15, "gain", -0.3, 0.02), (0.15, "initial_vs_final_rms", 0.96, 1.05)], [("rms_ratio", "<", 0.82), ("peak_ratio", ">", 1.02), ("correlation", "<", 0.2), ("gain", "<", 0.1)], "reduced_rms_and_gain", "no_sag_like_drop"),
+    "pq_voltage_swell": ("power_quality", [(0.3, "rms_ratio", 1.01, 1.05), (0.25, "peak_ratio", 1.45, 1.6), (0.2, "low_freq_ratio", 0.45, 0.7), (0.15, "correlation", -0.25, 0.1), (0.1, "abs_gain", 0.05, 0.25)], [("rms_ratio", ">", 1.0), ("peak_ratio", ">", 1.35), ("low_freq_ratio", ">", 0.4)], "elevated_rms_and_gain", "no_swell_like_rise"),
+    "pq_short_interruption": ("power_quality", [(0.32, "rms_ratio", 0.68, 0.76), (0.2, "peak_ratio", 1.0, 1.15), (0.18, "high_freq_ratio", 0.48, 0.74), (0.15, "zero_crossings", 50.0, 450.0), (0.15, "edge_segments", 1.0, 3.0)], [("rms_ratio", "<", 0.78), ("peak_ratio", ">", 0.98), ("high_freq_ratio", ">", 0.42)], "near_zero_energy_window", "not_short_interruption_like"),
+    "pq_harmonic_distortion": ("power_quality", [(0.28, "rms_ratio", 0.87, 0.93), (0.28, "mid_freq_ratio", 0.1, 0.2), (0.24, "high_freq_ratio", 0.25, 0.62), (0.12, "peak_ratio", 1.15, 1.28), (0.08, "low_freq_ratio", 0.25, 0.7)], [("mid_freq_ratio", ">", 0.08), ("high_freq_ratio", ">", 0.22), ("rms_ratio", ">", 0.84)], "harmonic_energy_enhanced", "insufficient_harmonic_energy"),
+    "pq_flicker_am_mod": ("power_quality", [(0.3, "low_freq_ratio", 0.55, 0.85), (0.25, "peak_ratio", 1.15, 1.35), (0.2, "high_freq_ratio", 0.15, 0.45), (0.15, "zero_crossings", 0.0, 100.0), (0.1, "abs_gain", 0.0, 0.08)], [("low_freq_ratio", ">", 0.5), ("high_freq_ratio", "<", 0.5), ("peak_ratio", ">", 1.1), ("zero_crossings", "<", 120.0)], "slow_amplitude_envelope_variation", "no_clear_flicker_envelope"),
+    "pq_commutation_notch": ("power_quality", [(0.28, "peak_ratio", 1.2, 1.38), (0.24, "zero_crossings", 18.0, 140.0), (0.24, "high_freq_ratio", 0.34, 0.7), (0.14, "mid_freq_ratio", 0.03, 0.07), (0.1, "correlation", -0.2, 0.2)], [("peak_ratio", ">", 1.18), ("zero_crossings", ">=", 12.0), ("high_freq_ratio", ">", 0.3)], "sharp_event_cluster_detected", "no_commutation_notch_cluster"),
+    "pq_impulsive_transient": ("power_quality", [(0.28, "peak_ratio", 1.1, 2.2), (0.24, "high_freq_ratio", 0.4, 0.68), (0.2, "initial_vs_final_rms", 1.08, 1.22), (0.14, "rms_ratio", 0.84, 0.92), (0.14, "zero_crossings", 8.0, 120.0)], [("peak_ratio", ">", 1.05), ("high_freq_ratio", ">", 0.36), ("initial_vs_final_rms", ">", 1.05)], "impulsive_peak_and_derivative", "no_impulsive_transient"),
+    "pq_oscillatory_transient": ("power_quality", [(0.3, "high_freq_ratio", 0.45, 0.72), (0.25, "peak_ratio", 1.05, 1.2), (0.18, "rms_ratio", 0.84, 0.92), (0.15, "gain", -0.2, 0.05), (0.12, "mid_freq_ratio", 0.025, 0.06)], [("high_freq_ratio", ">", 0.4), ("peak_ratio", ">", 1.02), ("rms_ratio", ">", 0.82)], "oscillatory_tail_energy", "no_oscillatory_tail"),
+    "emi_eft_burst": ("switching_emc", [(0.26, "rms_ratio", 0.08, 0.14), (0.24, "high_freq_ratio", 0.82, 0.95), (0.2, "initial_vs_final_rms", 0.95, 1.15), (0.16, "peak_ratio", 0.4, 0.6), (0.14, "zero_crossings", 100.0, 2000.0)], [("rms_ratio", "<", 0.16), ("high_freq_ratio", ">", 0.8), ("initial_vs_final_rms", ">", 0.92), ("initial_vs_final_rms", "<", 1.2)], "burst_like_edge_cluster", "no_eft_burst_pattern"),
+    "current_inrush": ("switching_emc", [(0.32, "initial_vs_final_rms", 2.2, 3.2), (0.26, "rms_ratio", 0.38, 0.46), (0.18, "peak_ratio", 1.04, 1.2), (0.12, "correlation", 0.25, 0.55), (0.12, "high_freq_ratio", 0.35, 0.75)], [("initial_vs_final_rms", ">", 2.0), ("rms_ratio", "<", 0.5), ("peak_ratio", ">", 1.0)], "startup_envelope_above_recovery", "no_inrush_envelope"),
+    "switch_relay_contact_bounce": ("digital_timing", [(0.28, "edge_segments", 8.0, 12.0), (0.24, "zero_crossings", 150.0, 1500.0), (0.22, "high_freq_ratio", 0.76, 0.87), (0.14, "peak_ratio", 0.62, 0.76), (0.12, "correlation", 0.08, 0.25)], [("edge_segments", ">=", 8.0), ("zero_crossings", ">=", 100.0), ("high_freq_ratio", ">", 0.72), ("peak_ratio", "<", 0.8)], "clustered_digital_toggles", "no_relay_bounce_cluster"),
+    "relay_coil_inductive_kick": ("switching_emc", [(0.26, "rms_ratio", 0.09, 0.14), (0.24, "high_freq_ratio", 0.58, 0.8), (0.2, "zero_crossings", 250.0, 1500.0), (0.18, "peak_ratio", 0.88, 1.04), (0.12, "initial_vs_final_rms", 0.95, 1.1)], [("rms_ratio", "<", 0.14), ("high_freq_ratio", ">", 0.55), ("peak_ratio", ">", 0.88), ("peak_ratio", "<", 1.06)], "kickback_like_transient", "no_inductive_kick_like_transient"),
+    "ground_loop_hum": ("measurement_artifact", [(0.3, "rms_ratio", 0.25, 0.35), (0.24, "low_freq_ratio", 0.2, 0.4), (0.18, "peak_ratio", 0.4, 0.6), (0.18, "high_freq_ratio", 0.35, 0.85), (0.1, "zero_crossings", 20.0, 250.0)], [("rms_ratio", "<", 0.4), ("low_freq_ratio", ">", 0.18), ("peak_ratio", "<", 0.65)], "mains_frequency_dominance", "no_ground_loop_hum_signature"),
+    "common_mode_noise": ("measurement_artifact", [(0.3, "rms_ratio", 0.12, 0.22), (0.24, "high_freq_ratio", 0.85, 1.0), (0.2, "peak_ratio", 0.28, 0.45), (0.16, "low_freq_ratio", 0.03, 0.12), (0.1, "initial_vs_final_rms", 0.75, 0.98)], [("rms_ratio", "<", 0.28), ("high_freq_ratio", ">", 0.82), ("peak_ratio", "<", 0.5), ("initial_vs_final_rms", "<", 1.05)], "shared_residual_energy_detected", "no_common_mode_excess"),
+    "pwm_vfd_edge_coupled_noise": ("switching_emc", [(0.3, "initial_vs_final_rms", 1.25, 1.85), (0.24, "high_freq_ratio", 0.82, 0.95), (0.18, "rms_ratio", 0.15, 0.3), (0.16, "peak_ratio", 0.4, 0.6), (0.12, "zero_crossings", 120.0, 2000.0)], [("initial_vs_final_rms", ">", 1.2), ("high_freq_ratio", ">", 0.8), ("peak_ratio", "<", 0.65)], "edge_coupled_high_frequency_activity", "no_pwm_vfd_like_coupling"),
+    "sensor_threshold_chatter": ("digital_timing", [(0.28, "edge_segments", 20.0, 30.0), (0.24, "zero_crossings", 240.0, 2000.0), (0.2, "high_freq_ratio", 0.76, 0.88), (0.18, "peak_ratio", 0.3, 0.42), (0.1, "initial_vs_final_rms", 1.25, 2.2)], [("edge_segments", ">=", 18.0), ("zero_crossings", ">=", 180.0), ("peak_ratio", "<", 0.5)], "threshold_hover_toggle_cluster", "no_sensor_chatter"),
+    "slow_edge_late_transition": ("digital_timing", [(0.3, "correlation", 0.84, 0.95), (0.24, "gain", 0.82, 0.97), (0.22, "initial_vs_final_rms", 0.04, 0.1), (0.14, "rms_ratio", 0.83, 0.88), (0.1, "peak_ratio", 1.04, 1.18)], [("correlation", ">", 0.8), ("gain", ">", 0.75), ("initial_vs_final_rms", "<", 0.12)], "slow_transition_slope", "no_slow_edge_pattern"),
+    "missed_short_pulse": ("digital_timing", [(0.3, "rms_ratio", 0.1, 0.13), (0.24, "peak_ratio", 0.84, 0.92), (0.18, "high_freq_ratio", 0.78, 0.86), (0.16, "edge_segments", 1.0, 3.0), (0.12, "zero_crossings", 120.0, 2000.0)], [("rms_ratio", "<", 0.15), ("peak_ratio", "<", 0.95), ("high_freq_ratio", ">", 0.75)], "pulse_missing_or_subthreshold", "no_missed_pulse_pattern"),
+    "high_speed_input_bounce": ("digital_timing", [(0.28, "edge_segments", 12.0, 18.0), (0.24, "high_freq_ratio", 0.83, 0.92), (0.2, "peak_ratio", 0.74, 0.86), (0.18, "zero_crossings", 150.0, 2000.0), (0.1, "derivative_rms", 0.035, 0.09)], [("edge_segments", ">=", 10.0), ("high_freq_ratio", ">", 0.8), ("peak_ratio", ">", 0.7)], "clustered_input_transitions", "no_high_speed_bounce_cluster"),
 }
 UNMATCHED_CAP = 0.45
+#: Fixed values for signatures without rules: weights of residual and correlation, and the residual that matches.
+FALLBACK = (0.5, 0.2, 0.12)
 
 
-def band_sql(value: str, low: float, high: float) -> str:
-    """Score of a value against a band: 1 inside, falling to 0 over a soft margin; the same text serves any SQL engine."""
-    soft = max(0.75 * (high - low), 0.2 * abs(low), 0.2 * abs(high), 1e-6)
-    return f"greatest(0e0, 1e0 - greatest({low!r}e0 - {value}, {value} - {high!r}e0, 0e0) / {soft:.17g}e0)"
+def soft_margin(low: float, high: float) -> float:
+    """How far outside its band a value still scores."""
+    return max(0.75 * (high - low), 0.2 * abs(low), 0.2 * abs(high), 1e-6)
 
 
-def condition_sql(condition: str) -> str:
-    out = [p.split() for p in condition.split(" and ")]
-    return " AND ".join(f"{SHORT[f]} {op} {float(v)!r}e0" for f, op, v in out)
+def _value_sql(feature: str) -> str:
+    return "abs(gain)" if feature == "abs_gain" else feature
 
 
 def score_sql(signature: str) -> tuple[str, str]:
-    """SQL of a signature's condition and confidence over the feature columns."""
-    _, terms, condition, *_ = RULES[signature]
-    parts = [t.split() for t in terms.split(", ")]
-    total = sum(float(w) for w, *_ in parts)
-    mixed = " + ".join(f"{float(w)!r}e0 * {band_sql(SHORT[f], float(lo), float(hi))}" for w, f, lo, hi in parts)
-    score = f"least(1e0, greatest(0e0, ({mixed}) / {total:.17g}e0))"
-    met = condition_sql(condition)
+    """The signature's condition and confidence over the feature columns, as SQL for any engine."""
+    _, terms, conditions, *_ = RULES[signature]
+    met = " AND ".join(f"{_value_sql(f)} {op} {v!r}e0" for f, op, v in conditions)
+    band = lambda f, low, high: f"greatest(0e0, 1e0 - greatest({low!r}e0 - {_value_sql(f)}, {_value_sql(f)} - {high!r}e0, 0e0) / {soft_margin(low, high):.17g}e0)"
+    mixed = " + ".join(f"{w!r}e0 * {band(f, low, high)}" for w, f, low, high in terms)
+    score = f"least(1e0, greatest(0e0, ({mixed}) / {sum(w for w, *_ in terms):.17g}e0))"
     return met, f"CASE WHEN {met} THEN {score} ELSE least({UNMATCHED_CAP}e0, {score}) END"
 
 
+def _constant(signatures: list[str]) -> str:
+    """The rules as a constant array of structs; features by their place in VALUES."""
+    number = lambda x: f"{float(x)!r}D"
+    rows = []
+    for s in signatures:
+        family, terms, conditions, yes, no = RULES[s]
+        total = sum(w for w, *_ in terms)
+        t = ", ".join(f"named_struct('w', {number(w / total)}, 'i', {VALUES.index(f)}, 'low', {number(low)}, 'high', {number(high)}, 'soft', {number(soft_margin(low, high))})" for w, f, low, high in terms)
+        c = ", ".join(f"named_struct('i', {VALUES.index(f)}, 'op', '{op}', 'v', {number(v)})" for f, op, v in conditions)
+        rows.append(f"named_struct('id', '{s}', 'family', '{family}', 'terms', array({t}), 'conditions', array({c}), 'yes', '{yes}', 'no', '{no}')")
+    return f"array({', '.join(rows)})"
+
+
 def score_signatures(features: DataFrame, signatures: list[str] | None = None) -> DataFrame:
     """features with a column `scores`: an array of (signature_id, family, matched, confidence, reason), one for each
-    signature. All rules are expressions of one projection, so features are neither shuffled nor multiplied."""
-    rows = []
-    for s in signatures or RULES:
-        family, _, _, yes, no = RULES[s]
-        met, confidence = score_sql(s)
-        rows.append(f"named_struct('signature_id', '{s}', 'family', '{family}', 'matched', coalesce({met}, false), 'confidence', {confidence}, 'reason', CASE WHEN {met} THEN '{yes}' ELSE '{no}' END)")
-    return features.withColumn("scores", F.expr(f"array({', '.join(rows)})"))
+    signature; features are neither shuffled nor multiplied. A signature without rules takes the fallback: residual and
+    correlation. A row without features (rejected) matches nothing, with confidence 0."""
+    wanted = list(signatures or RULES)
+    known, others = [s for s in wanted if s in RULES], [s for s in wanted if s not in RULES]
+    values = "array(" + ", ".join(_value_sql(v) for v in VALUES) + ")"
+    score = "least(1D, greatest(0D, aggregate(r.terms, 0D, (a, t) -> a + t.w * greatest(0D, 1D - greatest(t.low - v[t.i], v[t.i] - t.high, 0D) / t.soft))))"
+    met = "forall(r.conditions, c -> CASE c.op WHEN '>' THEN v[c.i] > c.v WHEN '>=' THEN v[c.i] >= c.v ELSE v[c.i] < c.v END)"
+    row = "named_struct('signature_id', {id}, 'family', {family}, 'matched', x.met, 'confidence', if(x.met, x.score, least(%sD, x.score)), 'reason', if(x.met, {yes}, {no}))" % UNMATCHED_CAP
+    let = lambda name, e, body: f"transform(array({e}), {name} -> {body})[0]"
+    parts = []
+    if known:
+        one = let("x", f"named_struct('met', coalesce({met}, false), 'score', if(gain IS NULL, 0D, {score}))", row.format(id="r.id", family="r.family", yes="r.yes", no="r.no"))
+        parts.append(let("v", values, f"transform({_constant(known)}, r -> {one})"))
+    for s in others:
+        a, b, least = FALLBACK
+        weak = f"named_struct('met', coalesce(residual_energy_ratio > {least}D, false), 'score', coalesce(least(1D, greatest(0D, {a}D * residual_energy_ratio + {b}D * greatest(correlation, 0D))), 0D))"
+        parts.append(f"array({let('x', weak, row.format(id=repr(s), family=repr('unknown'), yes=repr('generic_residual'), no=repr('no_residual')))})")
+    return features.withColumn("scores", F.expr(f"concat({', '.join(parts)})"))
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -84,5 +108,7 @@ def ranked(scored: DataFrame) -> DataFrame:
         top.signature_id.alias("top_signature"),
         (-top.minus).alias("top_confidence"),
         top.best_reference.alias("best_reference"),
+        F.when(~top.unmatched, F.array(F.concat(F.lit("best_reference="), top.best_reference), top.reason)).otherwise(F.array().cast("array<string>")).alias("evidence"),
+        F.when(top.unmatched, F.array(top.reason)).otherwise(F.array().cast("array<string>")).alias("rejections"),
         F.array_join(F.transform("ranked", lambda x: x.signature_id), " > ").alias("ranked_ids"),
     )
