@@ -180,7 +180,7 @@ def cases(spark, sf_dir) -> DataFrame:
     m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0) AS specificity, coalesce((tp + tn) / nullif(total, 0), 0) AS accuracy FROM g)
     SELECT tier, truth, total, tp, fp, tn, fn, {r('precision', 'recall', 'specificity', 'accuracy', '(recall + specificity) / 2 AS balanced_accuracy')} FROM m""")
 def q16_capture_metrics(spark, sf_dir):
-    return metrics.capture_metrics(cases(spark, sf_dir), "(), (truth), (tier), (tier, truth)")
+    return metrics.capture_metrics(cases(spark, sf_dir), [[], ["truth"], ["tier"], ["tier", "truth"]])
 
 
 @query(f"WITH {SCORES}, {DECISIONS} SELECT CASE WHEN truth = 'N' THEN 'N:negative_control' ELSE truth END AS expected, coalesce(winner, 'no_primary') AS predicted, count(*) AS n FROM decisions GROUP BY ALL")
@@ -190,11 +190,11 @@ def q17_confusion_pairs(spark, sf_dir):
     return d.groupBy(expected.alias("expected"), F.coalesce("winner", F.lit("no_primary")).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SCORES}, d AS (SELECT *, CASE WHEN truth = signature_id THEN 1.0 ELSE 0.8 END::DOUBLE AS ref FROM scores), g AS (SELECT *, least(1, greatest(0, confidence * (0.70 + 0.30 * ref) + CASE WHEN matched THEN 0.05 ELSE 0 END)) AS score FROM d),
+@query(f"""WITH {SCORES}, d AS (SELECT *, CASE WHEN matched THEN 1.0 ELSE 0.25 END::DOUBLE AS ref FROM scores), g AS (SELECT *, least(1, greatest(0, confidence * (0.70 + 0.30 * ref) + CASE WHEN matched THEN 0.05 ELSE 0 END)) AS score FROM d),
     k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY score DESC, confidence DESC, ref DESC, signature_id)::INT AS rank, count(*) FILTER (matched) OVER (PARTITION BY capture_id) AS multi_match_count FROM g)
     SELECT capture_id, signature_id, {r('confidence', 'score')}, rank, CASE WHEN matched AND rank = min(CASE WHEN matched THEN rank END) OVER (PARTITION BY capture_id) THEN 'primary' WHEN matched THEN 'secondary_candidate' ELSE 'below_threshold' END AS role, multi_match_count, multi_match_count >= 2 AS ambiguous FROM k""")
 def q18_diagnostic_rank(spark, sf_dir):
-    ref = F.when(F.col("truth") == F.col("signature_id"), 1.0).otherwise(0.8)
+    ref = F.when(F.col("matched"), 1.0).otherwise(0.25)  # evidence of a result: a best reference if any line matches, else weak ones
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence") * (0.70 + 0.30 * ref) + F.when(F.col("matched"), 0.05).otherwise(0.0)))
     case = Window.partitionBy("capture_id")
     d = views.scores(spark, sf_dir).withColumn("ref", ref).withColumn("score", score)
@@ -277,11 +277,11 @@ def q33_asof(spark, sf_dir):
     return joins.asof(s.where("event_type = 'purchase'").select("capture_id", "event_id", "t"), s.where("event_type = 'click'").select("capture_id", "t", "v"), "capture_id", "t", "v", 86400.0)
 
 
-PULSES = "p AS (SELECT capture_id, event_id, event_type, t AS start_s, t + abs(v) * 60 AS end_s FROM samples), a AS (SELECT * FROM p WHERE event_type = 'purchase'), b AS (SELECT * FROM p WHERE event_type = 'click')"
+PULSES = "p AS (SELECT capture_id, event_id, event_type, t AS start_s, t + abs(v) * 3600 AS end_s FROM samples), a AS (SELECT * FROM p WHERE event_type = 'purchase'), b AS (SELECT * FROM p WHERE event_type = 'click')"
 
 
 def pulse_sides(spark, sf_dir):
-    p = views.samples(spark, sf_dir).selectExpr("capture_id", "event_id", "event_type", "t AS start_s", "t + abs(v) * 60 AS end_s")
+    p = views.samples(spark, sf_dir).selectExpr("capture_id", "event_id", "event_type", "t AS start_s", "t + abs(v) * 3600 AS end_s")
     side = lambda kind, x: p.where(f"event_type = '{kind}'").selectExpr("capture_id", f"event_id AS {x}_id", f"start_s AS {x}_start", f"end_s AS {x}_end")
     return side("purchase", "source"), side("click", "output")
 
@@ -306,16 +306,17 @@ def q36_nearest_tolerance(spark, sf_dir):
     return joins.nearest(a, b, "capture_id", "source_id", "source_start", "output_start", 7200.0, "output_id").select("capture_id", "source_id", "nearest_output_id", "distance")
 
 
-@query(f"WITH {SAMPLES}, p AS (SELECT * FROM samples WHERE n < 40) SELECT a.capture_id, round(median((b.v - a.v) / (b.n - a.n)), 6) AS slope, count(*) AS pairs FROM p a JOIN p b ON a.capture_id = b.capture_id AND a.n < b.n GROUP BY ALL")
+@query(f"WITH {SAMPLES} SELECT a.capture_id, round(median((b.v - a.v) / (b.n - a.n)), 6) AS slope, count(*) AS pairs FROM samples a JOIN samples b ON a.capture_id = b.capture_id AND a.n < b.n GROUP BY ALL")
 def q37_theil_sen(spark, sf_dir):
-    """Slope of each capture's opening (a track of 40 samples)."""
-    return events.theil_sen(views.samples(spark, sf_dir).where("n < 40"), "capture_id", "n", "v")
+    """Slope of each capture's whole track."""
+    return events.theil_sen(views.samples(spark, sf_dir), "capture_id", "n", "v")
 
 
-@query(f"WITH {SAMPLES} SELECT a.capture_id, round(median((b.v - a.v) / (b.n - a.n)), 6) AS slope, count(*) AS pairs FROM samples a JOIN samples b ON a.capture_id = b.capture_id AND a.n < b.n GROUP BY ALL")
+@query(f"WITH {SAMPLES} SELECT a.capture_id, a.event_type, round(median((b.v - a.v) / (b.t - a.t)), 6) AS slope, count(*) AS pairs FROM samples a JOIN samples b ON a.capture_id = b.capture_id AND a.event_type = b.event_type AND a.t < b.t GROUP BY ALL")
 def q48_theil_sen_track(spark, sf_dir):
-    """Slope of each capture's whole track; q37_theil_sen takes its first 40 samples only."""
-    return events.theil_sen(views.samples(spark, sf_dir), "capture_id", "n", "v")
+    """Slope over time of each capture's tracks, one for each type of event."""
+    s = views.samples(spark, sf_dir).withColumn("track", F.struct("capture_id", "event_type"))
+    return events.theil_sen(s, "track", "t", "v").select("track.capture_id", "track.event_type", "slope", "pairs")
 
 
 @query("SELECT l_returnflag, l_orderkey, l_linenumber, rank::INT AS rank, round(l_extendedprice, 6) AS l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 10")
@@ -432,7 +433,13 @@ def q43_hysteresis(spark, sf_dir):
     return events.hysteresis(views.samples(spark, sf_dir), 50.0, 30.0, 2, 3, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLES}, r AS (SELECT capture_id, event_id AS id, t, row_number() OVER (PARTITION BY capture_id ORDER BY t, event_id) AS k FROM samples WHERE event_type = 'purchase'),
+    l AS (SELECT capture_id, list(struct_pack(t := t, id := event_id)) AS c FROM samples WHERE event_type = 'click' GROUP BY 1),
+    w AS (SELECT capture_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS reference_id, NULL::STRUCT(d DOUBLE, t DOUBLE, id BIGINT) AS best FROM l
+        UNION ALL SELECT capture_id, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.id) END, id, best FROM (SELECT w.capture_id, r.k, w.used, r.id,
+            list_sort(list_transform(list_filter(l.c, lambda x: abs(x.t - r.t) <= 7200 AND NOT list_contains(w.used, x.id)), lambda x: struct_pack(d := abs(x.t - r.t), t := x.t, id := x.id)))[1] AS best
+            FROM w JOIN r ON r.capture_id = w.capture_id AND r.k = w.k + 1 JOIN l ON l.capture_id = w.capture_id))
+    SELECT capture_id, reference_id, best.id AS candidate_id, round(best.d, 6) AS lag_s FROM w WHERE best IS NOT NULL""")
 def q44_greedy_match(spark, sf_dir):
     s = views.samples(spark, sf_dir)
     side = lambda kind: s.where(f"event_type = '{kind}'").selectExpr("capture_id", "event_id AS id", "t")
@@ -444,6 +451,12 @@ def q45_bootstrap(spark, sf_dir):
     return tuning.bootstrap(cases(spark, sf_dir).withColumn("conflict", F.lit(False)), "tier")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT capture_id, t, row_number() OVER (PARTITION BY capture_id ORDER BY t) AS i FROM samples),
+    z AS (SELECT a.capture_id, a.i, a.t, count(*) AS k, max(b.t) AS end_s FROM o a JOIN o b ON a.capture_id = b.capture_id AND b.i >= a.i AND b.t <= a.t + 86400 GROUP BY ALL),
+    w AS (SELECT capture_id, i, t, k, end_s FROM z WHERE i = 1 UNION ALL SELECT z.capture_id, z.i, z.t, z.k, z.end_s FROM w JOIN z ON z.capture_id = w.capture_id AND z.i = CASE WHEN w.k >= 3 THEN w.i + w.k ELSE w.i + 1 END)
+    SELECT capture_id, round(t, 6) AS start_s, round(end_s, 6) AS end_s, k AS edges FROM w WHERE k >= 3""")
 def q47_chatter_windows(spark, sf_dir):
     return events.chatter(views.samples(spark, sf_dir), 86400.0, 3)
+
+
+from . import reports  # noqa: E402, F401 - adds its queries

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .greedy import chatter, greedy_match  # noqa: F401
+from .quantiles import quantiles
+
+
 def by_n():
-    """A capture's samples in order."""
+    """A capture's samples in order. Windows stream a capture through one task, spilling what does not fit; a capture is
+    as long as its instrument's memory, and its order is what these operators are about."""
     return Window.partitionBy("capture_id").orderBy("n")
 
 
@@ -19,14 +24,28 @@ def channel_stats(samples: DataFrame) -> DataFrame:
 
 def pointwise_reference(samples: DataFrame) -> DataFrame:
     """Median, mean and number of captures at each sample index: the ensemble's reference waveform."""
-    return samples.groupBy("n").agg(F.median("v").alias("reference"), F.avg("v").alias("mean"), F.count("*").alias("captures"))
+    mean = samples.groupBy("n").agg(F.avg("v").alias("mean"), F.count("*").alias("captures"))
+    middle = quantiles(samples.select(F.col("n").alias("i"), "v"), ["i"], "v", [0.5])
+    return mean.join(middle.select("i", F.col("q")[0].alias("reference")), F.col("n") == F.col("i"), "left").select("n", "reference", "mean", "captures")
+
+
+def ensemble_spread(samples: DataFrame, trim: float = 0.1) -> DataFrame:
+    """Median, median absolute deviation and trimmed mean (of what lies between the quantiles trim and 1 - trim, both
+    included) at each sample index."""
+    q = quantiles(samples.select(F.col("n").alias("i"), "v"), ["i"], "v", [trim, 0.5, 1 - trim])
+    near = samples.join(q.select("i", "q"), F.col("n") == F.col("i")).withColumn("dev", F.abs(F.col("v") - F.col("q")[1]))
+    kept = F.when((F.col("v") >= F.col("q")[0]) & (F.col("v") <= F.col("q")[2]), F.col("v"))
+    mean = near.groupBy("n", F.col("q")[1].alias("reference")).agg(F.avg(kept).alias("trimmed_mean"), F.count(kept).alias("kept"))
+    mad = quantiles(near.select(F.col("n").alias("i"), "dev"), ["i"], "dev", [0.5])
+    return mean.join(mad.select("i", F.col("q")[0].alias("mad")), F.col("n") == F.col("i")).select("n", "reference", "mad", "trimmed_mean", "kept")
 
 
 def mad_scale(rows: DataFrame, by: str, value: str = "value") -> DataFrame:
-    """Median and 1.4826 times the median absolute deviation by group. Both passes share one shuffle on the group."""
-    centre = rows.groupBy(by).agg(F.median(value).alias("median"))
-    spread = rows.join(centre, by).groupBy(by, "median").agg((1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("scale"), F.count("*").alias("count"))
-    return spread.select(by, "median", "scale", "count")
+    """Median and 1.4826 times the median absolute deviation by group; groups may be of any size."""
+    centre = quantiles(rows, [by], value, [0.5]).select(by, F.col("q")[0].alias("median"), F.col("n").alias("count"))
+    away = rows.join(centre, by).select(by, F.abs(F.col(value) - F.col("median")).alias("d"))
+    spread = quantiles(away, [by], "d", [0.5]).select(by, (1.4826 * F.col("q")[0]).alias("scale"))
+    return centre.join(spread, by).select(by, "median", "scale", "count")
 
 
 def pair_features(samples: DataFrame, reference: DataFrame) -> DataFrame:
@@ -89,7 +108,7 @@ def episodes(events: DataFrame, gap_s: float, least: int) -> DataFrame:
 
 
 def burst_groups(events: DataFrame, factor: float = 5.0) -> DataFrame:
-    """A new burst where an interval exceeds factor times the capture's median interval; counts and missing events."""
+    """A new burst where an interval exceeds factor times the capture's median interval; counts and gaps."""
     steps = events.withColumn("dt", F.col("t") - F.lag("t").over(by_n()))
     typical = steps.groupBy("capture_id").agg(F.median("dt").alias("typical"))
     steps = steps.join(typical, "capture_id").withColumn("opens", F.when(F.col("dt").isNull() | (F.col("dt") > factor * F.col("typical")), 1).otherwise(0))
@@ -149,56 +168,88 @@ def gradient(samples: DataFrame) -> DataFrame:
     return samples.withColumn("dv_dt", F.try_divide(ahead("v") - behind("v"), ahead("t") - behind("t")))
 
 
-def clusters(rows: DataFrame, gap: float, order: str) -> DataFrame:
-    """rows(capture_id, t) with cluster: a capture's rows, cut where more than gap passes without one.
-
-    Greedy passes that never look further than gap can run on each cluster alone, so no task holds a whole capture."""
-    w = Window.partitionBy("capture_id").orderBy("t", order)
-    opens = F.when(F.col("t") - F.lag("t").over(w) <= gap, 0).otherwise(1)
-    return rows.withColumn("cluster", F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def chatter(edges: DataFrame, span: float, least: int) -> DataFrame:
-    """Windows (capture_id, start_s, end_s, edges) of least edges or more within span of their first edge.
-
-    Windows are taken greedily in time and share no edge; an edge that opens none is passed over."""
-    import numpy as np
-    import pandas as pd
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        t, out, at, end = np.sort(group.t.to_numpy()), [], 0, 0
-        while at < len(t):
-            while end < len(t) and t[end] - t[at] <= span:
-                end += 1
-            if end - at >= least:
-                out.append((group.capture_id.iloc[0], t[at], t[end - 1], end - at))
-                at = end
-            else:
-                at += 1
-        return pd.DataFrame(out, columns=["capture_id", "start_s", "end_s", "edges"])
-
-    return clusters(edges.select("capture_id", "t"), span, "t").groupBy("capture_id", "cluster").applyInPandas(run, "capture_id bigint, start_s double, end_s double, edges bigint")
-
-
-def greedy_match(references: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
-    """(capture_id, reference_id, candidate_id, lag_s): references(capture_id, id, t) in order of time each take the
-    nearest free candidate within tolerance, the earlier one of two equally near; every candidate is taken once at most."""
-    import numpy as np
-    import pandas as pd
-
-    both = references.select("capture_id", "id", "t", F.lit(0).alias("side")).union(candidates.select("capture_id", "id", "t", F.lit(1)))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "id"])
-        refs, free = group[group.side == 0], group[group.side == 1]
-        t, ids, used, out = free.t.to_numpy(), free.id.to_numpy(), np.zeros(len(free), bool), []
-        for rid, at in zip(refs.id, refs.t, strict=True):
-            low, high = np.searchsorted(t, [at - 2 * tolerance, at + 2 * tolerance])
-            lag = np.where(used[low:high], np.inf, np.abs(t[low:high] - at))
-            if len(lag) and lag.min() <= tolerance:
-                best = low + int(lag.argmin())
-                used[best] = True
-                out.append((group.capture_id.iloc[0], rid, ids[best], abs(t[best] - at)))
-        return pd.DataFrame(out, columns=["capture_id", "reference_id", "candidate_id", "lag_s"])
-
-    return clusters(both, tolerance, "id").groupBy("capture_id", "cluster").applyInPandas(run, "capture_id bigint, reference_id bigint, candidate_id bigint, lag_s double")
+def pulse_list(states: DataFrame) -> DataFrame:
+    """Pulses of states(capture_id, n, t, v, state): a rising edge to the next falling one, with start, end, width, the
+    peak and the trapezoid area over its samples. A pulse that begins high or is still high at the end is left out."""
+    w = by_n()
+    moved = states.withColumn("before", F.lag("state").over(w)).withColumn("dt", F.lead("t").over(w) - F.col("t")).withColumn("ahead", F.lead("v").over(w))
+    moved = moved.withColumn("pulse", F.sum(F.when((F.col("state") == 1) & (F.col("before") == 0), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fell = (F.col("state") == 0) & (F.col("before") == 1)
+    area = F.when(F.col("state") == 1, F.col("dt") * (F.col("v") + F.col("ahead")) / 2)
+    out = moved.where("pulse > 0").groupBy("capture_id", "pulse").agg(F.min("t").alias("start_s"), F.min(F.when(fell, F.col("t"))).alias("end_s"), F.max(F.when(F.col("state") == 1, F.col("v"))).alias("peak"), F.sum(area).alias("area"))
+    return out.where("end_s IS NOT NULL").withColumn("width_s", F.col("end_s") - F.col("start_s"))
+
+
+def merged_count(samples: DataFrame, condition: str, gap_s: float) -> DataFrame:
+    """Events of each capture where condition holds; those no more than gap_s after the one before are the same event."""
+    on = samples.withColumn("on", F.expr(condition)).where("on").withColumn("dt", F.col("t") - F.lag("t").over(by_n()))
+    counted = on.groupBy("capture_id").agg(F.count_if(F.col("dt").isNull() | (F.col("dt") > gap_s)).alias("events"))
+    return samples.select("capture_id").distinct().join(counted, "capture_id", "left").select("capture_id", F.coalesce("events", F.lit(0)).cast("bigint").alias("events"))
+
+
+def activity_onset(samples: DataFrame, pre_share: float = 0.1, half: int = 1) -> DataFrame:
+    """First time after the opening share of a capture at which the moving mean of deviations exceeds the noise floor.
+
+    Deviations are from the opening's median; the floor is their median plus six median absolute deviations there, and 5 %
+    of the peak to peak at least. Null if there is none, or the opening has under 8 samples."""
+    ends = samples.groupBy("capture_id").agg((F.min("t") + pre_share * (F.max("t") - F.min("t"))).alias("until"), (0.05 * (F.max("v") - F.min("v"))).alias("least"))
+    rows = samples.join(ends, "capture_id").withColumn("pre", F.col("t") <= F.col("until"))
+    base = rows.where("pre").groupBy("capture_id").agg(F.median("v").alias("base"), F.count("*").alias("k"))
+    dev = rows.join(base, "capture_id").withColumn("dev", F.abs(F.col("v") - F.col("base")))
+    middle = dev.where("pre").groupBy("capture_id").agg(F.median("dev").alias("m"))
+    spread = dev.where("pre").join(middle, "capture_id").groupBy("capture_id", "m").agg(F.median(F.abs(F.col("dev") - F.col("m"))).alias("s"))
+    smooth = dev.join(spread, "capture_id").withColumn("smooth", F.avg("dev").over(by_n().rowsBetween(-half, half)))
+    hit = F.when(~F.col("pre") & (F.col("k") >= 8) & (F.col("smooth") > F.greatest(F.col("m") + 6 * F.col("s"), F.col("least"))), F.col("t"))
+    return smooth.groupBy("capture_id").agg(F.min(hit).alias("onset_s"))
+
+
+def complement(windows: DataFrame, busy: DataFrame, least_s: float, most_s: float) -> DataFrame:
+    """(capture_id, window_id, start_s, end_s): what busy(capture_id, start_s, end_s) leaves of windows(capture_id, window_id,
+    start_s, end_s), pieces of least_s to most_s that end after the capture's first busy interval begins. Captures
+    without busy intervals have none."""
+    first = busy.groupBy("capture_id").agg(F.min("start_s").alias("first"))
+    inside = windows.alias("w").join(busy.alias("b"), F.expr("w.capture_id = b.capture_id AND b.end_s > w.start_s AND b.start_s < w.end_s")).selectExpr("w.capture_id", "w.window_id", "w.start_s AS ws", "w.end_s AS we", "b.start_s AS s", "b.end_s AS e")
+    borders = windows.selectExpr("capture_id", "window_id", "start_s AS ws", "end_s AS we")
+    rows = inside.unionByName(borders.selectExpr("*", "ws AS s", "ws AS e")).unionByName(borders.selectExpr("*", "we AS s", "we AS e"))
+    w = Window.partitionBy("capture_id", "window_id").orderBy("s", "e")
+    free = rows.withColumn("cursor", F.greatest(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("ws"))).where("s > cursor")
+    out = free.join(first, "capture_id").selectExpr("capture_id", "window_id", "cursor AS start_s", "least(s, we) AS end_s", "first")
+    return out.where(f"end_s > first AND end_s - start_s BETWEEN {least_s} AND {most_s}").drop("first")
+
+
+def timeline(*sources: DataFrame) -> DataFrame:
+    """Events (capture_id, t, channel, label) of all sources with seq, their order in the capture by time, channel, label."""
+    every = sources[0]
+    for s in sources[1:]:
+        every = every.unionByName(s)
+    return every.withColumn("seq", F.row_number().over(Window.partitionBy("capture_id").orderBy("t", "channel", "label")))
+
+
+def anchored_windows(events_of: DataFrame, spans: DataFrame) -> DataFrame:
+    """Analysis windows (capture_id, name, start_s, end_s) of positive length from each capture's first events.
+
+    events_of(capture_id, t, label) with labels rose, fell, source, reference, asserted; spans(capture_id, start_s, end_s).
+    Without a rise or fall the capture's own ends serve."""
+    first = lambda label: F.min(F.when(F.col("label") == label, F.col("t")))
+    f = events_of.groupBy("capture_id").agg(*(first(x).alias(x) for x in ("rose", "fell", "source", "reference", "asserted")))
+    c = spans.join(f, "capture_id", "left").withColumn("stop", F.coalesce("fell", "end_s")).withColumn("post", F.greatest("fell", "asserted"))
+    one = lambda name, start, end, when: F.when(when, F.struct(F.lit(name).alias("name"), F.col(start).alias("start_s"), F.col(end).alias("end_s")))
+    has = lambda *cols: F.expr(" AND ".join(f"{x} IS NOT NULL" for x in cols))
+    rows = F.array(one("baseline_pre_command", "start_s", "rose", has("rose")), one("command_active", "rose", "fell", has("rose", "fell")), one("source_activity", "source", "stop", has("source")), one("reference_disturbance", "reference", "stop", has("reference")), one("post_event_recovery", "post", "end_s", has("post")))
+    return c.select("capture_id", F.inline(F.filter(rows, lambda x: x.isNotNull()))).where("end_s > start_s")
+
+
+def window_samples(samples: DataFrame, windows: DataFrame, width: float) -> DataFrame:
+    """Count, mean and RMS of the samples in each window (capture_id, name, start_s, end_s), ends included. Windows are dealt
+    to buckets of width, so a sample meets only those near it."""
+    from .joins import interval_join
+
+    named = windows.withColumnRenamed("start_s", "__from").withColumnRenamed("end_s", "__to")
+    pairs = interval_join(named, samples.select("capture_id", "t", "v"), "capture_id", "__from", "__to", "t", width)
+    return pairs.groupBy("capture_id", "name").agg(F.count("*").alias("samples"), F.avg("v").alias("mean"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
+
+
+def role_deltas(events_of: DataFrame, base: str, others: list[str]) -> DataFrame:
+    """Seconds from a capture's first base event to the first event of each other label; null where either is missing."""
+    first = events_of.groupBy("capture_id").agg(*(F.min(F.when(F.col("label") == x, F.col("t"))).alias(x) for x in (base, *others)))
+    return first.select("capture_id", *((F.col(x) - F.col(base)).alias(f"{x}_after_s") for x in others))

@@ -52,3 +52,15 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_at:
     gap = F.abs(F.col("__from") - F.col("__at"))
     pairs = a.join(b, (F.col("__k") == F.col(key)) & (F.col("__b") == F.col("__c")) & (gap <= tolerance)).groupBy("__row").agg(F.min(F.struct(gap.alias("d"), "__id")).alias("__m"))
     return left.join(pairs, F.col(left_id) == F.col("__row"), "left").select(*left.columns, F.col("__m.__id").alias(f"nearest_{ident}"), F.col("__m.d").alias("distance"))
+
+
+def nearest_time_score(left: DataFrame, right: DataFrame, key: str, t: str, tau: float) -> DataFrame:
+    """left with score, exp(-distance in time to right's nearest row / tau); 0 where there is none. One shuffle on key: the
+    last row of right before and the next one after are carried along, however far they are."""
+    both = right.select(F.col(key), F.col(t).alias("__t"), F.col(t).alias("__r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"))
+    both = both.union(left.select(F.col(key), F.col(t).alias("__t"), F.lit(None).cast("double"), F.struct("*")))
+    w = Window.partitionBy(key).orderBy("__t")
+    behind, ahead = F.last("__r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("__r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("__a", behind).withColumn("__b", ahead).where("__l IS NOT NULL")
+    gap = F.least(F.col("__t") - F.col("__a"), F.col("__b") - F.col("__t"))
+    return found.select("__l.*", F.coalesce(F.exp(-gap / tau), F.lit(0.0)).alias("score")).drop(t)

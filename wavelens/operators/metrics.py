@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null over 0."""
@@ -25,14 +27,15 @@ def confusion_counts(positive: Column, predicted: Column) -> list[Column]:
 
 
 def signature_summary(scores: DataFrame) -> DataFrame:
-    """Counts, confidence statistics and one-vs-rest rates by signature; one shuffle, partial aggregation."""
+    """Counts, confidence statistics and one-vs-rest rates by signature, with partial aggregation; exact quantiles."""
     positive, c = F.col("truth") == F.col("signature_id"), F.col("confidence")
-    out = scores.groupBy("signature_id").agg(
-        F.count("*").alias("total_cases"), _count(F.col("matched")).alias("matched_count"), F.avg(c).alias("mean_confidence"), F.median(c).alias("median_confidence"),
-        F.percentile(c, F.lit(0.05)).alias("p05_confidence"), F.percentile(c, F.lit(0.95)).alias("p95_confidence"), *confusion_counts(positive, F.col("matched")),
-    )
+    out = scores.groupBy("signature_id").agg(F.count("*").alias("total_cases"), _count(F.col("matched")).alias("matched_count"), F.avg(c).alias("mean_confidence"), *confusion_counts(positive, F.col("matched")))
+    names = ("median_confidence", "p05_confidence", "p95_confidence")
+    spread = quantiles(scores, ["signature_id"], "confidence", [0.5, 0.05, 0.95]).select(F.col("signature_id").alias("__s"), *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
+    out = out.join(spread, F.col("signature_id").eqNullSafe(F.col("__s")), "left")
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    return out.select("*", ratio(tp, tp + fn).alias("recall"), ratio(tp, tp + fp).alias("precision"), ratio(fp, fp + tn).alias("fpr"), ratio(tn, tn + fp).alias("specificity"), ratio(tp + tn, F.col("total_cases")).alias("accuracy"))
+    rates = [ratio(tp, tp + fn).alias("recall"), ratio(tp, tp + fp).alias("precision"), ratio(fp, fp + tn).alias("fpr"), ratio(tn, tn + fp).alias("specificity"), ratio(tp + tn, F.col("total_cases")).alias("accuracy")]
+    return out.select("signature_id", "total_cases", "matched_count", "mean_confidence", *names, "tp", "fp", "tn", "fn", *rates)
 
 
 def confusion_matrix(decisions: DataFrame) -> DataFrame:
@@ -43,27 +46,34 @@ def confusion_matrix(decisions: DataFrame) -> DataFrame:
 def overlap_matrix(scores: DataFrame) -> DataFrame:
     """For each pair of signatures, how often both, one or neither match a capture.
 
-    A capture's signatures are gathered once and paired inside the row, so no self join; a missing one does not match.
-    Captures carry at most as many entries as there are signatures."""
-    per = scores.groupBy("capture_id").agg(F.map_from_entries(F.collect_list(F.struct("signature_id", F.struct("matched", "confidence")))).alias("m"))
-    names = scores.select("signature_id").distinct()
-    pairs = names.select(F.col("signature_id").alias("a")).join(names.select(F.col("signature_id").alias("b")), F.col("a") < F.col("b"))
-    # The pairs of signatures are as many as the rule base has, whatever the number of captures.
-    held = per.join(F.broadcast(pairs), F.expr("map_contains_key(m, a)")).selectExpr("a", "b", "coalesce(m[a].matched, false) AS x", "coalesce(m[b].matched, false) AS y", "m[a].confidence AS ca", "m[b].confidence AS cb")
-    both = F.col("x") & F.col("y")
-    out = held.groupBy(F.col("a").alias("signature_a"), F.col("b").alias("signature_b")).agg(
-        F.count("*").alias("total_cases"), _count(both).alias("both_matched"), _count(F.col("x") & ~F.col("y")).alias("a_only"), _count(~F.col("x") & F.col("y")).alias("b_only"), _count(~F.col("x") & ~F.col("y")).alias("neither"),
-        F.avg(F.when(both, F.col("ca"))).alias("mean_confidence_a_when_both"), F.avg(F.when(both, F.col("cb"))).alias("mean_confidence_b_when_both"),
+    A capture's signatures are gathered once and paired inside the row (as many entries as there are signatures), and only
+    pairs of which one matches become rows. What a pair is not seen with follows from the totals of its first signature;
+    the pairs themselves are made inside one row of totals, so nothing is joined but counts."""
+    entries = F.array_sort(F.collect_list(F.struct("signature_id", F.coalesce("matched", F.lit(False)).alias("m"), F.col("confidence").alias("c"))))
+    paired = "flatten(transform(e, (x, i) -> transform(filter(slice(e, i + 2, size(e)), y -> x.m OR y.m), y -> named_struct('a', x.signature_id, 'b', y.signature_id, 'xm', x.m, 'ym', y.m, 'xc', x.c, 'yc', y.c))))"
+    pairs = scores.groupBy("capture_id").agg(entries.alias("e")).select(F.inline(F.expr(paired)))
+    both = F.col("xm") & F.col("ym")
+    seen = pairs.groupBy("a", "b").agg(_count(both).alias("both"), _count(~F.col("xm") & F.col("ym")).alias("b_only"), F.avg(F.when(both, F.col("xc"))).alias("ca"), F.avg(F.when(both, F.col("yc"))).alias("cb"))
+    totals = scores.groupBy("signature_id").agg(F.count("*").alias("n"), _count(F.col("matched")).alias("m"))
+    grid = totals.agg(F.array_sort(F.collect_list(F.struct("signature_id", "n", "m"))).alias("e")).select(F.inline(F.expr("flatten(transform(e, (x, i) -> transform(slice(e, i + 2, size(e)), y -> named_struct('a', x.signature_id, 'b', y.signature_id, 'n', x.n, 'm', x.m))))")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = grid.join(seen, ["a", "b"], "left").withColumn("both", zero("both")).withColumn("b_only", zero("b_only")).withColumn("a_only", F.col("m") - F.col("both"))
+    out = out.withColumn("neither", F.col("n") - F.col("both") - F.col("a_only") - F.col("b_only"))
+    union = F.col("both") + F.col("a_only") + F.col("b_only")
+    return out.select(
+        F.col("a").alias("signature_a"), F.col("b").alias("signature_b"), F.col("n").alias("total_cases"), F.col("both").alias("both_matched"), "a_only", "b_only", "neither", F.col("ca").alias("mean_confidence_a_when_both"), F.col("cb").alias("mean_confidence_b_when_both"),
+        ratio(F.col("both"), F.col("n")).alias("overlap_rate"), ratio(F.col("both"), union).alias("jaccard_overlap"),
     )
-    return out.select("*", ratio(F.col("both_matched"), F.col("total_cases")).alias("overlap_rate"), ratio(F.col("both_matched"), F.col("both_matched") + F.col("a_only") + F.col("b_only")).alias("jaccard_overlap"))
 
 
 def feature_stats(long: DataFrame) -> DataFrame:
-    """Distribution of each feature by signature, of long(signature_id, feature, value); population deviation."""
-    v = F.col("value")
-    q = F.percentile(v, F.array(*(F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = long.where("value IS NOT NULL AND NOT isnan(value)").groupBy("signature_id", "feature").agg(F.count("*").alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return out.select("signature_id", "feature", "count", "mean", "std", "min", *(F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))), "max")
+    """Distribution of each feature by signature, of long(signature_id, feature, value); population deviation, exact quantiles."""
+    v, by = F.col("value"), ["signature_id", "feature"]
+    rows = long.where("value IS NOT NULL AND NOT isnan(value)")
+    out = rows.groupBy(*by).agg(F.count("*").alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(rows, by, "value", [0.05, 0.25, 0.5, 0.75, 0.95]).select(*(F.col(c).alias(f"__{c}") for c in by), "q")
+    out = out.join(q, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return out.select(*by, "count", "mean", "std", "min", *(F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))), "max")
 
 
 def threshold_sweep(scores: DataFrame, thresholds: list[float], min_tpr: float = 0.9, max_fpr: float = 0.05) -> DataFrame:
@@ -89,16 +99,10 @@ def deployable_thresholds(sweep: DataFrame) -> DataFrame:
     return sweep.where("deployable").withColumn("r", rank).where("r = 1").drop("r")
 
 
-def capture_metrics(cases: DataFrame, sets: str) -> DataFrame:
+def capture_metrics(cases: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Precision, recall, specificity and accuracy of cases(positive, predicted, ...) over grouping sets in one pass."""
-    view = "wavelens_cases"
-    cases.createOrReplaceTempView(view)
-    names = sorted({c for c in sets.replace("(", ",").replace(")", ",").replace(" ", "").split(",") if c})
-    keys = ", ".join(names)
-    out = cases.sparkSession.sql(f"""
-        SELECT {keys}, count(*) AS total, count_if(positive AND predicted) AS tp, count_if(NOT positive AND predicted) AS fp,
-            count_if(NOT positive AND NOT predicted) AS tn, count_if(positive AND NOT predicted) AS fn
-        FROM {view} GROUP BY GROUPING SETS ({sets})""")
+    names = sorted({c for s in sets for c in s})
+    out = cases.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.count("*").alias("total"), *confusion_counts(F.col("positive"), F.col("predicted")))
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     out = out.select("*", ratio_or_zero(tp, tp + fp).alias("precision"), ratio_or_zero(tp, tp + fn).alias("recall"), ratio_or_zero(tn, tn + fp).alias("specificity"), ratio_or_zero(tp + tn, F.col("total")).alias("accuracy"))
     return out.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import confusion_counts, ratio_or_zero
@@ -106,3 +106,100 @@ def session_summary(scores: DataFrame, family: Column) -> DataFrame:
     is_truth, passed = F.coalesce(F.col("truth") == F.col("signature_id"), F.lit(False)), F.coalesce(F.col("matched"), F.lit(False))
     marked = scores.withColumn("ambiguous", F.expr("count_if(matched) OVER (PARTITION BY capture_id) >= 2"))
     return marked.groupBy("signature_id", family.alias("family")).agg(F.count("*").alias("total"), *confusion_counts(is_truth, passed), F.count_if("ambiguous").alias("ambiguous_cases"))
+
+
+def outcome_rates(cases: DataFrame, *by: str) -> DataFrame:
+    """Counts and rates of case rows by group, with the objective balanced_default."""
+    positive, right = F.col("expected_fault_present"), F.col("is_correct")
+    out = cases.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(positive & right).alias("tp"), F.count_if(~positive & ~right).alias("fp"), F.count_if(~positive & right).alias("tn"), F.count_if(positive & ~right).alias("fn"))
+    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    out = out.select("*", ratio_or_zero(tp + tn, F.col("total")).alias("accuracy"), ratio_or_zero(tp, tp + fp).alias("precision"), ratio_or_zero(tp, tp + fn).alias("recall"), ratio_or_zero(tn, tn + fp).alias("specificity"))
+    out = out.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
+    gain, rate, floor = GATED["balanced_default"]
+    return out.withColumn("objective", F.col(gain) - PENALTY * F.greatest(F.lit(0.0), F.lit(floor) - F.col(rate)))
+
+
+def aggregate_rows(cases: DataFrame, by: str) -> DataFrame:
+    """Outcome counts, mean and sample deviation (0 for one case) of the expected analyzer's confidence by group."""
+    c = outcome_rates(cases, by).select(by, "total", "tp", "fp", "tn", "fn")
+    s = cases.groupBy(by).agg(F.avg("expected_confidence").alias("mean_confidence"), F.coalesce(F.stddev_samp("expected_confidence"), F.lit(0.0)).alias("std_confidence"))
+    return c.join(s, by)
+
+
+def split_summary(manifest: DataFrame, cases: DataFrame, baseline: str, tuned: str) -> DataFrame:
+    """Sizes of each split, both profiles' rates and objectives, and the profile that the split dev recommends."""
+    z = manifest.groupBy("split").agg(F.count("*").alias("total_cases"), F.count_if("expected_fault_present").alias("positives"), F.count_if(~F.col("expected_fault_present")).alias("negatives"), F.countDistinct("signature_id").alias("signatures"), F.countDistinct("family").alias("families"), F.count_if(F.col("noise_tier") == "high").alias("high_noise_cases"))
+    m = outcome_rates(cases, "profile", "split")
+    of = lambda p, c: F.max(F.when(F.col("profile") == p, F.col(c)))
+    wide = m.groupBy("split").agg(*(of(p, c).alias(f"{n}_{c}") for c in ("accuracy", "precision", "recall") for n, p in (("baseline", baseline), ("tuned", tuned))), of(baseline, "objective").alias("objective_baseline"), of(tuned, "objective").alias("objective_tuned"))
+    better = F.max(F.when(F.col("split") == "dev", F.when(F.col("objective_tuned") >= F.col("objective_baseline"), "tuned").otherwise("baseline"))).over(Window.partitionBy(F.lit(1)))  # a row for each split
+    return z.join(wide.withColumn("recommended_profile", better), "split")
+
+
+def overfit_diagnostics(cases: DataFrame, baseline: str, tuned: str) -> DataFrame:
+    """(diagnostic, baseline, tuned, delta) of the checks that fire, of case rows by profile and split; one row
+    no_material_overfit_signals if none does. All checks are filters over counts by split, tier and top groups."""
+    m = outcome_rates(cases, "profile", "split").where("split IN ('dev', 'test')")
+    of = lambda p, s, c: F.max(F.when((F.col("profile") == p) & (F.col("split") == s), F.col(c)))
+    one = m.agg(*(of(p, s, c).alias(f"{n}_{s}_{c}") for n, p in (("b", baseline), ("t", tuned)) for s in ("dev", "test") for c in ("balanced_accuracy", "recall", "precision", "fp", "fn")))
+    wrong = cases.where((F.col("profile") == tuned) & (F.col("split") == "test"))
+    share = lambda rows, key, name: rows.groupBy(key).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias(name))
+    tiers = outcome_rates(cases.where(F.col("profile") == tuned), "noise_tier").agg(F.max(F.when(F.col("noise_tier") == "normal", F.col("balanced_accuracy"))).alias("normal"), F.max(F.when(F.col("noise_tier") == "high", F.col("balanced_accuracy"))).alias("high"))
+    parts = [one, share(wrong.where("is_false_positive"), "predicted_primary", "fp_share"), share(wrong.where("is_false_negative"), "test_id", "fn_share"), tiers]
+    row = parts[0].withColumn("one", F.lit(1))
+    for p in parts[1:]:
+        row = row.join(p.withColumn("one", F.lit(1)), "one")  # single rows
+    checks = [
+        ("dev_improvement_not_transferred", "t_dev_balanced_accuracy > b_dev_balanced_accuracy AND t_test_balanced_accuracy < b_test_balanced_accuracy", "b_test_balanced_accuracy", "t_test_balanced_accuracy"),
+        ("recall_gain_with_precision_collapse", "t_test_recall >= b_test_recall AND t_test_precision + 0.03 < b_test_precision", "b_test_precision", "t_test_precision"),
+        ("single_analyzer_dominates_false_positives", "fp_share >= 0.30", "b_test_fp", "t_test_fp"), ("single_test_dominates_false_negatives", "fn_share >= 0.20", "b_test_fn", "t_test_fn"),
+        ("high_noise_underperforms_normal_noise", "normal - high >= 0.05", "normal", "high"),
+    ]
+    rows = ", ".join(f"CASE WHEN {cond} THEN named_struct('diagnostic', '{name}', 'baseline', double({a}), 'tuned', double({b})) END" for name, cond, a, b in checks)
+    fired = row.select(F.expr(f"filter(array({rows}), x -> x IS NOT NULL)").alias("f"))
+    none = "array(named_struct('diagnostic', 'no_material_overfit_signals', 'baseline', 0D, 'tuned', 0D))"
+    return fired.select(F.inline(F.expr(f"if(size(f) > 0, f, {none})"))).withColumn("delta", F.col("tuned") - F.col("baseline"))
+
+
+def coordinate_descent(manifest: DataFrame, results: DataFrame, start: dict[str, float], thresholds: list[float], min_precision: float, target_recall: float, passes: int = 4) -> tuple[DataFrame, dict[str, float]]:
+    """Thresholds tuned one signature at a time by (precision gate, recall gate, recall, precision, specificity + balanced
+    accuracy), until a pass changes nothing. Returns all trials and the tuned profile.
+
+    Each coordinate step is one job: a capture's candidates meet all trial thresholds of one signature inside its row, and
+    only counts by threshold come back. results(capture_id, signature_id, confidence, raw_matched,
+    reference_evidence_score, rank); captures without results are skipped, ties keep the earlier threshold."""
+    from ..tables import materialise
+
+    spark = manifest.sparkSession
+    entry = F.struct("signature_id", "confidence", F.col("raw_matched").alias("m"), F.col("reference_evidence_score").alias("ref"), "rank")
+    cand = results.groupBy("capture_id").agg(F.collect_list(entry).alias("c"))
+    rows = materialise(manifest.select("capture_id", F.col("signature_id").alias("expected"), "expected_fault_present").join(cand, "capture_id"))
+    profile, trials = dict(start), []
+
+    def measure(signature: str, trial: list[float]) -> list:
+        given = "CASE x.signature_id " + "".join(f"WHEN '{s}' THEN {t}D " for s, t in profile.items() if s != signature) + f"WHEN '{signature}' THEN t ELSE 0.5D END"
+        best = f"array_max(transform(filter(c, x -> x.m AND x.ref > 0 AND x.confidence >= {given}), x -> struct(least(1D, x.confidence * (0.70D + 0.30D * x.ref) + 0.05D), x.confidence, x.ref, -x.rank, x.signature_id AS s))).s"
+        won = rows.select("expected", "expected_fault_present", "c", F.explode(F.array(*(F.lit(float(t)) for t in trial))).alias("t")).select("t", F.col("expected_fault_present").alias("p"), F.expr(f"coalesce({best} = expected, false)").alias("w"))
+        found = {r.t: r for r in won.groupBy("t").agg(F.count_if(F.col("p") & F.col("w")).alias("tp"), F.count_if(~F.col("p") & F.col("w")).alias("fp"), F.count_if(~F.col("p") & ~F.col("w")).alias("tn"), F.count_if(F.col("p") & ~F.col("w")).alias("fn")).collect()}
+        return [found[float(t)] for t in trial if float(t) in found]
+
+    def score(r) -> tuple:
+        over = lambda a, b: a / b if b else 0.0
+        precision, recall, specificity = over(r.tp, r.tp + r.fp), over(r.tp, r.tp + r.fn), over(r.tn, r.tn + r.fp)
+        return (float(precision >= min_precision), float(recall >= target_recall), recall, precision, specificity + (recall + specificity) / 2)
+
+    for k in range(passes):
+        changed = False
+        for signature in sorted(profile):
+            now = profile[signature]
+            measured = measure(signature, list(dict.fromkeys([float(now), *map(float, thresholds)])))
+            best, top = now, next((score(r) for r in measured if r.t == now), None)
+            for r in (r for t in thresholds for r in measured if r.t == t):
+                trials.append((k + 1, signature, r.t, r.tp, r.fp, r.tn, r.fn))
+                if top is None or score(r) > top:
+                    best, top = r.t, score(r)
+            changed |= best != now
+            profile[signature] = best
+        if not changed:
+            break
+    return spark.createDataFrame(trials, "pass int, signature_id string, threshold double, tp bigint, fp bigint, tn bigint, fn bigint"), profile

@@ -49,3 +49,35 @@ def vectors(spark: SparkSession, sf_dir: str, rate: float = 4096.0) -> DataFrame
     mean = e.select("label", F.posexplode("primary").alias("n", "v")).groupBy("label", "n").agg(F.avg("v").alias("m"))
     reference = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x.m).alias("reference"))
     return e.join(reference, "label").select("capture_id", F.col("label").cast("string").alias("reference_label"), F.lit(rate).alias("rate"), "primary", "reference")
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str, rate: float = 4096.0) -> DataFrame:
+    """embeddings as captures against two references each, exploded: their label's mean vector and the next label's."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("capture_id"), "label", F.col("embedding").cast("array<double>").alias("primary"))
+    mean = e.select("label", F.posexplode("primary").alias("n", "v")).groupBy("label", "n").agg(F.avg("v").alias("m"))
+    reference = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x.m).alias("reference"))
+    every = reference.agg(F.array_sort(F.collect_set("label")).alias("all"))  # one row: the labels
+    next_of = every.select(F.posexplode("all").alias("i", "label"), "all").select("label", F.expr("array_distinct(array(label, all[(i + 1) % size(all)]))").alias("refs"))
+    pairs = e.join(next_of, "label").select("capture_id", "primary", F.explode("refs").alias("label"))
+    return pairs.join(reference, "label").select("capture_id", F.col("label").cast("string").alias("reference_label"), F.lit(rate).alias("rate"), "primary", "reference")
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as references(capture_id, signature_id, reference_label, confidence, matched) of orders' return flags."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("capture_id"), F.col("l_returnflag").alias("signature_id"), F.concat(F.lit("line"), "l_linenumber").alias("reference_label"), (F.col("l_quantity") / 50).alias("confidence"))
+    return items.withColumn("matched", F.col("confidence") >= 0.5)
+
+
+REFERENCES = "refs0 AS (SELECT *, confidence >= 0.5 AS matched FROM (SELECT l_orderkey AS capture_id, l_returnflag AS signature_id, 'line' || l_linenumber AS reference_label, l_quantity / 50 AS confidence FROM lineitem))"
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a manifest: the expected signature from the status, split by key, noise from the priority."""
+    return table(spark, sf_dir, "orders").selectExpr(*MANIFEST_COLUMNS)
+
+
+MANIFEST_COLUMNS = [
+    "o_orderkey AS capture_id", "CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END AS signature_id", "CASE o_orderstatus WHEN 'F' THEN 'return' ELSE 'keep' END AS family", "o_orderkey % 3 <> 0 AS expected_fault_present", "CASE WHEN o_orderkey % 3 <> 0 THEN 'positive' ELSE 'negative' END AS truth_label",
+    "CASE o_orderkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS split", "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'normal' END AS noise_tier", "o_orderpriority AS waveform_intent", "concat(o_orderstatus, '-', substr(o_orderpriority, 1, 1)) AS test_id",
+]
+MANIFEST = f"manifest AS (SELECT {', '.join(MANIFEST_COLUMNS)} FROM orders)"
