@@ -3,33 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavelens-"))
-            current = spark.sparkContext.getCheckpointDir()
-        return current
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: short lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..tables import materialise, shared_dir  # noqa: F401
 
 
 def written(df: DataFrame) -> DataFrame:
