@@ -138,6 +138,40 @@ def test_packing(spark):
     assert packing.pack(empty(docs), path).count() == 0
 
 
+def test_packing_of_one_length(spark):
+    """Documents all over half a sequence and of one length leave hardly any padding."""
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    text = " ".join(f"word{i % 9}" for i in range(650))
+    n = len(library.encode(text, add_special_tokens=False).ids) + 1
+    assert 1100 < n < 1500
+    docs = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string")
+    out = packing.pack(docs, path, block=40).collect()
+    ends, places, pieces = defaultdict(int), defaultdict(list), defaultdict(list)
+    for r in out:
+        ends[r.sequence_id] = max(ends[r.sequence_id], r.offset + r.length)
+        places[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append((r.start, r.length))
+    for s in places.values():
+        assert all(a + k == b for (a, k), (b, _) in zip(sorted(s), sorted(s)[1:], strict=False)) and min(s)[0] == 0
+    for p in pieces.values():
+        assert sorted(x for s, k in p for x in range(s, s + k)) == list(range(n))
+    padding = sum(0 if e & (e - 1) == 0 else 2048 - e for e in ends.values())
+    assert max(ends.values()) <= 2048 and padding <= 0.02 * 300 * n
+    h = np.zeros(63, np.int64)
+    h[39] = 100_000
+    freed, patterns = packing.streamed(h, 64, 0, 20_000)
+    gaps = sum(k * int(64 - p @ np.arange(1, 64)) for p, k in patterns)
+    assert gaps - freed[39] * 40 <= 20_000 and 0.3 < freed[39] / 100_000 < 0.45
+
+
+def test_many_vector_lengths(spark):
+    """Vectors of more lengths than any cap link within their own."""
+    rows = [(i, [1.0] * (2 + i // 2)) for i in range(12)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {i: (1, i // 2 * 2) for i in range(12)}
+
+
 def test_column_generation():
     h = np.zeros(15, int)
     h[[4, 6, 10]] = [30, 20, 10]

@@ -58,7 +58,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str =
     base = base.withColumn("v", F.expr("if(good, transform(v, c -> c + 0.0D), NULL)"))
     distinct = base.where("good").groupBy("v").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least"))
     distinct = materialise(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    dims = [r[0] for r in distinct.select(F.size("v")).distinct().limit(1000).collect()]
+    dims = [r[0] for r in distinct.select(F.size("v")).distinct().collect()]  # lengths of vectors, usually one
     edges, counts = [], []
     for dim in dims:
         rows = distinct.where(F.size("v") == dim) if len(dims) > 1 else distinct

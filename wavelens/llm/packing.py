@@ -3,9 +3,10 @@
 A document's ids are cut into full sequences, a core (a multiple of UNIT ids) and a tail of fewer than UNIT ids.
 Cores are the items of a cutting-stock problem over the histogram of their lengths: a linear program over patterns,
 with a knapsack dynamic program pricing new ones. Rounded patterns are assigned to the cores ranked within their
-length. Cores that rounding leaves over (a bounded number) get patterns of their own, which the stream of all tails
-fills up; the rest of that stream fills sequences of its own, and its end sequences whose lengths are powers of two.
-So padding is left only where the tails are too few to fill the left-over patterns.
+length. What patterns leave free is filled from the stream of all tails; the rest of that stream fills sequences of its
+own, and its end sequences whose lengths are powers of two. Where the lengths are such that patterns leave more than the
+tails can fill (many cores of one length over half a sequence, say), so many cores go into the stream too, and are cut
+wherever a sequence ends, that padding is at most WASTE of all ids.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .token_counts import library
 
 SIZE = 2048
 UNIT = 32
+#: Share of all ids that may be padding.
+WASTE = 0.005
 #: Rows to a block within which ranks and positions are running counts, at most; a few blocks for each partition at least.
 BLOCK = 50_000
 
@@ -100,6 +103,37 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def streamed(histogram: np.ndarray, capacity: int, spare: int, allowed: int) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """How many cores of each size go into the stream, which holds spare units already, and a plan for the others, so that
+    the patterns' gaps exceed the stream by allowed units at most. The least share of the sizes in wasteful patterns does
+    it, found by bisection; if all were in the stream there would be no gaps."""
+    sizes = np.arange(1, len(histogram) + 1)
+
+    def tried(out: np.ndarray):
+        patterns = plan(histogram - out, capacity)
+        gaps = sum(n * int(capacity - p @ sizes) for p, n in patterns)
+        return gaps - spare - int(out @ sizes), patterns
+
+    none = np.zeros(len(histogram), np.int64)
+    over, patterns = tried(none)
+    if over <= allowed:
+        return none, patterns
+    wasteful = np.zeros(len(histogram), bool)
+    for p, _ in patterns:
+        if capacity - p @ sizes >= max(1, capacity // 32):
+            wasteful |= p > 0
+    low, high, best = 0.0, 1.0, None
+    for _ in range(10):
+        share = high if best is None else (low + high) / 2
+        out = np.where(wasteful if share < 1 or best is not None else True, np.ceil(share * histogram), 0).astype(np.int64)
+        over, patterns = tried(out)
+        if over <= allowed:
+            high, best = share, (out, patterns)
+        else:
+            low = share
+    return best
+
+
 def powers(n: int) -> list[int]:
     return [1 << i for i in reversed(range(n.bit_length())) if n >> i & 1]
 
@@ -121,7 +155,7 @@ def ids_by_piece(path: str) -> Remembered:
 def lengths(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, unit: int) -> DataFrame:
     """Cuts of each document of docs(doc_id, text): rows (uid, part, doc_id, doc_tokens, start, length, crc, tail).
 
-    part 0 is a full sequence, 1 the core, 2 the tail with its ids (binary)."""
+    part 0 is a full sequence, 1 the core, 2 the tail; the latter two with their ids (binary, under 4 * size bytes)."""
     kind = "uid bigint, part int, doc_id bigint, doc_tokens bigint, start bigint, length bigint, crc bigint, tail binary"
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in kind.split(", ")]
@@ -151,7 +185,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, unit:
                         rest, at = rest[4 * size :], at + size
                 core = len(rest) // 4 // unit * unit
                 if core:
-                    cuts.append((1, at, core, zlib.crc32(rest[: 4 * core]), None))
+                    cuts.append((1, at, core, zlib.crc32(rest[: 4 * core]), rest[: 4 * core]))
                 if tail := rest[4 * core :]:
                     cuts.append((2, at + core, len(tail) // 4, None, tail))
                 total = at + len(rest) // 4
@@ -166,8 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SIZE
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null text counts as
     empty (its end_id alone), repeated rows are documents of their own, a null doc_id stays null, other columns are
-    ignored; an empty table gives no rows. What reaches the driver: counts by length and block of rows, and sums by
-    block, one number for block ids each; patterns (size / unit of them) go back by broadcast.
+    ignored; an empty table gives no rows. A very long text is cut as it is encoded, a sequence at a time. What reaches the
+    driver: counts by length (size / unit) and two sums; patterns (as many) go back by broadcast.
     """
     spark = docs.sparkSession
     cuts = materialise(lengths(docs, tokenizer_path, end_id, size, unit))
@@ -183,7 +217,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SIZE
     histogram = np.zeros(capacity - 1, np.int64)
     for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # fewer rows than capacity
         histogram[r["class"] - 1] = r["n"]
-    patterns = plan(histogram, capacity)
+    tail_ids = cuts.where("part = 2").agg(F.sum("length")).first()[0] or 0
+    ids = tail_ids + int(histogram @ np.arange(1, capacity)) * unit
+    freed, patterns = streamed(histogram, capacity, int(tail_ids) // unit, int(WASTE * ids) // unit)
 
     # Slots: ranks lo <= rank < hi of a class fill k places of a pattern's sequences, from offset on.
     slots, gaps, taken, sequence = [], [], np.zeros(capacity - 1, np.int64), 0
@@ -200,21 +236,26 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SIZE
     slot_frame = spark.createDataFrame(slots, "class int, lo bigint, hi bigint, k bigint, first bigint, at bigint")
     ranked = cores.join(F.broadcast(before), ["class", "blk"]) if spread <= 1000 else cores.join(before, ["class", "blk"])
     ranked = ranked.withColumn("rank", F.expr("before + row_number() OVER (PARTITION BY class, blk ORDER BY uid, start) - 1"))
-    placed = ranked.join(F.broadcast(slot_frame), "class").where("rank >= lo AND rank < hi")
+    placed = ranked.join(F.broadcast(slot_frame), "class").where("rank >= lo AND rank < hi")  # ranks beyond are in the stream
     core_rows = placed.selectExpr("doc_id", "start", "length", "crc AS ids_crc32", "doc_tokens", "first + (rank - lo) DIV k AS sequence_id", "at + (rank - lo) % k * length AS offset")
 
-    # The stream of tails: gaps first, then whole sequences, then powers of two.
-    tails = numbered.where("part = 2")
+    # The stream of tails and freed cores: gaps first, then whole sequences, then powers of two.
+    tails = numbered.where("part = 2").select("uid", "blk", "doc_id", "start", "length", "doc_tokens", "tail")
+    if freed.any():
+        kept = [int(histogram[c] - freed[c]) for c in range(capacity - 1)]
+        free = F.expr("rank >= CASE class " + " ".join(f"WHEN {c + 1} THEN {k}" for c, k in enumerate(kept)) + " END")
+        tails = tails.union(ranked.where(free).select(*tails.columns))
+        tails = materialise(tails)
     sums = tails.groupBy("blk").agg(F.sum("length").alias("n"))
     at = sums.selectExpr("blk", "sum(n) OVER (ORDER BY blk) - n AS before")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    begin, seq, off = [], [], []  # segments: stream position, sequence and offset there
+    total = tail_ids + int(freed @ np.arange(1, capacity)) * unit
+    # Segments, one for each pattern with a gap: stream position, first sequence, ids already there.
+    begin, seq, off = [], [], []
     position = 0
     for first, times, fill in gaps:
-        for s in range(first, first + times):
-            if position < total:
-                begin.append(position), seq.append(s), off.append(fill)
-                position += size - fill
+        if position < total:
+            begin.append(position), seq.append(first), off.append(fill)
+            position += times * (size - fill)
     gap_end = position = min(position, total)
     whole, rest = divmod(total - position, size)
     end = position + whole * size
@@ -234,7 +275,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SIZE
                 while tail:
                     if pos < gap_end:
                         i = int(np.searchsorted(begin, pos, "right")) - 1
-                        s, o = int(seq[i]), int(off[i] + pos - begin[i])
+                        k, o = divmod(pos - int(begin[i]), size - int(off[i]))
+                        s, o = int(seq[i]) + k, int(off[i]) + o
                         room = size - o
                     elif pos < end:
                         s, o = divmod(pos - gap_end, size)
@@ -252,7 +294,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = SIZE
 
     kind = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     stream = tails.join(F.broadcast(at) if spread <= 1000 else at, "blk")
-    stream = stream.withColumn("pos", F.expr("before + sum(length) OVER (PARTITION BY blk ORDER BY uid ROWS UNBOUNDED PRECEDING) - length"))
+    stream = stream.withColumn("pos", F.expr("before + sum(length) OVER (PARTITION BY blk ORDER BY uid, start ROWS UNBOUNDED PRECEDING) - length"))
     tail_rows = stream.select("doc_id", "start", "doc_tokens", "pos", "tail").mapInArrow(cut, kind)
 
     full = cuts.where("part = 0").withColumn("sequence_id", F.lit(sequence_end) + F.monotonically_increasing_id())

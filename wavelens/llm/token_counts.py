@@ -115,7 +115,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
             yield batch_of(out)
 
     def join_counts(batches):
-        """Each distinct pre-token of this partition is counted once; rows of documents' own sums pass through."""
+        """Rows come in order of their pre-token, so each distinct one is counted once and only the last is remembered; rows
+        of documents' own sums pass through."""
         counts: dict[str, int] = {}
         for batch in batches:
             uid, doc_id, n_bytes, n, word = (c.to_pylist() for c in batch.columns)
@@ -123,12 +124,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
             counts.update(zip(new, pieces_of(path, new), strict=True))
             n = [f if w is None else f * counts[w] for f, w in zip(n, word, strict=True)]
             yield batch_of([uid, doc_id, n_bytes, n, [None] * len(uid)])
-            if len(counts) > 400_000:  # what is forgotten is only counted again
-                counts.clear()
+            counts = {word[-1]: counts[word[-1]]} if word and word[-1] is not None else {}
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed.mapInArrow(frequencies_of, kind)
-    rows = rows.repartition(parts, F.coalesce(F.col("word"), F.col("uid").cast("string"))).mapInArrow(join_counts, kind)
+    rows = rows.repartition(parts, F.coalesce(F.col("word"), F.col("uid").cast("string"))).sortWithinPartitions("word").mapInArrow(join_counts, kind)
     # A null doc_id is the maximum of nulls alone.
     total = rows.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
