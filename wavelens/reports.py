@@ -249,7 +249,7 @@ BUSY = "busy AS (SELECT capture_id, t AS s, t + 1800 AS e FROM samples WHERE eve
 
 
 @query(f"""WITH {SAMPLES}, {BUSY}, i AS (SELECT c.capture_id, c.window_id, c.s AS ws, c.e AS we, b.s, b.e FROM cmd c JOIN busy b ON b.capture_id = c.capture_id AND b.e > c.s AND b.s < c.e UNION ALL SELECT capture_id, window_id, s, e, s, s FROM cmd UNION ALL SELECT capture_id, window_id, s, e, e, e FROM cmd),
-    f AS (SELECT *, greatest(max(e) OVER (PARTITION BY capture_id, window ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ws) AS cur FROM i), x AS (SELECT capture_id, min(s) AS first FROM busy GROUP BY 1) SELECT capture_id, window_id, {r('cur AS start_s', 'least(s, we) AS end_s')} FROM f JOIN x USING (capture_id) WHERE s > cur AND least(s, we) > first AND least(s, we) - cur BETWEEN 60 AND 86400""")
+    f AS (SELECT *, greatest(max(e) OVER (PARTITION BY capture_id, window_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ws) AS cur FROM i), x AS (SELECT capture_id, min(s) AS first FROM busy GROUP BY 1) SELECT capture_id, window_id, {r('cur AS start_s', 'least(s, we) AS end_s')} FROM f JOIN x USING (capture_id) WHERE s > cur AND least(s, we) > first AND least(s, we) - cur BETWEEN 60 AND 86400""")
 def q73_window_complement(spark, sf_dir):
     s = views.samples(spark, sf_dir)
     busy = s.where("event_type = 'click'").selectExpr("capture_id", "t AS start_s", "t + 1800 AS end_s")

@@ -1 +1 @@
-"""Streaming of the waveform diagnostics."""
+"""The batch operators that follow a capture in time, over unbounded input."""
