@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import BASELINE, BOTH, TUNED, query, r
-from .functions.features import FEATURES, pair_features
-from .operators import cases, events, joins, metrics, power, tuning
+from .functions.features import pair_features
+from .operators import cases, events, evidence, joins, power, tuning
 from .plans import rules, views
 from .plans.views import MANIFEST, REFERENCES, SAMPLES
 
@@ -323,3 +323,85 @@ def q81_best_reference(spark, sf_dir):
     scored = rules.score_signatures(pair_features(views.vector_pairs(spark, sf_dir)), ["no_such_signature"])
     top = rules.ranked(scored)
     return top.select("capture_id", "best_reference", F.col("top_confidence").alias("confidence"), (F.col("decision") == "matched").alias("matched"))
+
+
+EV = "e AS (SELECT l_orderkey AS capture_id, l_returnflag AS seed, l_linenumber AS site, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity / 50 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 10 END AS b, l_tax * 10 AS c FROM lineitem)"
+
+
+def layers(spark, sf_dir) -> DataFrame:
+    return views.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS capture_id", "l_returnflag AS seed", "l_linenumber AS site", "CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity / 50 END AS a", "CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 10 END AS b", "l_tax * 10 AS c")
+
+
+MIXED = "0.5 * coalesce(a, 0) + 0.3 * coalesce(b, 0) + 0.2 * c"
+HAVE = "CASE WHEN a IS NULL THEN 0 ELSE 0.5 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + 0.2"
+GEO = "CASE WHEN a = 0 OR b = 0 OR c = 0 THEN 0 ELSE exp((coalesce(ln(nullif(a, 0)), 0) + coalesce(ln(nullif(b, 0)), 0) + ln(nullif(c, 0))) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + 1)) END"
+
+
+@query(f"WITH {EV} SELECT seed, site, count(*) AS n, {r(f'avg(({MIXED}) / ({HAVE})) AS score', f'avg({HAVE}) AS coverage', f'avg({GEO}) AS compound')} FROM e GROUP BY ALL")
+def q82_layered_evidence(spark, sf_dir):
+    score, coverage, compound = evidence.layered({"a": 0.5, "b": 0.3, "c": 0.2})
+    rows = layers(spark, sf_dir).select("seed", "site", score.alias("s"), coverage.alias("k"), compound.alias("g"))
+    return rows.groupBy("seed", "site").agg(F.count("*").alias("n"), F.avg("s").alias("score"), F.avg("k").alias("coverage"), F.avg("g").alias("compound"))
+
+
+@query(f"WITH {EV} SELECT *, row_number() OVER (PARTITION BY seed ORDER BY total DESC, seed, site)::INT AS rank FROM (SELECT seed, site, round(sum(c), 6) AS total, count(*) AS measurements FROM e GROUP BY ALL)")
+def q83_hypothesis_fusion(spark, sf_dir):
+    """Hypotheses (seed at a site) fused over all measurements."""
+    return evidence.fused(layers(spark, sf_dir), ["seed", "site"], "c")
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT event_type, capture_id % 4 AS class, count(*) AS n FROM samples GROUP BY ALL), t AS (SELECT event_type, class AS commonest FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, class) AS k FROM l) WHERE k = 1)
+    SELECT event_type, count(*) AS cases, count(*) FILTER (v > 10) AS valid, count(*) FILTER (v > 50) AS hits, round(count(*) FILTER (v > 50) / count(*) FILTER (v > 10), 6) AS rate, 4::BIGINT AS classes, any_value(commonest) AS commonest, round(median(v), 6) AS median FROM samples JOIN t USING (event_type) GROUP BY 1""")
+def q84_population(spark, sf_dir):
+    rows = views.samples(spark, sf_dir).withColumn("class", F.col("capture_id") % 4)
+    return evidence.population(rows, "event_type", "class", F.col("v") > 10, F.col("v") > 50, "v")
+
+
+@query(f"WITH {SAMPLES}, s AS (SELECT capture_id, event_type, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std FROM samples GROUP BY ALL) SELECT capture_id, event_type, n, {r('mean', 'std', 'std / abs(mean) AS cv')}, CASE WHEN n >= 3 AND std / abs(mean) <= 0.05 THEN 'strongly_supported' WHEN n >= 3 AND std / abs(mean) <= 0.15 THEN 'supported' ELSE 'exploratory' END AS support FROM s")
+def q85_repeatability(spark, sf_dir):
+    return evidence.repeatability(views.samples(spark, sf_dir), ["capture_id", "event_type"], "v")
+
+
+E3 = "e AS (SELECT label AS capture_id, 'c' || (vec_id % 3) AS channel, n, avg(v) AS v FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings) GROUP BY ALL)"
+
+
+@query(f"WITH {E3} SELECT x.capture_id, x.channel AS a, y.channel AS b, {r('corr(x.v, y.v) AS correlation', 'sqrt(avg((x.v - y.v) * (x.v - y.v))) AS rms_difference')}, count(*) AS samples FROM e x JOIN e y ON x.capture_id = y.capture_id AND x.n = y.n AND x.channel < y.channel GROUP BY ALL")
+def q86_channel_pairs(spark, sf_dir):
+    """All pairs of channels; a channel is a third of a label's vectors, averaged."""
+    e = views.table(spark, sf_dir, "embeddings").select("label", F.concat(F.lit("c"), F.col("vec_id") % 3).alias("channel"), F.posexplode(F.col("embedding").cast("array<double>")).alias("n", "v"))
+    return evidence.channel_pairs(e.groupBy(F.col("label").alias("capture_id"), "channel", "n").agg(F.avg("v").alias("v")))
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT * FROM samples WHERE event_type = 'purchase'), q AS (SELECT capture_id, t, min(v) AS v FROM samples WHERE event_type = 'click' GROUP BY ALL), a AS (SELECT l.capture_id, l.event_id, l.t, q.t AS ta, q.v AS av FROM l ASOF LEFT JOIN q ON l.capture_id = q.capture_id AND l.t >= q.t),
+    b AS (SELECT a.*, q.t AS tb, q.v AS bv FROM a ASOF LEFT JOIN q ON a.capture_id = q.capture_id AND a.t <= q.t) SELECT capture_id, event_id, round(CASE WHEN av IS NOT NULL AND bv IS NOT NULL THEN av + (bv - av) * coalesce((t - ta) / nullif(tb - ta, 0), 0) END, 6) AS aligned FROM b""")
+def q87_interpolated(spark, sf_dir):
+    """One track resampled at the times of another."""
+    s = views.samples(spark, sf_dir)
+    return evidence.interpolated(s.where("event_type = 'purchase'").select("capture_id", "event_id", "t"), s.where("event_type = 'click'").select("capture_id", "t", "v")).drop("t")
+
+
+@query(f"""WITH {SAMPLES}, o AS (SELECT *, n - lag(n) OVER (PARTITION BY capture_id ORDER BY n) AS g FROM samples WHERE v > 80), u AS (SELECT *, sum(CASE WHEN g IS NULL OR g > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY n) AS run FROM o), w AS (SELECT capture_id, greatest(min(n) - 2, 0) AS s, max(n) + 2 AS e FROM u GROUP BY capture_id, run),
+    p AS (SELECT *, sum(CASE WHEN s <= m + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY capture_id ORDER BY s, e)::BIGINT AS run FROM (SELECT *, max(e) OVER (PARTITION BY capture_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w)) SELECT capture_id, run, min(s) AS start_n, max(e) AS end_n FROM p GROUP BY ALL""")
+def q88_padded_runs(spark, sf_dir):
+    return evidence.padded_runs(events.runs(views.samples(spark, sf_dir), "v > 80"), 2)
+
+
+@query(f"WITH {SAMPLES}, f AS (SELECT capture_id, max_by(v, n) AS final FROM samples GROUP BY 1), o AS (SELECT capture_id, max(CASE WHEN abs(v - final) > 40 THEN n END) AS lo FROM samples JOIN f USING (capture_id) GROUP BY 1) SELECT capture_id, {r('any_value(final) AS final', 'min(CASE WHEN lo IS NULL OR n > lo THEN t END) AS settled_s')}, count(*) FILTER (abs(v - final) > 40) AS samples_out FROM samples JOIN f USING (capture_id) JOIN o USING (capture_id) GROUP BY 1")
+def q89_settling(spark, sf_dir):
+    return evidence.settling(views.samples(spark, sf_dir), 40.0)
+
+
+@query(f"WITH {SAMPLES}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY capture_id ORDER BY n) AS dt FROM samples), m AS (SELECT capture_id, median(dt) AS typical FROM d GROUP BY 1) SELECT capture_id, {r('any_value(typical) AS typical', 'regr_slope(dt, n) AS drift')}, sum(coalesce(floor(greatest(dt / nullif(typical, 0) + 0.5, 1)) - 1, 0))::BIGINT AS missing FROM d JOIN m USING (capture_id) WHERE dt IS NOT NULL GROUP BY 1")
+def q90_interval_regularity(spark, sf_dir):
+    return evidence.interval_regularity(views.samples(spark, sf_dir))
+
+
+@query(f"WITH {SAMPLES}, d AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY capture_id ORDER BY n)) AS d, n // 10 AS w FROM samples), m AS (SELECT capture_id, w, median(d) AS sm, quantile_cont(v, 0.9) AS p, count(*) AS samples FROM d GROUP BY ALL) SELECT capture_id, w, {r('any_value(sm) AS step_median', 'any_value(p) AS level_p90')}, any_value(samples) AS samples, round(median(abs(d - sm)), 6) AS step_mad FROM d JOIN m USING (capture_id, w) GROUP BY ALL")
+def q91_subwindows(spark, sf_dir):
+    return evidence.subwindows(views.samples(spark, sf_dir), 10)
+
+
+@query(f"""WITH {SAMPLES}, {STATE}, x AS (SELECT *, sum(CASE WHEN state <> b THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY n)::BIGINT AS run FROM (SELECT *, lag(state) OVER (PARTITION BY capture_id ORDER BY n) AS b FROM states)), u AS (SELECT capture_id, run, max(state) AS state, min(t) AS t, count(*) AS k FROM x GROUP BY ALL)
+    SELECT capture_id, round(min(CASE WHEN state = 1 THEN t END), 6) AS first_contact_s, max(run) AS reversals, max(CASE WHEN state = 1 THEN k END) AS longest_contact, count(*) FILTER (state = 1 AND k < 2) AS short_contacts, round(max(CASE WHEN run > 0 THEN t END), 6) AS last_reversal_s FROM u GROUP BY 1""")
+def q92_contact_anatomy(spark, sf_dir):
+    return evidence.contact_anatomy(events.schmitt(views.samples(spark, sf_dir), 40.0, 60.0))
