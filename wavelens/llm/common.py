@@ -5,23 +5,28 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import materialise, shared_dir  # noqa: F401
 
 
 def written(df: DataFrame) -> DataFrame:
-    """materialise, for large tables: compressed more, and the shuffle files behind it are let go at once (Spark deletes
-    them when the driver collects its garbage)."""
+    """materialise, for large tables: compressed more, and the shuffle files behind it are let go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
+    let_go(spark)
+    return out
+
+
+def let_go(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished work when the driver collects its garbage. Many small stages over many
+    partitions leave more in files than in rows, so loops ask for it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def shortened(df: DataFrame) -> DataFrame:
@@ -65,6 +70,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         e = shortened(small)
+        del ends, least, large, roots, small
+        let_go(edges.sparkSession)
         if (now := stamp(e)) == seen:
             break
         seen = now
