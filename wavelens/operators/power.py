@@ -6,8 +6,6 @@ shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +61,7 @@ def success_distribution(cases: DataFrame) -> DataFrame:
     rows = fine.select("analyzer_id", F.inline(types), *fine.columns[fine.columns.index("expected_fault_present") :])
     small = rows.groupBy(*keys, "worst_key", "fp_key").agg(*(v.alias(k) for k, v in parts.items()))
     total = lambda names: [F.sum(k).alias(k) for k in names]
-    by_worst = small.groupBy(*keys, "worst_key").agg(*total(parts), F.collect_list(F.struct("fp_key", "fps")).alias("f"))
+    by_worst = small.groupBy(*keys, "worst_key").agg(*total(parts))
     worst = by_worst.groupBy(*keys).agg(*total(parts), F.min(F.col("successes") / F.col("n_cases")).alias("worst_bucket_success"))
     top = small.groupBy(*keys, "fp_key").agg(F.sum("fps").alias("k")).groupBy(*keys).agg(F.max("k").alias("top_fp"))
     d = worst.join(top, keys)
