@@ -132,3 +132,41 @@ def contact_anatomy(states: DataFrame) -> DataFrame:
     runs = moved.groupBy("capture_id", "run").agg(F.max("state").alias("state"), F.min("t").alias("t"), F.count("*").alias("k"))
     on = F.col("state") == 1
     return runs.groupBy("capture_id").agg(F.min(F.when(on, F.col("t"))).alias("first_contact_s"), F.max("run").cast("bigint").alias("reversals"), F.max(F.when(on, F.col("k"))).alias("longest_contact"), F.count_if(on & (F.col("k") < 2)).alias("short_contacts"), F.max(F.when(F.col("run") > 0, F.col("t"))).alias("last_reversal_s"))
+
+
+def support_ladder(rows: DataFrame, by: list[str], limits: dict[str, tuple[float, float]], least: int = 3, many: int = 6) -> DataFrame:
+    """Support from several measures at once. limits gives for each the coefficients of variation (population deviation
+    over mean) up to which it is strongly supported or supported; all measures must agree, and strong support needs many
+    rows. Under least rows, or where a measure has under two values, exploratory."""
+    n = F.count("*").alias("n")
+    out = rows.groupBy(*by).agg(n, *(F.count(m).alias(f"{m}_n") for m in limits), *((F.stddev_pop(m) / F.greatest(F.avg(m), F.lit(1e-12))).alias(f"{m}_cv") for m in limits))
+    within = lambda k: F.greatest(*(F.col(f"{m}_cv") / x[k] for m, x in limits.items()), F.lit(0.0)) <= 1
+    usable = (F.col("n") >= least) & (F.least(*(F.col(f"{m}_n") for m in limits), F.col("n")) >= 2)
+    label = F.when(usable & within(0) & (F.col("n") >= many), "strongly_supported").when(usable & within(1), "supported").otherwise("exploratory")
+    return out.select(*by, "n", *(f"{m}_cv" for m in limits), label.alias("support"))
+
+
+#: Relative spreads of a bootstrapped median up to which it is supported.
+SPREADS = [("strongly_supported", 0.08), ("supported", 0.20)]
+
+
+def bootstrap_support(rows: DataFrame, by: list[str], value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
+    """(by, n, spread, support): the deviation of the median over resamples of a group's values, relative to the median of
+    these medians. A round weighs each distinct value by a Poisson number drawn from a hash for each of its rows, so
+    rows are only counted: by distinct value, then by value and round. Under three values exploratory."""
+    draw = "aggregate(sequence(0, 7), named_struct('p', 0.36787944117144233D, 'c', 0D, 'k', 0L), (s, i) -> named_struct('p', s.p / (i + 1), 'c', s.c + s.p, 'k', s.k + if(u > s.c + s.p, 1L, 0L))).k"
+    g = F.struct(*by).alias("g")
+    base = rows.select(g, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    numbered = base.withColumn("i", F.expr("row_number() OVER (PARTITION BY g, v ORDER BY v)"))
+    each = numbered.select("g", "v", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
+    each = each.withColumn("u", F.expr(f"(xxhash64(v, i, b, {seed}) & 4503599627370495L) / 4503599627370496D"))
+    weights = each.groupBy("g", "b", "v").agg(F.sum(F.expr(draw)).alias("w")).where("w > 0")
+    total = weights.withColumn("upto", F.expr("sum(w) OVER (PARTITION BY g, b ORDER BY v ROWS UNBOUNDED PRECEDING)")).withColumn("total", F.expr("sum(w) OVER (PARTITION BY g, b)"))
+    low, high = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))), F.min(F.when(F.col("upto") * 2 > F.col("total"), F.col("v")))
+    medians = total.groupBy("g", "b").agg(((low + high) / 2).alias("m"))
+    spread = medians.groupBy("g").agg((F.stddev_pop("m") / F.greatest(F.abs(F.median("m")), F.lit(1e-12))).alias("spread"))
+    sizes = base.groupBy("g").agg(F.count("*").alias("n"))
+    label = F.lit("exploratory")
+    for name, upto in reversed(SPREADS):
+        label = F.when((F.col("n") >= 3) & (F.col("spread") <= upto), name).otherwise(label)
+    return sizes.join(spread, "g", "left").select(*(F.col("g")[c].alias(c) for c in by), "n", "spread", label.alias("support"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import BASELINE, BOTH, TUNED, query, r
 from .functions.features import pair_features
-from .operators import cases, events, evidence, joins, power, tuning
+from .operators import cases, events, evidence, joins, power, timing, tuning
 from .plans import rules, views
 from .plans.views import MANIFEST, REFERENCES, SAMPLES
 
@@ -405,3 +405,79 @@ def q91_subwindows(spark, sf_dir):
     SELECT capture_id, round(min(CASE WHEN state = 1 THEN t END), 6) AS first_contact_s, max(run) AS reversals, max(CASE WHEN state = 1 THEN k END) AS longest_contact, count(*) FILTER (state = 1 AND k < 2) AS short_contacts, round(max(CASE WHEN run > 0 THEN t END), 6) AS last_reversal_s FROM u GROUP BY 1""")
 def q92_contact_anatomy(spark, sf_dir):
     return evidence.contact_anatomy(events.schmitt(views.samples(spark, sf_dir), 40.0, 60.0))
+
+
+@query(f"""WITH {SAMPLES}, e AS (SELECT capture_id, n, sum(v) OVER w AS s, sum(v * v) OVER w AS q, greatest(3 - n, 0) AS b, greatest(4 - count(*) OVER p + n, 0) AS a, first(v) OVER o AS f, last(v) OVER o AS l FROM samples
+        WINDOW w AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), p AS (PARTITION BY capture_id), o AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT capture_id, n, {r('s / 7 AS same_mean', 'sqrt(q / 7) AS same_rms', '(s + b * f + a * l) / 7 AS nearest_mean', 'sqrt((q + b * f * f + a * l * l) / 7) AS nearest_rms')} FROM e""")
+def q93_edge_windows(spark, sf_dir):
+    """Moving windows whose edges are zero or the end's value."""
+    return timing.edge_windows(views.samples(spark, sf_dir), 3).select("capture_id", "n", "same_mean", "same_rms", "nearest_mean", "nearest_rms")
+
+
+def cross(level: str, u: str = "u") -> str:
+    return f"CASE WHEN p{u} < {level} AND {u} >= {level} THEN pt + ({level} - p{u}) / ({u} - p{u}) * (t - pt) END"
+
+
+RAILED = "(SELECT capture_id, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM {0} GROUP BY 1)"
+LAGS = "lag(u) OVER w AS pu, lag(t) OVER w AS pt, lag(v) OVER w AS pv"
+
+
+def unit(source: str, rising: bool = True) -> str:
+    start, sign = ("lo", "") if rising else ("hi", "-")
+    return f"(SELECT *, {LAGS} FROM (SELECT s.*, lo, hi, {sign}(v - {start}) / greatest(hi - lo, 1e-12) AS u FROM {source} AS s JOIN {RAILED.format(source)} USING (capture_id)) WINDOW w AS (PARTITION BY capture_id ORDER BY n))"
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT *, min({cross('0.1')}) OVER (PARTITION BY capture_id) AS t10, min(CASE WHEN abs(u - 1) <= 0.25 THEN 1 ELSE 0 END) OVER h = 1 AND count(*) OVER h = 2 AS held,
+        last_value(CASE WHEN u >= 0.6 THEN 1 WHEN u <= 0.4 THEN 0 WHEN n = 0 THEN (u >= 0.5)::INT END IGNORE NULLS) OVER (PARTITION BY capture_id ORDER BY n) AS state FROM {unit('samples')} WINDOW h AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+    b AS (SELECT *, min(CASE WHEN {cross('0.5')} >= t10 THEN {cross('0.5')} END) OVER (PARTITION BY capture_id) AS t50 FROM a), c AS (SELECT *, min(CASE WHEN {cross('0.9')} >= t50 THEN {cross('0.9')} END) OVER (PARTITION BY capture_id) AS t90 FROM b),
+    d AS (SELECT *, t >= t10 - 3600 AND t <= t90 + 36000 AS near, lag(state) OVER (PARTITION BY capture_id ORDER BY n) AS ps FROM c), e AS (SELECT *, near AND lag(near) OVER (PARTITION BY capture_id ORDER BY n) AND state <> ps AS turn FROM d),
+    g AS (SELECT capture_id, lo, hi, t10, t50, t90, max(CASE WHEN t > t10 AND pt < t90 THEN abs((v - pv) / nullif(t - pt, 0)) END) AS steep, greatest(max(CASE WHEN t >= t90 THEN u END) - 1, 0) AS over, coalesce(min(CASE WHEN t >= t90 AND held THEN t END), max(t)) AS settled, count(*) FILTER (turn) AS turns FROM e GROUP BY ALL)
+    SELECT capture_id, {r('lo AS low_rail', 'hi AS high_rail', 't10', 't50', 't90', 't90 - t10 AS transition_s', 'CASE WHEN t90 IS NOT NULL THEN steep END AS steepest', 'CASE WHEN t90 IS NOT NULL THEN over END AS overshoot', 'settled - t90 AS settling_s')}, greatest(turns - 1, 0) AS chatter FROM g""")
+def q94_edge_timing(spark, sf_dir):
+    return timing.edge_timing(views.samples(spark, sf_dir), tolerance=0.25, hold=2, before_s=3600.0, after_s=36000.0)
+
+
+def channel(spark, sf_dir, kind: str) -> DataFrame:
+    """A user's events of one kind as a channel of the capture, numbered anew."""
+    return views.samples(spark, sf_dir).where(F.col("event_type") == kind).selectExpr("capture_id", "row_number() OVER (PARTITION BY capture_id ORDER BY n) - 1 AS n", "t", "v")
+
+
+CHANNELS = ", ".join(f"c_{k} AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY n) - 1 AS n, t, v FROM samples WHERE event_type = '{k}')" for k in ("signup", "view", "click", "purchase", "error"))
+
+
+def onset(source: str, share: float, hold: int) -> str:
+    return f"""(SELECT capture_id, min(CASE WHEN a THEN t END) AS x FROM (SELECT capture_id, t, min(CASE WHEN abs(v - base) >= {share} * greatest(hi - lo, 1e-12) THEN 1 ELSE 0 END) OVER h = 1 AND count(*) OVER h = {hold} AS a
+        FROM {source} JOIN {RAILED.format(source)} USING (capture_id) JOIN (SELECT capture_id, median(v) AS base FROM (SELECT *, count(*) OVER (PARTITION BY capture_id) AS k FROM {source}) WHERE n < greatest(4, floor(k * 0.12)) GROUP BY 1) USING (capture_id)
+        WINDOW h AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {hold - 1} FOLLOWING)) GROUP BY 1)"""
+
+
+@query(f"""WITH {SAMPLES}, {CHANNELS}, k AS (SELECT * FROM (SELECT capture_id, min({cross('0.5')}) AS command FROM {unit('c_signup')} GROUP BY 1) JOIN (SELECT capture_id, x AS current FROM {onset('c_view', 0.3, 2)}) USING (capture_id) JOIN (SELECT capture_id, x AS motion FROM {onset('c_click', 0.2, 2)}) USING (capture_id)
+        JOIN (SELECT capture_id, min({cross('50', 'v')}) AS threshold FROM {unit('c_purchase')} GROUP BY 1) USING (capture_id) JOIN (SELECT capture_id, min({cross('0.5')}) AS output FROM {unit('c_error')} GROUP BY 1) USING (capture_id))
+    SELECT capture_id, {r('command', 'current', 'motion', 'threshold', 'output', 'current - command AS command_to_current', 'motion - current AS current_to_motion', 'threshold - motion AS motion_to_threshold', 'output - threshold AS threshold_to_output', 'output - command AS total')} FROM k""")
+def q95_timing_chain(spark, sf_dir):
+    """Command, current, motion, threshold and output of a capture in five channels."""
+    c = lambda kind: channel(spark, sf_dir, kind)
+    return timing.timing_chain([timing.level_time(c("signup"), "command"), timing.onset_time(c("view"), "current", 0.3, 2, least=4), timing.onset_time(c("click"), "motion", 0.2, 2, least=4), timing.level_time(c("purchase"), "threshold", 50.0), timing.level_time(c("error"), "output")])
+
+
+@query(f"""WITH {SAMPLES}, {CHANNELS}, u AS (SELECT capture_id, min({cross('0.5')}) AS on_s FROM {unit('c_click')} GROUP BY 1), f AS (SELECT capture_id, {cross('0.5')} AS off_s FROM {unit('c_click', False)}), o AS (SELECT capture_id, on_s, min(off_s) AS off_s FROM u JOIN f USING (capture_id) WHERE off_s > on_s GROUP BY ALL),
+    e AS (SELECT capture_id, 'on' AS side, on_s AS t FROM o UNION ALL SELECT capture_id, 'off', off_s FROM o), q AS (SELECT capture_id, t, min(v) AS v FROM c_view GROUP BY ALL), a AS (SELECT e.*, q.t AS ta, q.v AS av FROM e ASOF LEFT JOIN q ON e.capture_id = q.capture_id AND e.t >= q.t),
+    b AS (SELECT a.*, q.t AS tb, q.v AS bv FROM a ASOF LEFT JOIN q ON a.capture_id = q.capture_id AND a.t <= q.t), z AS (SELECT capture_id, side, t, CASE WHEN av IS NOT NULL AND bv IS NOT NULL THEN av + (bv - av) * coalesce((t - ta) / nullif(tb - ta, 0), 0) END AS x FROM b),
+    y AS (SELECT capture_id, max(CASE WHEN side = 'on' THEN t END) AS on_s, max(CASE WHEN side = 'off' THEN t END) AS off_s, max(CASE WHEN side = 'on' THEN x END) AS on_position, max(CASE WHEN side = 'off' THEN x END) AS off_position FROM z GROUP BY 1)
+    SELECT capture_id, {r('on_s', 'off_s', 'on_position', 'off_position', 'abs(off_position - on_position) AS hysteresis')} FROM y""")
+def q96_switch_hysteresis(spark, sf_dir):
+    """Positions (one channel) at which another switches on and off."""
+    return timing.switch_hysteresis(channel(spark, sf_dir, "click"), channel(spark, sf_dir, "view"))
+
+
+@query("""WITH g AS (SELECT l_suppkey, count(*) AS n, stddev_pop(l_quantity) / greatest(avg(l_quantity), 1e-12) AS a, stddev_pop(l_extendedprice) / greatest(avg(l_extendedprice), 1e-12) AS b FROM lineitem GROUP BY 1)
+    SELECT l_suppkey, n, round(a, 6) AS l_quantity_cv, round(b, 6) AS l_extendedprice_cv, CASE WHEN n >= 6 AND a <= 0.56 AND b <= 0.6 THEN 'strongly_supported' WHEN n >= 3 AND a <= 0.58 AND b <= 0.65 THEN 'supported' ELSE 'exploratory' END AS support FROM g""")
+def q97_support_ladder(spark, sf_dir):
+    return evidence.support_ladder(views.table(spark, sf_dir, "lineitem"), ["l_suppkey"], {"l_quantity": (0.56, 0.58), "l_extendedprice": (0.6, 0.65)})
+
+
+@query()
+def q98_bootstrap_support(spark, sf_dir):
+    """Spread of resampled medians of each event type's values (tested against a loop)."""
+    return evidence.bootstrap_support(views.table(spark, sf_dir, "events"), ["event_type"], "value")

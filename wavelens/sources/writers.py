@@ -28,7 +28,7 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     """df as CSV with a header (nulls empty) or JSON lines, over what was there; nested columns of CSV as JSON."""
     if kind == "csv":
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]
-        df.select(*flat).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+        df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     else:
         df.write.mode("overwrite").json(path)
 
@@ -53,6 +53,44 @@ def write_evidence(root: str, tables: dict[str, DataFrame], ranked: DataFrame, c
     return spark.read.schema("file string, bytes bigint, sha256 string").json(f"{root}/manifest")
 
 
+def report_documents(rows: DataFrame, title: str = "Report", key: str = "capture_id", order: str = "rank") -> DataFrame:
+    """(key, markdown): a report for each capture, its rows as a table in order. Bars in values are escaped, nulls empty."""
+    shown = [c for c in rows.columns if c != key]
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in shown)), F.lit(" |"))
+    lines = rows.select(F.col(key), F.col(order).alias("__at"), line.alias("__line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "__line"))).alias("l"))
+    head = F.concat(F.lit(f"# {title}: "), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n\n| " + " | ".join(shown) + " |\n|" + " --- |" * len(shown) + "\n"))
+    return lines.select(key, F.concat(head, F.array_join(F.transform("l", lambda x: x["__line"]), "\n"), F.lit("\n")).alias("markdown"))
+
+
+def write_campaign(root: str, ranked: DataFrame, config: dict[str, str], problems: DataFrame | None = None) -> None:
+    """A campaign's results as CSV, as JSON lines nested by capture and as a table of reports (one row a capture, not one
+    file each), config and, if given, problems (warnings and registry failures) as JSON lines."""
+    write_table(ranked, f"{root}/campaign_results")
+    write_table(capture_documents(ranked), f"{root}/campaign_documents", "json")
+    write_table(report_documents(ranked), f"{root}/reports", "json")
+    write_table(ranked.sparkSession.createDataFrame(sorted(config.items()), "name string, value string"), f"{root}/run_config", "json")
+    if problems is not None:
+        write_table(problems, f"{root}/problems", "json")
+
+
+def write_summary_tables(root: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Tables (tracks, metrics, observations; channel, harmonic and pair statistics) as CSV under their names, and a
+    summary (name, rows, columns) of what was written as JSON lines, which comes back. Tables without columns are left out."""
+    summary = None
+    for name, df in sorted(tables.items()):
+        if not df.columns:
+            continue
+        write_table(df, f"{root}/{name}")
+        back = df.sparkSession.read.option("header", True).option("multiLine", True).option("escape", '"').schema(", ".join(f"`{c}` string" for c in df.columns)).csv(f"{root}/{name}")
+        row = back.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
+        summary = row if summary is None else summary.unionAll(row)
+    if summary is None:
+        raise ValueError("no table to write")
+    write_table(summary, f"{root}/summary", "json")
+    return summary.sparkSession.read.schema("name string, rows bigint, columns int").json(f"{root}/summary")
+
+
 def write_thresholds(scores: DataFrame, root: str, thresholds: list[float], min_tpr: float = 0.9, max_fpr: float = 0.05) -> None:
     """The threshold sweep and the deployable thresholds as CSV tables."""
     sweep = threshold_sweep(scores, thresholds, min_tpr, max_fpr)
