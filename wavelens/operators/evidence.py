@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +156,16 @@ def bootstrap_support(rows: DataFrame, by: list[str], value: str, rounds: int =
     """(by, n, spread, support): the deviation of the median over resamples of a group's values, relative to the median of
     these medians. A round weighs each distinct value by a Poisson number drawn from a hash for each of its rows, so
     rows are only counted: by distinct value, then by value and round. Under three values exploratory."""
-    draw = "aggregate(sequence(0, 7), named_struct('p', 0.36787944117144233D, 'c', 0D, 'k', 0L), (s, i) -> named_struct('p', s.p / (i + 1), 'c', s.c + s.p, 'k', s.k + if(u > s.c + s.p, 1L, 0L))).k"
+    upto, draw = 0.0, []
+    for k in range(8):  # the number of Poisson's cumulative shares below u
+        upto += math.exp(-1) / math.factorial(k)
+        draw.append(f"int(u > {upto!r}D)")
     g = F.struct(*by).alias("g")
     base = rows.select(g, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     numbered = base.withColumn("i", F.expr("row_number() OVER (PARTITION BY g, v ORDER BY v)"))
     each = numbered.select("g", "v", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
     each = each.withColumn("u", F.expr(f"(xxhash64(v, i, b, {seed}) & 4503599627370495L) / 4503599627370496D"))
-    weights = each.groupBy("g", "b", "v").agg(F.sum(F.expr(draw)).alias("w")).where("w > 0")
+    weights = each.groupBy("g", "b", "v").agg(F.sum(F.expr(" + ".join(draw))).alias("w")).where("w > 0")
     total = weights.withColumn("upto", F.expr("sum(w) OVER (PARTITION BY g, b ORDER BY v ROWS UNBOUNDED PRECEDING)")).withColumn("total", F.expr("sum(w) OVER (PARTITION BY g, b)"))
     low, high = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))), F.min(F.when(F.col("upto") * 2 > F.col("total"), F.col("v")))
     medians = total.groupBy("g", "b").agg(((low + high) / 2).alias("m"))
