@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, kd_search, line_dedup, packing, quality, secret_scan, simhash_dedup, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, kd_search, line_dedup, packing, periodic_runs, quality, secret_scan, simhash_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_byte_bpe, op3_packing, op4_line_dedup, op5_embedding_dedup, op6_secret_scan, op7_token_counts, op8_quality, op9_toxicity, op10_simhash_dedup)}
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents")).drop("runs")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_byte_bpe, op3_packing, op4_line_dedup, op5_embedding_dedup, op6_secret_scan, op7_token_counts, op8_quality, op9_toxicity, op10_simhash_dedup, op11_periodic_runs)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
