@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, kd_search, license_scan, line_dedup, packing, periodic_runs, quality, secret_scan, simhash_dedup, token_counts, toxicity
+from . import byte_bpe, collocations, embedding_dedup, kd_search, license_scan, line_dedup, packing, periodic_runs, quality, secret_scan, simhash_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,14 @@ def op12_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_byte_bpe, op3_packing, op4_line_dedup, op5_embedding_dedup, op6_secret_scan, op7_token_counts, op8_quality, op9_toxicity, op10_simhash_dedup, op11_periodic_runs, op12_license_scan)}
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"), depth=3, least=10, top=2000, inside=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_byte_bpe, op3_packing, op4_line_dedup, op5_embedding_dedup, op6_secret_scan, op7_token_counts, op8_quality, op9_toxicity, op10_simhash_dedup, op11_periodic_runs, op12_license_scan, op13_collocations)}
 
 ORACLE_SQL = {
+    "op13_collocations": collocations.ORACLE_SQL,
     "op12_license_scan": license_scan.ORACLE_SQL,
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
