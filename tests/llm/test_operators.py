@@ -222,6 +222,18 @@ def test_simhash(spark):
     assert simhash_dedup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_one_of_each(spark):
+    a, b = "one two three four five six seven eight nine ten", "quite another text that has nothing in common with it"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (2, b, "again"), (None, a, None), (None, "only here and without an id at all", None), (3, None, None), (4, "", None), (5, " \n", None), (9, b + " but longer than before by quite some words", "far")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted(map(tuple, simhash_dedup.one_of_each(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[6], rows[9]], key=str)
+    assert simhash_dedup.one_of_each(docs).columns == docs.columns and simhash_dedup.one_of_each(empty(docs)).count() == 0
+    real = documents(spark)
+    kept = {r.doc_id for r in simhash_dedup.one_of_each(real).collect()}
+    assert kept == {r.component_id for r in simhash_dedup.near_duplicates(real).collect()}
+
+
 def test_vantage_tree():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 1 << 63, 700, dtype=np.uint64)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, row_key
 from .pairing import Union, block_pairs, sides
 
 SHARD = 16_384
@@ -43,15 +43,16 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long; a null text counts as empty."""
+    """(key, doc_id, fp): the fingerprint of each whole text as a signed long, and the key of the row's doc_id and text; a
+    null text counts as empty. A text is one task's work, whatever its length."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.columns
+            keys, ids, texts = batch.columns
             fp = np.array([fingerprint(t.as_py() or "", words, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([keys, ids, pa.array(fp)], ["key", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id bigint, fp bigint")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,6 +103,15 @@ class VantageTree:
                     stack.append((kid, some))
 
 
+def groups(docs: DataFrame, radius: int, words: int, seed: int, shard: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, fp) of all rows; and (fp, part): a fingerprint of each one's component."""
+    marked = materialise(fingerprints(docs, words, seed))
+    distinct = marked.select("fp").distinct()
+    edges = materialise(links(distinct, radius, shard, sample))
+    parts = connected_components(edges).withColumnRenamed("id", "fp")
+    return marked, distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Groups of documents whose fingerprints are linked by chains of at most radius differing bits.
 
@@ -110,11 +120,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     link too; their component is the least id known, null if there is none. Rows that repeat an id are rows of their
     own. Extra columns are ignored; an empty table gives no rows.
     """
-    marked = materialise(fingerprints(docs, words, seed))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = materialise(links(distinct.select("fp"), radius, shard, sample))
-    parts = connected_components(edges).withColumnRenamed("id", "fp")
-    grouped = distinct.join(parts, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
+    marked, parts = groups(docs, radius, words, seed, shard, sample)
+    grouped = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(parts, "fp")
     ids = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
     known = grouped.join(ids, "part").select("fp", "component_id")
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
@@ -158,10 +165,16 @@ def links(distinct: DataFrame, radius: int, shard: int = SHARD, sample: int = SA
     return block_pairs(dealt, "fp", BLOCK).groupBy("cell", "x", "y").applyInPandas(search, "a bigint, b bigint")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the least id. Rows that repeat this id stay with
-    it, as do rows without an id. All columns of docs come back."""
-    found = near_duplicates(docs, **options)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop.withColumnRenamed("doc_id", "__wl_drop"), F.col("doc_id").cast("bigint") == F.col("__wl_drop"), "left_anti")
-    return kept
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """docs with one document of each near-duplicate group: that with the least (doc_id, content), null ids last.
+
+    A document is a doc_id with its text: rows equal in both stay or go together, rows that share an id only are told apart.
+    Null and empty texts have fingerprint zero, so one of them stays. All columns of docs come back; an empty table stays
+    empty. A text of any length is read where it lies."""
+    marked, parts = groups(docs, radius, words, seed, shard, sample)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = marked.groupBy("fp").agg(F.min(place).alias("first")).join(parts, "fp")
+    stays = firsts.groupBy("part").agg(F.min("first").alias("stay"))
+    stay = firsts.join(stays, "part").select("fp", F.col("stay.key").alias("stay"))
+    drop = marked.join(stay, "fp").where("key <> stay").select(F.col("key").alias("__wl_drop")).distinct()
+    return docs.join(drop, row_key("doc_id", "text") == F.col("__wl_drop"), "left_anti")
