@@ -32,23 +32,23 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-#: Words of a k-gram (two for templates of two words), share of a template that makes a diagonal a core, similarity of a
+#: Words of a k-gram (the shortest phrase has two), share of a template that makes a diagonal a core, similarity of a
 #: span that is reported, and how far diagonals that are merged may lie from their core.
-K, CORE, SIMILAR, SLACK = 3, 0.3, 0.8, 3
+K, CORE, SIMILAR, SLACK = 2, 0.3, 0.8, 3
 BUCKET = 64
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
-    """(template number, label, phrase or not, words, words of a gram)."""
+    """(template number, label, phrase or not, words)."""
     out = []
     for base, some in ((True, phrases), (False, notices)):
         for label, text in some:
             words = text.split()
-            if not 2 <= len(words) <= 60:
+            if not K <= len(words) <= 60:
                 raise ValueError("templates have 2 to 60 words")
-            out.append((len(out), label, base, words, min(K, len(words))))
+            out.append((len(out), label, base, words))
     return out
 
 
@@ -56,34 +56,32 @@ def hits(docs: DataFrame, known: list[tuple]) -> DataFrame:
     """(uid, doc_id, n_words, t, at, pos): gram number at of template t stands at word pos; and a row with null t for each
     document. Texts are read once and don't leave their task; only these rows are written."""
     spark = docs.sparkSession
-    rows = [(t, at, k, words[at : at + k]) for t, _, _, words, k in known for at in range(len(words) - k + 1)]
-    table = spark.createDataFrame([*rows, (None, None, 0, [])], "t int, at int, k int, gram array<string>")
-    table = table.withColumn("hash", F.expr("xxhash64(k, transform(gram, w -> xxhash64(w)))")).select("hash", "t", "at", "k", "gram")
-    ks = sorted({k for *_, k in known})
+    rows = [(t, at, words[at : at + K]) for t, _, _, words in known for at in range(len(words) - K + 1)]
+    table = spark.createDataFrame([*rows, (None, None, [])], "t int, at int, gram array<string>")
+    table = table.withColumn("hash", F.expr("if(t IS NULL, 0L, xxhash64(xxhash64(gram[0]), xxhash64(get(gram, 1))))"))
     # Case: A-Z only matters, but for the Kelvin sign, whose lower case is a plain k.
-    text = r"lower(replace(coalesce(text, ''), 'K', 'ĸ'))"
+    text = r"lower(replace(coalesce(text, ''), 'K', 'ĸ'))"
     split = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(f"regexp_extract_all({text}, r'{WORD}', 0)").alias("words"))
     split = split.withColumn("h", F.expr("transform(words, w -> xxhash64(w))"))
-    grams = [f"transform(slice(h, 1, greatest(size(h) - {k - 1}, 0)), (x, i) -> named_struct('pos', i, 'hash', xxhash64({k}, array(x, {', '.join(f'h[i + {j}]' for j in range(1, k))}))))" for k in ks]
-    none = "array(named_struct('pos', -1, 'hash', xxhash64(0, cast(array() AS array<bigint>))))"
-    each = split.select("uid", "doc_id", "words", F.inline(F.expr(f"concat({none}, {', '.join(grams)})")))
-    found = each.join(F.broadcast(table), "hash").where("t IS NULL AND pos < 0 OR slice(words, pos + 1, k) = gram")
-    return materialise(found.select("uid", "doc_id", F.size("words").cast("bigint").alias("n_words"), "t", "at", "pos"))
+    grams = split.withColumn("hashes", F.expr("transform(h, (x, i) -> xxhash64(x, get(h, i + 1)))"))
+    each = grams.select("uid", "doc_id", "words", F.posexplode(F.expr("concat(array(0L), hashes)")).alias("pos", "hash"))
+    found = each.join(F.broadcast(table), "hash").where(f"t IS NULL AND pos = 0 OR slice(words, pos, {K}) = gram")
+    return materialise(found.select("uid", "doc_id", F.size("words").cast("bigint").alias("n_words"), "t", "at", F.expr("pos - 1 AS pos")))
 
 
 def spans(found: DataFrame, known: list[tuple]) -> DataFrame:
     """(uid, t, start, end, similarity) of templates in the texts, from hits: each core diagonal that no better one within
     SLACK outdoes (ties: the least diagonal), with what its neighbours add. Words count from 0, end is exclusive; similarity
     is the template's words found over the longer of template and span."""
-    facts = found.sparkSession.createDataFrame([(t, base, len(words), k) for t, _, base, words, k in known], "t int, base boolean, words int, k int")
+    facts = found.sparkSession.createDataFrame([(t, base, len(words)) for t, _, base, words in known], "t int, base boolean, words int")
     votes = found.where("t IS NOT NULL").groupBy("uid", "t", F.expr("pos - at").alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, at))").alias("grams"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    words = lambda g: f"bit_count({g} | shiftleft({g}, 1) | if(k > 2, shiftleft({g}, 2), 0L))"
+    words = lambda g: f"bit_count({g} | shiftleft({g}, 1))"
     votes = votes.join(F.broadcast(facts), "t").withColumn("own", F.expr(words("grams")))
     whole = votes.where("base AND own = words").selectExpr("uid", "t", "diagonal AS start", "diagonal + words AS end", "1D AS similarity")
     loose = votes.where("NOT base")
     core = loose.where(f"own >= {CORE}D * words").selectExpr("uid", "t", "diagonal AS core", f"explode(sequence(floor((diagonal - {SLACK}) / {BUCKET}), floor((diagonal + {SLACK}) / {BUCKET}))) AS bucket")
     near = loose.withColumn("bucket", F.expr(f"floor(diagonal / {BUCKET})")).join(core, ["uid", "t", "bucket"]).where(f"abs(diagonal - core) <= {SLACK}")
-    merged = near.groupBy("uid", "t", "core").agg(F.expr("bit_or(grams)").alias("grams"), F.min("first").alias("start"), F.expr("max(last + k)").alias("end"), F.max("words").alias("words"), F.max("k").alias("k"), F.max(F.expr("struct(own, -diagonal)")).alias("best"))
+    merged = near.groupBy("uid", "t", "core").agg(F.expr("bit_or(grams)").alias("grams"), F.min("first").alias("start"), F.expr(f"max(last + {K})").alias("end"), F.max("words").alias("words"), F.max(F.expr("struct(own, -diagonal)")).alias("best"))
     merged = merged.where("best.col2 = -core").withColumn("similarity", F.expr(f"{words('grams')} / greatest(words, end - start)"))
     return whole.unionByName(merged.select("uid", "t", "start", "end", "similarity"))
 
@@ -134,7 +132,7 @@ def found_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
 
 def _sql() -> str:
     known = templates()
-    listed = ", ".join(f"({t}, '{label}', {base}, string_split('{' '.join(words)}', ' '), {k})" for t, label, base, words, k in known)
+    listed = ", ".join(f"({t}, '{label}', {base}, string_split('{' '.join(words)}', ' '), {K})" for t, label, base, words in known)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
         WITH tpl(t, label, base, words, k) AS (VALUES {listed}),
