@@ -67,6 +67,7 @@ def test_depth_and_top(spark):
 
 def test_slices_of_texts(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 500)
+    monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (3, 10, 250_000, 0))  # long prefixes are never broadcast
     got = collocations.collocations(odd(spark), budget=100)
     assert sorted(tuple(r) for r in got.collect()) == plain([(r.lang, r.text) for r in odd(spark).collect()])
 

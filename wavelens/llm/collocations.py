@@ -24,6 +24,9 @@ from .pretokens import slices
 #: Suffixes of a group; a leaf takes some 150 bytes while its trees are built.
 BUDGET = 250_000
 
+#: So many long prefixes of a length are broadcast at most (some MB); more are joined by their words.
+FEW = 50_000
+
 #: Texts are counted some bytes at a time.
 SLICE = 1 << 23
 
@@ -108,7 +111,7 @@ def subtrees(rows: pa.Table, depth: int, least: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, budget: int = BUDGET, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): all words (lang, w1, n), and all phrases of 2 to depth words that occur least times or more
     (lang, w1, ..., n), each with its number of occurrences within pieces, overlaps included."""
     names = [f"w{d + 1}" for d in range(depth)]
@@ -117,9 +120,9 @@ def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, budget: int
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     rows, counts, apart = rows.withColumn("prefix", F.lit(1)), words, []
     for d in range(1, depth):
-        # What is left to adaptive execution: at most total / budget prefixes are long, mostly few enough to be broadcast.
-        long_ = counts.where(F.col("n") > budget).select("lang", *names[:d], F.lit(d + 1).alias("longer"))
-        rows = rows.join(long_, ["lang", *names[:d]], "left").withColumn("prefix", F.coalesce("longer", "prefix")).drop("longer")
+        # At most total / budget prefixes are long.
+        long_ = materialise(counts.where(F.col("n") > budget).select("lang", *names[:d], F.lit(d + 1).alias("longer")))
+        rows = rows.join(F.broadcast(long_) if long_.count() <= few else long_, ["lang", *names[:d]], "left").withColumn("prefix", F.coalesce("longer", "prefix")).drop("longer")
         counts = rows.where((F.col("prefix") == d + 1) & F.col(names[d]).isNotNull()).groupBy("lang", *names[: d + 1]).agg(F.sum("n").alias("n"))
         if d + 1 < depth:
             counts = materialise(counts)
