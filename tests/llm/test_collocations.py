@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from wavelens.llm import collocations
@@ -42,7 +43,7 @@ def plain(rows, depth=3, least=10, top=2000):
     return ranked
 
 
-ODD = ["", None, "  ", ".,;", "new york " * 30, "New York city\tnew york City! " * 12, "a\x00b c\x01d " * 11, "un deux trois quatre. " * 15 + "deux trois, " * 40, "É é É é " * 10, "日本 語 " * 12, "x " * 5000, "the end\nthe end\r\x0bthe\x0cend " * 9, "z \x1f y " * 10]
+ODD = ["", None, "  ", ".,;", "new york " * 30, "New York city\tnew york City! " * 12, "a\x00b c\x01d " * 11, "un deux trois quatre. " * 15 + "deux trois, " * 40, "É é É é " * 10, "日本 語 " * 12, "x " * 5000, "the end\nthe end\r\x0bthe\x0cend " * 9, "z \x1f y " * 10, ("1 2 " + "7" * 5000 + " 1 ") * 12]
 
 
 def odd(spark):
@@ -65,9 +66,14 @@ def test_depth_and_top(spark):
     assert collocations.collocations(docs.where("false")).count() == 0
 
 
+def test_packed():
+    rows = np.array([[3, 1, 0], [3, 2, 4], [1, 0, 0]])
+    words, got, times = collocations.unpacked(collocations.packed([b"a", b"b", b"c", b"d", b"unused"], rows, np.array([5, 1, 1 << 40])))
+    assert words == [b"a", b"b", b"c", b"d"] and (got == rows).all() and times.tolist() == [5, 1, 1 << 40]
+
+
 def test_slices_of_texts(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 500)
-    monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (3, 10, 250_000, 0))  # long prefixes are never broadcast
     got = collocations.collocations(odd(spark), budget=100)
     assert sorted(tuple(r) for r in got.collect()) == plain([(r.lang, r.text) for r in odd(spark).collect()])
 

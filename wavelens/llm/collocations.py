@@ -15,17 +15,17 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .pretokens import slices
 
-#: Suffixes of a group; a leaf takes some 150 bytes while its trees are built.
-BUDGET = 250_000
-
-#: So many long prefixes of a length are broadcast at most (some MB); more are joined by their words.
-FEW = 50_000
+#: Suffixes of a group (a leaf takes some 100 bytes while its trees are built), and how many prefixes of a length may be long:
+#: all are known to every task, in some 50 MB at most. Beyond MOST times BUDGET words, groups grow instead.
+BUDGET, MOST = 250_000, 500_000
 
 #: Texts are counted some bytes at a time.
 SLICE = 1 << 23
@@ -46,6 +46,17 @@ def numbered(texts: list[str | None]) -> tuple[np.ndarray, list[bytes]]:
     return flat[flat != 0], list(numbers)
 
 
+def keys(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of small numbers, equal where rows are."""
+    key = rows[:, 0]
+    for d in range(1, rows.shape[1]):
+        wide = int(rows[:, d].max(initial=0)) + 1
+        if int(key.max(initial=0)) >= 2**62 // wide:  # numbers of prefixes, so that a key of any depth fits 64 bits
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * wide + rows[:, d]
+    return key
+
+
 def suffixes(flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct suffixes cut at depth words, as rows of word numbers (0 after a piece's end), and how often each occurs."""
     columns = np.zeros((depth, len(flat)), np.int64)
@@ -55,21 +66,30 @@ def suffixes(flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         columns[d, :-d] = flat[d:] if len(flat) > d else 0
         going = going & (columns[d] != 1)
         columns[d][~going] = 0
-    columns = columns[:, flat != 1]
-    key = columns[0]
-    for d in range(1, depth):  # numbers of prefixes, so that a key of any depth fits 64 bits
-        wide = int(columns[d].max(initial=0)) + 1
-        if int(key.max(initial=0)) >= 2**62 // wide:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key * wide + columns[d]
-    _, first, times = np.unique(key, return_index=True, return_counts=True)
-    return columns[:, first].T, times
+    rows = columns[:, flat != 1].T
+    _, first, times = np.unique(keys(rows), return_index=True, return_counts=True)
+    return rows[first], times
+
+
+def packed(words: list[bytes], rows: np.ndarray, times: np.ndarray) -> bytes:
+    """Leaves in little space: rows of places in words (from 1; 0 for none), and how often each occurs."""
+    used = np.unique(rows)
+    used = used[used > 0]
+    small = np.where(rows > 0, np.searchsorted(used, rows) + 1, 0).astype("<u4")
+    head = np.array([len(rows), rows.shape[1] if rows.ndim == 2 else 0], "<i8").tobytes()
+    return zstandard.compress(head + small.T.tobytes() + times.astype("<i8").tobytes() + b"\n".join(words[i - 1] for i in used.tolist()), 1)
+
+
+def unpacked(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    data = zstandard.decompress(data)
+    n, depth = np.frombuffer(data, "<i8", 2).tolist()
+    rows = np.frombuffer(data, "<u4", n * depth, 16).reshape(depth, n).T.astype(np.int64)
+    times = np.frombuffer(data, "<i8", n, 16 + 4 * n * depth)
+    return data[16 + 4 * n * depth + 8 * n :].split(b"\n"), rows, times
 
 
 def leaves(docs: DataFrame, depth: int) -> DataFrame:
-    """(lang, w1, ..., n): the suffixes of each slice of docs(lang, text), counted; a word after a piece's end is null."""
-    names = [f"w{d + 1}" for d in range(depth)]
-    kind = ", ".join(["lang string", *(f"{w} string" for w in names), "n bigint"])
+    """(lang, leaves): the suffixes of each slice of docs(lang, text), counted and packed."""
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, rows=1 << 16, size=SLICE)):
@@ -77,65 +97,131 @@ def leaves(docs: DataFrame, depth: int) -> DataFrame:
             for lang in pc.unique(langs).to_pylist():
                 flat, words = numbered(batch.column(1).filter(pc.equal(langs, lang)).to_pylist())
                 rows, times = suffixes(flat, depth)
-                words = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-                for at in range(0, len(rows), 65_536):
-                    some = rows[at : at + 65_536]
-                    columns = [words.take(pa.array(some[:, d], mask=some[:, d] == 0)) for d in range(depth)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), *columns, pa.array(times[at : at + 65_536])], ["lang", *names, "n"])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([packed(words[2:], np.maximum(rows - 1, 0), times)], pa.binary())], ["lang", "leaves"])
 
-    return docs.select("lang", "text").mapInArrow(run, kind)
+    return docs.select("lang", "text").mapInArrow(run, "lang string, leaves binary")
 
 
-def subtrees(rows: pa.Table, depth: int, least: int) -> pa.Table:
-    """Nodes (lang, w1, ..., n) of two words or more of the trees over a group's leaves (lang, w1, ..., n, prefix): those that
-    occur least times or more and are no shorter than their prefix, which groups may share."""
-    names = [f"w{d + 1}" for d in range(depth)]
-    columns, words = [], []
-    for name in ("lang", *names):
-        coded = pc.dictionary_encode(rows.column(name).combine_chunks())
-        columns.append(pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64))
-        words.append(coded.dictionary)
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    times, prefix = (rows.column(c).to_numpy()[order] for c in ("n", "prefix"))
-    new, out = np.arange(len(order)) == 0, []
-    for d in range(depth + 1):
-        new[1:] |= np.diff(columns[d]) != 0  # a leaf that parts from its neighbour within d words opens a node there
+def prefix_lengths(words: list[bytes], rows: np.ndarray, long_: set[tuple[bytes, ...]]) -> np.ndarray:
+    """For each leaf the words of its prefix: one, and one more for each prefix in a row that is long."""
+    out, open_ = np.ones(len(rows), np.int64), np.arange(len(rows))
+    for d in range(1, rows.shape[1]):
+        _, first, which = np.unique(keys(rows[open_, :d]), return_index=True, return_inverse=True)
+        more = np.array([tuple(words[i - 1] for i in head) in long_ for head in rows[open_[first], :d].tolist()], bool)[which]
+        open_ = open_[more]
+        out[open_] += 1
+        open_ = open_[rows[open_, d] > 0]
+    return out
+
+
+def prefix_counts(table: DataFrame, d: int, depth: int, long_) -> DataFrame:
+    """(lang, w1, ..., n): how often each prefix of d words occurs, of those whose parts are long."""
+    names = [f"w{i + 1}" for i in range(d)]
+    kind = ", ".join(["lang string", *(f"{w} string" for w in names), "n bigint"])
+
+    def run(batches):
+        for batch in batches:
+            for lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, rows, times = unpacked(data)
+                keep = rows[:, d - 1] > 0
+                if d > 1:
+                    keep &= prefix_lengths(words, rows, long_.value.get(lang, set())) >= d
+                _, first, which = np.unique(keys(rows[keep, :d]), return_index=True, return_inverse=True)
+                heads = rows[keep, :d][first]
+                total = np.bincount(which, times[keep], len(heads)).astype(np.int64)  # exact: a slice's counts are small
+                text = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+                for at in range(0, len(heads), 65_536):
+                    some = heads[at : at + 65_536]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), *(text.take(pa.array(some[:, i] - 1)) for i in range(d)), pa.array(total[at : at + 65_536])], ["lang", *names, "n"])
+
+    return table.mapInArrow(run, kind).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+
+
+def dealt(table: DataFrame, depth: int, long_, groups: int) -> DataFrame:
+    """(grp, lang, leaves): each slice's leaves by the group of their prefix; the prefix's length is a last column of the
+    leaves. Leaves whose prefix is as long as can be stay behind."""
+
+    def run(batches):
+        for batch in batches:
+            for lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, rows, times = unpacked(data)
+                prefix = prefix_lengths(words, rows, long_.value.get(lang, set()))
+                keep = prefix < depth
+                rows, times, prefix = rows[keep], times[keep], prefix[keep]
+                hashes = np.array([0, *(xxhash.xxh64_intdigest(w) for w in words)], np.uint64)
+                mixed = np.full(len(rows), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+                for d in range(depth - 1):
+                    mixed = np.where(prefix > d, mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[rows[:, d]], mixed)
+                group = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                for part in np.split(order, cuts[1:]) if len(order) else ():
+                    # The length stands behind the words as one more of them: packed() keeps words by place.
+                    labels = [*words, *(b"%d" % k for k in range(1, depth))]
+                    some = np.column_stack([rows[part], len(words) + prefix[part]])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(group[part[0]])]), pa.array([lang], pa.string()), pa.array([packed(labels, some, times[part])], pa.binary())], ["grp", "lang", "leaves"])
+
+    return table.mapInArrow(run, "grp bigint, lang string, leaves binary")
+
+
+def subtrees(parts: list[bytes], depth: int, least: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, and nodes (rows of places in words, and counts) of the trees over a group's packed leaves: those of two words or
+    more that occur least times or more and are no shorter than their prefix, which groups may share."""
+    numbers: dict[bytes, int] = {}
+    rows, times, prefixes = [], [], []
+    for data in parts:
+        words, some, n = unpacked(data)
+        place = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in words)], np.int64)
+        rows.append(place[some[:, :depth]])
+        label, which = np.unique(some[:, depth], return_inverse=True)
+        prefixes.append(np.array([int(words[i - 1]) for i in label.tolist()], np.int64)[which])
+        times.append(n)
+    rows, times, prefix = np.concatenate(rows), np.concatenate(times), np.concatenate(prefixes)
+    order = np.lexsort(rows.T[::-1])  # the leaves in order: a node's are neighbours
+    rows, times, prefix = rows[order], times[order], prefix[order]
+    new, nodes, totals = np.arange(len(rows)) == 0, [], []
+    for d in range(1, depth + 1):
+        new[1:] |= np.diff(rows[:, d - 1]) != 0  # a leaf that parts from its neighbour within d words opens a node there
         first = np.flatnonzero(new)
         total = np.add.reduceat(times, first)
-        keep = (columns[d][first] >= 0) & (prefix[first] <= d) & (total >= least)
+        keep = (rows[first, d - 1] > 0) & (prefix[first] <= d) & (total >= least)
         if d >= 2:
-            first, total = first[keep], total[keep]
-            held = [words[j].take(pa.array(columns[j][first])) if j <= d else pa.nulls(len(first), pa.string()) for j in range(depth + 1)]
-            out.append(pa.table([*held, pa.array(total)], ["lang", *names, "n"]))
-    return pa.concat_tables(out)
+            found = rows[first[keep]].copy()
+            found[:, d:] = 0
+            nodes.append(found)
+            totals.append(total[keep])
+    return list(numbers), np.concatenate(nodes), np.concatenate(totals)
 
 
-def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, budget: int = BUDGET, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 10, budget: int = BUDGET, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): all words (lang, w1, n), and all phrases of 2 to depth words that occur least times or more
     (lang, w1, ..., n), each with its number of occurrences within pieces, overlaps included."""
     names = [f"w{d + 1}" for d in range(depth)]
-    rows = materialise(leaves(docs, depth))
-    words = materialise(rows.groupBy("lang", "w1").agg(F.sum("n").alias("n")))
+    context = docs.sparkSession.sparkContext
+    table = materialise(leaves(docs, depth))
+    words = materialise(prefix_counts(table, 1, depth, None))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    rows, counts, apart = rows.withColumn("prefix", F.lit(1)), words, []
+    limit = max(budget, -(-total // most))  # so at most `most` prefixes of a length are long
+    counts, long_, apart = words, {}, []
     for d in range(1, depth):
-        # At most total / budget prefixes are long.
-        long_ = materialise(counts.where(F.col("n") > budget).select("lang", *names[:d], F.lit(d + 1).alias("longer")))
-        rows = rows.join(F.broadcast(long_) if long_.count() <= few else long_, ["lang", *names[:d]], "left").withColumn("prefix", F.coalesce("longer", "prefix")).drop("longer")
-        counts = rows.where((F.col("prefix") == d + 1) & F.col(names[d]).isNotNull()).groupBy("lang", *names[: d + 1]).agg(F.sum("n").alias("n"))
-        if d + 1 < depth:
-            counts = materialise(counts)
-            apart.append(counts.where(F.col("n") > budget))
-    apart.append(counts)
-    held = [F.when(F.col("prefix") >= d + 1, F.col(w)) for d, w in enumerate(names)]
-    dealt = rows.where(f"prefix < {depth}").withColumn("grp", F.pmod(F.xxhash64("lang", *held), F.lit(max(1, -(-total // budget)))))
+        for row in counts.where(F.col("n") > limit).select("lang", *names[:d]).collect():
+            long_.setdefault(row[0], set()).add(tuple(w.encode() for w in row[1:]))
+        shared = context.broadcast(long_)
+        counts = materialise(prefix_counts(table, d + 1, depth, shared))
+        # Of these the trees hold what is not extended further.
+        apart.append(counts.where(F.col("n") > limit) if d + 1 < depth else counts)
     kind = ", ".join(["lang string", *(f"{w} string" for w in names), "n bigint"])
 
     def build(group: pa.Table) -> pa.Table:
-        return subtrees(group, depth, least)
+        out = []
+        for lang in pc.unique(group["lang"]).to_pylist():
+            found, nodes, totals = subtrees(group.filter(pc.equal(group["lang"], lang))["leaves"].to_pylist(), depth, least)
+            text = pa.array([None, *(w.decode("utf-8", "replace") for w in found)], pa.string())
+            out.append(pa.table([pa.array([lang] * len(nodes), pa.string()), *(text.take(pa.array(nodes[:, d])) for d in range(depth)), pa.array(totals, pa.int64())], ["lang", *names, "n"]))
+        return pa.concat_tables(out)
 
-    phrases = dealt.groupBy("grp").applyInArrow(build, kind)
+    phrases = dealt(table, depth, shared, max(1, -(-total // budget))).groupBy("grp").applyInArrow(build, kind)
     for counted in apart:
         phrases = phrases.unionByName(counted.where(F.col("n") >= least), allowMissingColumns=True)
     return words, materialise(phrases)
