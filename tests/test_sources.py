@@ -145,7 +145,7 @@ def test_quantiles(spark):
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", math.nan), ("d", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     shares = [0.0, 0.05, 0.5, 0.95, 1.0]
-    got = {r.g: (r.n, r.q) for r in quantiles.quantiles(df, ["g"], "v", shares, ranges=8).collect()}
+    got = {r.g: (r.n, r.q) for r in quantiles.quantiles(df, ["g"], "v", shares).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         assert got[g][0] == len(vs) and np.allclose(got[g][1], np.quantile(vs, shares))

@@ -68,12 +68,12 @@ def test_support(spark):
 
 def test_bootstrap_support(spark):
     rng = np.random.default_rng(5)
-    groups = {"tight": rng.normal(100, 2, 41), "wide": rng.lognormal(0, 2, 15), "two": np.array([1.0, 2.0]), None: np.full(9, 3.0)}
+    groups = {"tight": rng.normal(100, 2, 41), "even": rng.normal(10, 3, 40), "wide": rng.lognormal(0, 2, 15), "ties": rng.integers(1, 5, 30).astype(float), "two": np.array([1.0, 2.0]), None: np.full(9, 3.0)}
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("tight", None), ("tight", float("nan"))], "k string, x double")
-    got = {r.k: r for r in evidence.bootstrap_support(df, ["k"], "x", rounds=400).collect()}
-    for k in ("tight", "wide"):
-        meds = [np.median(rng.choice(groups[k], len(groups[k]))) for _ in range(4000)]
-        assert got[k].spread == pytest.approx(np.std(meds) / abs(np.median(meds)), rel=0.35)
+    got = {r.k: r for r in evidence.bootstrap_support(df, ["k"], "x", rounds=20_000).collect()}
+    for k in ("tight", "even", "wide", "ties", "two"):
+        meds = np.median(groups[k][rng.integers(0, len(groups[k]), (40_000, len(groups[k])))], axis=1)
+        assert got[k].spread == pytest.approx(np.std(meds) / abs(np.median(meds)), rel=0.05)
     assert (got["tight"].n, got["tight"].support, got["wide"].support, got["two"].support) == (41, "strongly_supported", "exploratory", "exploratory")
     assert got[None].spread == 0 and got[None].support == "strongly_supported" and evidence.bootstrap_support(df.limit(0), ["k"], "x").count() == 0
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import REFERENCE, query, r
-from .operators import alignment, events
+from .operators import alignment, events, ranks
 from .plans import views
 from .plans.views import SAMPLES
 
@@ -58,3 +58,19 @@ def q100_best_lag(spark, sf_dir):
 def q101_best_lag_gain(spark, sf_dir):
     """Lag and unknown gain of each capture against the ensemble's waveform, at 50 samples a second."""
     return alignment.best_lag_gain(reference_pairs(spark, sf_dir), LAGS, 50.0)
+
+
+@query("""WITH q AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS a,
+    rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2.0 AS b FROM lineitem) SELECT l_returnflag, count(*) AS n, round(corr(a, b), 6) AS rank_correlation FROM q GROUP BY 1""")
+def q102_rank_correlation(spark, sf_dir):
+    """Rank correlation of quantity and discount by return flag; both are full of ties."""
+    return ranks.rank_correlation(views.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount")
+
+
+@query("""SELECT event_type, user_id, n, average_rank FROM (SELECT event_type, user_id, count(*) OVER (PARTITION BY event_type) AS n, rank() OVER (PARTITION BY event_type ORDER BY round(value)) + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2.0 AS average_rank, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events) WHERE i = 1""")
+def q103_average_ranks(spark, sf_dir):
+    """Average rank of each user's first event of a type among all values of the type."""
+    rows = views.table(spark, sf_dir, "events").withColumn("v", F.round("value"))
+    first = rows.groupBy("event_type", "user_id").agg(F.min_by("v", F.struct("ts", "event_id")).alias("v"))
+    placed = ranks.average_ranks(rows, ["event_type"], "v").select(F.col("__g.event_type").alias("event_type"), F.col("__v").alias("v"), F.col("__rank").alias("average_rank"), F.col("__size").alias("n"))
+    return first.join(placed, ["event_type", "v"]).select("event_type", "user_id", "n", "average_rank")

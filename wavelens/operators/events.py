@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .greedy import chatter, greedy_match  # noqa: F401
 from .quantiles import quantiles
+from .slopes import theil_sen  # noqa: F401
 
 
 def by_n():
@@ -129,13 +130,6 @@ def sustained(samples: DataFrame, condition: str, k: int) -> DataFrame:
     return held.groupBy("capture_id").agg(F.min(F.when(F.col("all_on"), F.col("n"))).alias("first_n"), F.min(F.when(F.col("all_on"), F.col("t"))).alias("first_s"))
 
 
-def theil_sen(points: DataFrame, by: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Median of the slopes of all pairs of a group's points (a group is a track, of bounded length)."""
-    a, b = points.select(by, F.col(x).alias("xa"), F.col(y).alias("ya")), points.select(by, F.col(x).alias("xb"), F.col(y).alias("yb"))
-    pairs = a.join(b, by).where("xa < xb")
-    return pairs.groupBy(by).agg(F.median((F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).alias("slope"), F.count("*").alias("pairs"))
-
-
 def circular(rows: DataFrame, by: str, angle: str) -> DataFrame:
     """Phase coherence (length of the mean phasor) and mean angle by group."""
     c, s = F.avg(F.cos(angle)), F.avg(F.sin(angle))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialise
+from . import ranks
+
 
 def layered(weights: dict[str, float]) -> tuple[Column, Column, Column]:
     """Of score columns (null: layer not available) the weighted mean over those available, the share of the weights that
@@ -154,24 +157,35 @@ SPREADS = [("strongly_supported", 0.08), ("supported", 0.20)]
 
 def bootstrap_support(rows: DataFrame, by: list[str], value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
     """(by, n, spread, support): the deviation of the median over resamples of a group's values, relative to the median of
-    these medians. A round weighs each distinct value by a Poisson number drawn from a hash for each of its rows, so
-    rows are only counted: by distinct value, then by value and round. Under three values exploratory."""
-    upto, draw = 0.0, []
-    for k in range(8):  # the number of Poisson's cumulative shares below u
-        upto += math.exp(-1) / math.factorial(k)
-        draw.append(f"int(u > {upto!r}D)")
-    g = F.struct(*by).alias("g")
-    base = rows.select(g, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    numbered = base.withColumn("i", F.expr("row_number() OVER (PARTITION BY g, v ORDER BY v)"))
-    each = numbered.select("g", "v", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
-    each = each.withColumn("u", F.expr(f"(xxhash64(v, i, b, {seed}) & 4503599627370495L) / 4503599627370496D"))
-    weights = each.groupBy("g", "b", "v").agg(F.sum(F.expr(" + ".join(draw))).alias("w")).where("w > 0")
-    total = weights.withColumn("upto", F.expr("sum(w) OVER (PARTITION BY g, b ORDER BY v ROWS UNBOUNDED PRECEDING)")).withColumn("total", F.expr("sum(w) OVER (PARTITION BY g, b)"))
-    low, high = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("v"))), F.min(F.when(F.col("upto") * 2 > F.col("total"), F.col("v")))
-    medians = total.groupBy("g", "b").agg(((low + high) / 2).alias("m"))
-    spread = medians.groupBy("g").agg((F.stddev_pop("m") / F.greatest(F.abs(F.median("m")), F.lit(1e-12))).alias("spread"))
-    sizes = base.groupBy("g").agg(F.count("*").alias("n"))
+    these medians. Under three values exploratory. Null keys are a group; nulls and NaNs are left out.
+
+    A resample's median is a value of the group whose rank is random: the k-th of n uniform draws has a beta distribution,
+    and the next one, given it, is the least of n - k draws above it. So only ranks are drawn, from the group's size, and
+    looked up among the counted values; rows are never multiplied."""
+    chunks = ranks.counted(rows, by, value)
+    ahead = ranks.before(chunks, "__g", F.sum("__k"))
+    sizes = ahead.select("__g", F.col("__all").alias("n")).distinct()
+
+    def draw(batches):
+        for pdf in batches:
+            drawn = []
+            for n, start in zip(pdf.n, pdf.start, strict=True):
+                rng = np.random.default_rng(abs(int(start)))
+                k = (n + 1) // 2
+                low = rng.beta(k, n + 1 - k, rounds)
+                high = low if n % 2 else low + (1 - low) * (1 - rng.random(rounds) ** (1 / (n - k)))
+                drawn.append(np.minimum(n - 1, np.floor(n * np.stack([low, high])).astype(np.int64)))
+            size = len(pdf) * rounds
+            low, high = (np.concatenate([d[i] for d in drawn]) if drawn else np.zeros(0, np.int64) for i in (0, 1))
+            yield pd.DataFrame({"id": np.repeat(pdf.id.to_numpy(), rounds), "b": np.arange(size) % rounds, "low": low, "high": high})
+
+    keyed = sizes.withColumn("id", F.to_json("__g", {"ignoreNullFields": "false"}))
+    drawn = keyed.select("id", "n", F.xxhash64("id", F.lit(seed)).alias("start")).mapInPandas(draw, "id string, b bigint, low bigint, high bigint")
+    wanted = materialise(keyed.select("__g", "id").join(drawn, "id").select("__g", "b", F.explode(F.array("low", "high")).alias("rank")))
+    places = ranks.values_at(chunks, ahead, wanted.select("__g", "rank").distinct())
+    medians = wanted.join(places, ["__g", "rank"]).groupBy("__g", "b").agg(F.avg("__v").alias("m"))
+    spread = medians.groupBy("__g").agg((F.stddev_pop("m") / F.greatest(F.abs(F.median("m")), F.lit(1e-12))).alias("spread"))  # a group has `rounds` medians
     label = F.lit("exploratory")
     for name, upto in reversed(SPREADS):
         label = F.when((F.col("n") >= 3) & (F.col("spread") <= upto), name).otherwise(label)
-    return sizes.join(spread, "g", "left").select(*(F.col("g")[c].alias(c) for c in by), "n", "spread", label.alias("support"))
+    return sizes.join(spread, "__g", "left").select(*(F.col("__g")[c].alias(c) for c in by), "n", "spread", label.alias("support"))

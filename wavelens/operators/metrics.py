@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 from .quantiles import quantiles
 
 
@@ -111,10 +112,8 @@ def capture_metrics(cases: DataFrame, sets: list[list[str]]) -> DataFrame:
 def stratified_split(manifest: DataFrame, strata: list[str], id_column: str, shares: dict[str, float], seed: int = 610) -> DataFrame:
     """manifest with a column split: largest-remainder allocation within each stratum, members in hash order.
 
-    The order is a hash of the seed and id, so it does not depend on partitioning."""
-    order = f"xxhash64({seed}, {id_column}), {id_column}"
-    by = ", ".join(strata)
-    out = manifest.withColumn("__r", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY {order})")).withColumn("__n", F.expr(f"count(*) OVER (PARTITION BY {by})"))
+    The order is a hash of the seed and id, so it does not depend on partitioning; a stratum is spread over tasks (ranks.py)."""
+    out = ranks.numbered(manifest.withColumn("__h", F.xxhash64(F.lit(seed), id_column)), strata, ["__h", id_column]).drop("__h")
     return out.withColumn("split", F.expr(allocation_sql("__r", "__n", shares))).drop("__r", "__n")
 
 

@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size.
 
-Spark's exact percentile keeps a map of all distinct values of a group in one task. Here values are first counted by
-range; only the ranges that hold a wanted rank are looked into, as counts of their values. Both counts are aggregated on
-the map side, and no task holds a group.
+Spark's exact percentile keeps a map of all distinct values of a group in one task. Here distinct values are counted on the
+map side, dealt to chunks by range (ranks.py), and only the chunks that hold a wanted rank are looked into. The input is
+read once; neither outliers nor infinities unbalance the chunks.
 """
 
 from __future__ import annotations
@@ -10,26 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGES = 1024
+from . import ranks
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], ranges: int = RANGES) -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """(by, n, q): the number of values and the quantiles (array, in the order of shares) by linear interpolation between
     the two nearest ranks. Nulls and NaNs are left out; a group without values has no row. Null keys are a group."""
-    g = F.struct(*by).alias("__g")  # as one value, so that null keys join
-    base = rows.select(g, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
-    edges = base.groupBy("__g").agg(F.count("*").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    place = f"if(__high > __low AND __high - __low < double('infinity'), least({ranges - 1}, int(floor((__v - __low) / (__high - __low) * {ranges}))), 0)"
-    placed = base.join(edges.drop("n"), "__g").select("__g", "__v", F.expr(place).alias("__r"))
-    counted = placed.groupBy("__g", "__r").agg(F.count("*").alias("__k"))  # at most ranges rows a group
-    counted = counted.withColumn("__upto", F.expr("sum(__k) OVER (PARTITION BY __g ORDER BY __r ROWS UNBOUNDED PRECEDING)"))
+    chunks = ranks.counted(rows, by, value)
+    ahead = ranks.before(chunks, "__g", F.sum("__k"))
     wanted = ", ".join(f"named_struct('i', {i}, 'at', {float(s)!r}D * (n - 1))" for i, s in enumerate(shares))
-    ranks = edges.select("__g", "n", F.inline(F.expr(f"array({wanted})"))).select("__g", "n", "i", "at", F.explode(F.expr("array_distinct(array(floor(at), ceil(at)))")).alias("rank"))
-    holds = counted.join(ranks, "__g").where("rank >= __upto - __k AND rank < __upto").select("__g", "__r", "n", "i", "at", "rank", (F.col("__upto") - F.col("__k")).alias("__before"))
-    some = placed.join(holds.select("__g", "__r", "__before").distinct(), ["__g", "__r"])
-    values = some.groupBy("__g", "__r", "__before", "__v").agg(F.count("*").alias("__k"))
-    values = values.withColumn("__upto", F.expr("__before + sum(__k) OVER (PARTITION BY __g, __r ORDER BY __v ROWS UNBOUNDED PRECEDING)"))
-    met = holds.drop("__before").join(values, ["__g", "__r"]).where("rank >= __upto - __k AND rank < __upto")
-    each = met.groupBy("__g", "n", "i", "at").agg(F.min_by("__v", "rank").alias("a"), F.max_by("__v", "rank").alias("b")).withColumn("x", F.expr("a + (b - a) * (at - floor(at))"))
+    sizes = ahead.select("__g", F.col("__all").alias("n")).distinct()
+    places = sizes.select("__g", "n", F.inline(F.expr(f"array({wanted})"))).select("__g", "n", "i", "at", F.explode(F.expr("array_distinct(array(floor(at), ceil(at)))")).alias("rank"))
+    met = ranks.values_at(chunks, ahead, places)
+    each = met.groupBy("__g", "n", "i", "at").agg(F.min_by("__v", "rank").alias("a"), F.max_by("__v", "rank").alias("b")).withColumn("x", F.expr("if(a = b, a, a + (b - a) * (at - floor(at)))"))
     out = each.groupBy("__g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("q"))
     return out.select(*(F.col("__g")[c].alias(c) for c in by), "n", "q")
