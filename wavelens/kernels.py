@@ -74,3 +74,49 @@ def q103_average_ranks(spark, sf_dir):
     first = rows.groupBy("event_type", "user_id").agg(F.min_by("v", F.struct("ts", "event_id")).alias("v"))
     placed = ranks.average_ranks(rows, ["event_type"], "v").select(F.col("__g.event_type").alias("event_type"), F.col("__v").alias("v"), F.col("__rank").alias("average_rank"), F.col("__size").alias("n"))
     return first.join(placed, ["event_type", "v"]).select("event_type", "user_id", "n", "average_rank")
+
+
+RATE, BAND = 3200.0, (5.0, 1600.0)
+
+
+def channel_pairs(spark, sf_dir) -> DataFrame:
+    """Vectors as two channels, their even and odd components, less the label's mean; a label is an ensemble."""
+    v = views.vectors(spark, sf_dir).withColumn("r", F.expr("zip_with(primary, reference, (a, b) -> a - b)"))
+    half = lambda j: F.expr(f"transform(sequence(0, size(r) DIV 2 - 1), i -> r[2 * i + {j}])")
+    return v.select(F.col("reference_label").alias("ensemble"), "capture_id", half(0).alias("r1"), half(1).alias("r2"))
+
+
+SPECTRUM = f"""e AS (SELECT vec_id AS capture_id, label::VARCHAR AS ensemble, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings),
+    x AS (SELECT capture_id, ensemble, n % 2 + 1 AS ch, n // 2 AS i, v - avg(v) OVER (PARTITION BY ensemble, n) AS v FROM e),
+    y AS (SELECT capture_id, ensemble, ch, i, (v - avg(v) OVER (PARTITION BY capture_id, ch)) * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM x),
+    f AS (SELECT capture_id, ensemble, ch, k, sum(y * cos(2 * pi() * k * i / 32)) AS re, -sum(y * sin(2 * pi() * k * i / 32)) AS im FROM y, (SELECT unnest(range(17)) AS k) GROUP BY ALL),
+    g AS (SELECT a.capture_id, a.ensemble, a.k, a.k * {RATE} / 32 AS hz, a.re AS re1, a.im AS im1, b.re AS re2, b.im AS im2, sqrt(a.re * a.re + a.im * a.im) / 16 * w AS a1, sqrt(b.re * b.re + b.im * b.im) / 16 * w AS a2
+        FROM (SELECT *, CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS w FROM f WHERE ch = 1) a JOIN f b ON a.capture_id = b.capture_id AND a.k = b.k AND b.ch = 2),
+    c AS MATERIALIZED (SELECT ensemble, k, hz, count(*) AS captures, avg(a1) AS mean_a1, avg(a2) AS mean_a2, avg(re1 * re2 + im1 * im2) AS re, avg(re1 * im2 - im1 * re2) AS im, avg(re1 * re1 + im1 * im1) AS s1, avg(re2 * re2 + im2 * im2) AS s2 FROM g GROUP BY ALL),
+    spectrum AS (SELECT *, (re * re + im * im) / greatest(s1 * s2, 2.220446049250313e-16) AS coherence, degrees(atan2(im, re)) AS phase_deg FROM c)"""
+
+
+@query(f"WITH {SPECTRUM} SELECT ensemble, k::INT AS k, captures, {r('hz', 'mean_a1', 'mean_a2', 'coherence')}, round(cos(radians(phase_deg)), 6) AS phase_cos, round(sin(radians(phase_deg)), 6) AS phase_sin FROM spectrum")
+def q104_cross_spectrum(spark, sf_dir):
+    """Coherence and phase of two channels at each spectral line over a label's captures."""
+    from .operators import spectra
+
+    out = spectra.cross_spectrum(spectra.lines(channel_pairs(spark, sf_dir), RATE))
+    return out.select("ensemble", "k", "captures", "hz", "mean_a1", "mean_a2", "coherence", F.cos(F.radians("phase_deg")).alias("phase_cos"), F.sin(F.radians("phase_deg")).alias("phase_sin"))
+
+
+@query(f"""WITH {SPECTRUM}, m AS (SELECT *, greatest(mean_a1, mean_a2) AS v, median(greatest(mean_a1, mean_a2)) OVER (PARTITION BY ensemble) AS floor FROM spectrum WHERE hz BETWEEN {BAND[0]} AND {BAND[1]}),
+    t AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM m WINDOW w AS (PARTITION BY ensemble ORDER BY k)), p AS (SELECT * FROM t WHERE before < v AND after < v AND v >= 1.0 * floor),
+    o AS (SELECT p.ensemble, p.k, coalesce(max(m.k) FILTER (m.k < p.k AND m.v > p.v), -1) AS lo, coalesce(min(m.k) FILTER (m.k > p.k AND m.v > p.v), 999) AS hi FROM p JOIN m USING (ensemble) GROUP BY ALL),
+    q AS (SELECT p.ensemble, p.k FROM p JOIN o USING (ensemble, k) JOIN m ON m.ensemble = p.ensemble AND m.k BETWEEN lo AND hi GROUP BY p.ensemble, p.k, p.v, p.floor HAVING p.v - greatest(min(m.v) FILTER (m.k <= p.k), min(m.v) FILTER (m.k >= p.k)) >= 0.02 * p.floor),
+    l AS (SELECT ensemble, capture_id, median(a1) AS f1, median(a2) AS f2 FROM g WHERE hz BETWEEN {BAND[0]} AND {BAND[1]} GROUP BY ALL),
+    z AS (SELECT g.ensemble, g.k, a1 > 1.2 * f1 AS on1, a2 > 1.2 * f2 AS on2, a2 / greatest(a1, 2.220446049250313e-16) AS ratio FROM g JOIN q USING (ensemble, k) JOIN l USING (ensemble, capture_id)),
+    s AS (SELECT ensemble, k, avg(on1::INT) AS occupancy1, avg(on2::INT) AS occupancy2, median(ratio) FILTER (on1) AS gain FROM z GROUP BY ALL), d AS (SELECT z.ensemble, z.k, median(abs(ratio - gain)) AS mad FROM z JOIN s USING (ensemble, k) WHERE on1 GROUP BY ALL)
+    SELECT ensemble, {r('hz', 'mean_a1', 'mean_a2', 'gain', 'mad / gain AS gain_mad', 'coherence', 'occupancy1', 'occupancy2')}, CASE WHEN coherence >= 0.85 AND occupancy1 >= 0.5 AND occupancy2 >= 0.5 AND abs(phase_deg) <= 20 THEN 'common-mode'
+        WHEN coherence >= 0.85 AND occupancy1 >= 0.5 AND occupancy2 >= 0.5 AND abs(phase_deg) >= 160 THEN 'differential / opposite-polarity' WHEN occupancy1 >= 0.5 AND occupancy2 < 0.25 THEN 'channel 1 local' WHEN occupancy2 >= 0.5 AND occupancy1 < 0.25 THEN 'channel 2 local'
+        WHEN coherence >= 0.85 THEN 'shared, non-common phase relation' ELSE 'unclassified residual' END AS label FROM q JOIN spectrum USING (ensemble, k) JOIN s USING (ensemble, k) LEFT JOIN d USING (ensemble, k)""")
+def q105_common_mode(spark, sf_dir):
+    """Classes of the spectral peaks of each label's captures (random data: low limits)."""
+    from .operators import spectra
+
+    return spectra.common_mode(channel_pairs(spark, sf_dir), RATE, BAND, height=1.0, prominence=0.02, distance_hz=1.0, occupied=1.2).drop("phase_deg")
