@@ -25,7 +25,7 @@ from .pretokens import slices
 
 #: Suffixes of a group (a leaf takes some 100 bytes while its trees are built), and how many prefixes of a length may be long:
 #: all are known to every task, in some 50 MB at most. Beyond MOST times BUDGET words, groups grow instead.
-BUDGET, MOST = 250_000, 500_000
+BUDGET, MOST = 600_000, 500_000
 
 #: Texts are counted some bytes at a time.
 SLICE = 1 << 23
@@ -105,8 +105,10 @@ def leaves(docs: DataFrame, depth: int) -> DataFrame:
 
 def prefix_lengths(words: list[bytes], rows: np.ndarray, long_: set[tuple[bytes, ...]]) -> np.ndarray:
     """For each leaf the words of its prefix: one, and one more for each prefix in a row that is long."""
-    out, open_ = np.ones(len(rows), np.int64), np.arange(len(rows))
-    for d in range(1, rows.shape[1]):
+    alone = np.array([False, *((w,) in long_ for w in words)], bool)
+    out = np.where(alone[rows[:, 0]], 2, 1)
+    open_ = np.flatnonzero((out == 2) & (rows[:, 1] > 0))
+    for d in range(2, rows.shape[1]):
         _, first, which = np.unique(keys(rows[open_, :d]), return_index=True, return_inverse=True)
         more = np.array([tuple(words[i - 1] for i in head) in long_ for head in rows[open_[first], :d].tolist()], bool)[which]
         open_ = open_[more]
@@ -116,7 +118,8 @@ def prefix_lengths(words: list[bytes], rows: np.ndarray, long_: set[tuple[bytes,
 
 
 def prefix_counts(table: DataFrame, d: int, depth: int, long_) -> DataFrame:
-    """(lang, w1, ..., n): how often each prefix of d words occurs, of those whose parts are long."""
+    """(lang, w1, ..., n): how often each prefix of d words occurs, of those whose prefixes are long. Under the whole depth
+    only those that may be long themselves are counted: their last word must be long as well."""
     names = [f"w{i + 1}" for i in range(d)]
     kind = ", ".join(["lang string", *(f"{w} string" for w in names), "n bigint"])
 
@@ -126,7 +129,10 @@ def prefix_counts(table: DataFrame, d: int, depth: int, long_) -> DataFrame:
                 words, rows, times = unpacked(data)
                 keep = rows[:, d - 1] > 0
                 if d > 1:
-                    keep &= prefix_lengths(words, rows, long_.value.get(lang, set())) >= d
+                    known = long_.value.get(lang, set())
+                    keep &= prefix_lengths(words, rows, known) >= d
+                    if d < depth:
+                        keep &= np.array([False, *((w,) in known for w in words)], bool)[rows[:, d - 1]]
                 _, first, which = np.unique(keys(rows[keep, :d]), return_index=True, return_inverse=True)
                 heads = rows[keep, :d][first]
                 total = np.bincount(which, times[keep], len(heads)).astype(np.int64)  # exact: a slice's counts are small
