@@ -37,6 +37,36 @@ def test_results(spark, tmp_path):
     assert (r.rank, r.reference_evidence_score, r.raw_matched) == (0, 0.0, True)
 
 
+def test_mixed_headers_and_quoted_fields(spark, tmp_path):
+    """Files are read by their own header; what the writer puts into fields comes back."""
+    d = tmp_path / "r"
+    d.mkdir()
+    (d / "b.csv").write_text("capture_id,signature_id,confidence\nc1,s1,0.5\nc1,s2,0.5\n")
+    (d / "a.csv").write_text('\ufeffsignature_id,capture_id,confidence,rank,warnings\ns3,c1,0.9,4,"a ""b"", c\nnext | line"\n')
+    (d / "empty.csv").write_text("")
+    rows = campaign.results(spark, str(d)).orderBy("ordinal").collect()
+    assert [(r.capture_id, r.signature_id, r.confidence, r["rank"], r.warnings) for r in rows] == [("c1", "s3", 0.9, 4, 'a "b", c\nnext | line'), ("c1", "s1", 0.5, 1, ""), ("c1", "s2", 0.5, 2, "")]
+    (d / "c.csv").write_text("capture_id,confidence\nc1,1\n")
+    with pytest.raises(ValueError, match="signature_id"):
+        campaign.results(spark, str(d))
+    df = spark.createDataFrame([("c1", "s", "0.5", 'x\n"y", z|w', ""), ("c2", "s, t", "1", "plain", None)], "capture_id string, signature_id string, confidence string, warnings string, note string")
+    writers.write_table(df, str(tmp_path / "w"))
+    back = campaign.read_csv(spark, str(tmp_path / "w")).select(df.columns).collect()
+    assert sorted(map(tuple, back)) == sorted((*r[:4], r[4] or "") for r in df.collect())
+    with pytest.raises(ValueError, match="header"):
+        campaign.read_csv(spark, str(d / "empty.csv"))
+
+
+def test_scope_with_long_preamble_and_quoted_names(spark, tmp_path):
+    for k in (1, 2):
+        lines = [f"note {i},{k}" if i % 2 else "text" for i in range(200)] + ['Seconds,"ch 1, raw",CH2'] + [f"{i / 10},{i * k},{'x' if i == 3 else i}" for i in range(30)]
+        (tmp_path / f"s{k}.csv").write_text("\n".join(lines) + "\n")
+    assert scope.header_rows(spark, str(tmp_path)) == 200
+    rows = scope.analog(spark, str(tmp_path)).collect()
+    assert {r.channel for r in rows} == {"ch 1, raw", "CH2"} and len(rows) == 2 * (30 + 29)
+    assert sorted(r.v for r in rows if r.channel == "ch 1, raw" and r.capture_id.endswith("s2.csv")) == [2.0 * i for i in range(30)]
+
+
 def test_scores_and_registry(spark, tmp_path):
     s, j = tmp_path / "s.csv", tmp_path / "s.json"
     s.write_text("capture_id,truth_label,signature_id,confidence\nc1,a,a,0.4\nc1,a,b,oops\n")

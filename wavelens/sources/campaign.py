@@ -3,8 +3,12 @@ a value to be judged and never a failed job; empty fields are empty strings."""
 
 from __future__ import annotations
 
+import csv
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REQUIRED = {
     "manifest": ["capture_id", "signature_id", "family", "truth_label", "expected_fault_present", "noise_tier"],
@@ -17,14 +21,49 @@ FAMILIES = ["power_quality", "switching_emc", "digital_timing", "measurement_art
 MECHANICAL = ["bearing", "gear", "imbalance", "misalignment", "mechanical", "rotating_machine"]
 
 
+def read_groups(spark: SparkSession, path: str | list[str], kind: str | None = None) -> list[DataFrame]:
+    """The files' rows, a frame for each different header line, so that every file is read by its own columns.
+
+    Columns as strings (null: empty), without a byte order mark; with ordinal, the order of rows by file name and place in
+    the file, and source_file. Quoted fields may hold commas, quotes and line ends; for that a file is one task's work.
+    Headers are found in a pass over the first blocks; the driver holds the list of files only. Raises if a file misses a
+    required column of kind."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("__file")).orderBy("path").toPandas()
+    files["__at"] = range(len(files))
+    order = F.broadcast(spark.createDataFrame(files[["__file", "__at"]].values.tolist(), "__file string, __at bigint"))  # as long as Spark's own list
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    first = {r.f: r.line.lstrip("\ufeff") for r in text.where("b = 0 AND value <> ''").groupBy("f").agg(F.min_by("value", "i").alias("line")).collect()}
+    out = []
+    for line in dict.fromkeys(first[f] for f in files["__file"] if f in first):  # an empty file has no header and no rows
+        names = [c.strip() or f"column_{i}" for i, c in enumerate(next(csv.reader([line])))]
+        names = [c if c not in names[:i] else f"{c}_{i}" for i, c in enumerate(names)]
+        if missing := sorted(set(REQUIRED.get(kind, [])) - set(names)):
+            raise ValueError(f"{path} misses columns {missing}")
+        kind_of = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        some = [p for p, f in zip(files["path"], files["__file"], strict=True) if first.get(f) == line]
+        rows = spark.read.schema(kind_of).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(some)
+        rows = rows.select(*(F.coalesce(F.col(_name(c)), F.lit("")).alias(c) for c in names), F.monotonically_increasing_id().alias("__i"), F.col("_metadata.file_path").alias("__file"))
+        out.append(rows.join(order, "__file").select(*(F.col(_name(c)) for c in names), F.expr("shiftleft(__at, 33) | (__i & 8589934591L)").alias("ordinal"), F.col("__file").alias("source_file")))
+    if not out:
+        raise ValueError(f"{path} has no header")
+    return out
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def united(groups: list[DataFrame]) -> DataFrame:
+    """All rows; where a file lacks a column, it is empty."""
+    if len(groups) == 1:
+        return groups[0]
+    every = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    return every.select(*(F.coalesce(F.col(_name(c)), F.lit("")).alias(c) if t == "string" else F.col(_name(c)) for c, t in every.dtypes))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], kind: str | None = None) -> DataFrame:
-    """Columns as strings (null: empty), without a byte order mark; with ordinal, the order in which rows were met (by file
-    and offset), and source_file. Raises if required columns of kind are missing."""
-    rows = spark.read.option("header", True).option("multiLine", False).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    rows = rows.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in rows.columns})
-    if missing := sorted(set(REQUIRED.get(kind, [])) - set(rows.columns)):
-        raise ValueError(f"{path} misses columns {missing}")
-    return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns), F.monotonically_increasing_id().alias("ordinal"), F.input_file_name().alias("source_file"))
+    """read_groups in one frame."""
+    return united(read_groups(spark, path, kind))
 
 
 def is_true(column: str) -> Column:
@@ -56,8 +95,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Results with confidence (bad: 0), raw_matched (from it or matched; absent: true), reference_evidence_score (bad: 0;
     absent: 1) and rank (bad: 0; absent: by confidence, of equal ones the first met). Absent texts are empty, an absent
-    threshold_profile is unknown."""
-    rows = read_csv(spark, path, "results")
+    threshold_profile is unknown. What is absent is told for the files of each header by themselves."""
+    return united([_results(rows) for rows in read_groups(spark, path, "results")])
+
+
+def _results(rows: DataFrame) -> DataFrame:
     has = set(rows.columns)
     matched = is_true("raw_matched") if "raw_matched" in has else is_true("matched") if "matched" in has else F.lit(True)
     rows = rows.withColumn("raw_matched", matched).withColumn("confidence", number("confidence"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .campaign import read_csv
+
 #: Names of time columns.
 TIME_NAMES = ["time", "time_s", "t", "seconds", "timestamp", "x"]
 
@@ -14,21 +18,44 @@ def _numbers(rows: DataFrame) -> DataFrame:
     return rows.select("source_file", "ordinal", *(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(c) for c in names))
 
 
-def header_rows(spark: SparkSession, path: str, most: int = 50) -> int:
-    """Lines before the table: the first line without numbers whose next line has two numbers or more begins it. Reads the
-    first most lines only, a file's preamble."""
-    lines = [r.value for r in spark.read.text(path).limit(most).collect()]
+def _fields(line: str) -> list[str]:
+    return next(csv.reader([line]), [])
+
+
+def header_rows(spark: SparkSession, path: str | list[str]) -> int:
+    """Lines before the table in the first file: the first line without numbers whose next line has two numbers or more begins
+    it; 0 if there is none. Lines come to the driver one partition after the other, until it is found."""
 
     def numbers(line: str) -> int:
         found = 0
-        for field in line.split(","):
+        for field in _fields(line):
             try:
                 found += float(field) == float(field)
             except ValueError:
                 pass
         return found
 
-    return next((i for i in range(len(lines) - 1) if "," in lines[i] and not numbers(lines[i]) and numbers(lines[i + 1]) >= 2), 0)
+    first = spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()
+    before = None
+    for i, row in enumerate(spark.read.text(first.path).toLocalIterator()) if first else ():
+        if before is not None and len(_fields(before)) > 1 and not numbers(before) and numbers(row.value) >= 2:
+            return i - 1
+        before = row.value
+    return 0
+
+
+def without_preamble(spark: SparkSession, path: str | list[str], skip: int) -> DataFrame:
+    """Rows (columns of the header as strings, source_file, ordinal) of files whose table begins after skip lines; all have the
+    header of the first file. The lines to drop are told by their place in a file's first block, so a file is read by as
+    many tasks as it has blocks. Fields may hold quoted commas, no line ends."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ordinal"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("b"))
+    starts = lines.where("b = 0").groupBy("source_file").agg(F.min("ordinal").alias("__first"))
+    placed = lines.join(starts, "source_file").withColumn("k", F.expr("if(b = 0, ordinal - __first, 9223372036854775807)"))
+    head = placed.where(F.col("k") == skip).orderBy("source_file").first().value
+    names = [x.strip() or f"column_{i}" for i, x in enumerate(_fields(head))]
+    kind = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    parsed = placed.where(F.col("k") > skip).select("source_file", "ordinal", F.from_csv("value", kind, {"escape": '"', "mode": "PERMISSIVE"}).alias("r"))
+    return parsed.select("source_file", "ordinal", *(F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def time_column(rows: DataFrame) -> str:
@@ -45,18 +72,11 @@ def time_column(rows: DataFrame) -> str:
 
 
 def analog(spark: SparkSession, path: str, skip: int | None = None) -> DataFrame:
-    """Samples of one or more CSV files that share a header; a capture is a file. Rows without a time or without any value
-    are skipped, as are channels that are never numbers or never change."""
+    """Samples of one or more CSV files; a capture is a file. Files with lines before the table share their header, others are
+    read by their own. Rows without a time or without any value are skipped, as are channels that are never numbers or
+    never change."""
     skip = header_rows(spark, path) if skip is None else skip
-    table = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if skip:
-        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("i"), F.input_file_name().alias("f"))
-        head = lines.orderBy("f", "i").limit(skip + 1).collect()[-1].value
-        names = [x.strip() or f"column_{i}" for i, x in enumerate(head.split(","))]
-        body = lines.withColumn("k", F.expr("row_number() OVER (PARTITION BY f ORDER BY i)")).where(F.col("k") > skip + 1)
-        rows = body.select(F.col("f").alias("source_file"), F.col("i").alias("ordinal"), *(F.expr(f"get(split(value, ','), {j})").alias(c) for j, c in enumerate(names)))
-    else:
-        rows = table.csv(path).select("*", F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("ordinal"))
+    rows = without_preamble(spark, path, skip) if skip else read_csv(spark, path)
     rows = _numbers(rows)
     t = time_column(rows)
     channels = [c for c in rows.columns if c not in ("ordinal", "source_file", t)]
@@ -76,7 +96,7 @@ def aligned(captures: DataFrame, tolerance: float = 1e-12) -> DataFrame:
 
 def tracks(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a table whose first column is the time and whose others are a capture each."""
-    rows = _numbers(spark.read.option("header", True).csv(path).select("*", F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("ordinal")))
+    rows = _numbers(read_csv(spark, path))
     t, *names = [c for c in rows.columns if c not in ("ordinal", "source_file")]
     long = rows.select("ordinal", F.col(f"`{t}`").alias("t"), F.inline(F.array(*(F.struct(F.lit(c).alias("capture_id"), F.col(f"`{c}`").alias("v")) for c in names))))
     return long.where("t IS NOT NULL").selectExpr("capture_id", "row_number() OVER (PARTITION BY capture_id ORDER BY ordinal) - 1 AS n", "t", "v")
