@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import REFERENCE, query, r
-from .operators import alignment, events, ranks
+from .operators import alignment, events, propagation, ranks
+from .operators.quantiles import quantiles
 from .plans import views
 from .plans.views import SAMPLES
 
@@ -120,3 +121,54 @@ def q105_common_mode(spark, sf_dir):
     from .operators import spectra
 
     return spectra.common_mode(channel_pairs(spark, sf_dir), RATE, BAND, height=1.0, prominence=0.02, distance_hz=1.0, occupied=1.2).drop("phase_deg")
+
+
+#: Purchases as source pulses and clicks as outputs, hours long; a sample each five hours.
+WAY = propagation.Path(threshold=100.0, rate=1 / 18_000, latency_max_s=21_600.0, late_s=86_400.0, slack_s=43_200.0, before_s=600.0, look_back_s=432_000.0)
+
+
+def sent(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    s = views.samples(spark, sf_dir)
+    side = lambda kind: s.where(f"event_type = '{kind}'").selectExpr("capture_id", "event_id AS id", "t AS rise_s", "t + abs(v) * 3600 AS fall_s")
+    amplitude = quantiles(s.where("event_type = 'purchase'"), ["capture_id"], "v", [0.01, 0.99]).select("capture_id", (F.col("q")[1] - F.col("q")[0]).alias("amplitude"))
+    base = quantiles(s, ["capture_id"], "v", [0.05]).select("capture_id", F.col("q")[0].alias("base"))
+    return side("purchase"), side("click"), s.select("capture_id", "t", "v"), base.join(amplitude, "capture_id", "left").select("capture_id", "amplitude", "base")
+
+
+WAYS = f"""{SAMPLES}, src AS (SELECT capture_id, event_id AS id, t AS rise, t + abs(v) * 3600 AS fall, abs(v) * 3600 AS width FROM samples WHERE event_type = 'purchase'), outs AS (SELECT capture_id, event_id AS output, t AS o_rise, t + abs(v) * 3600 AS o_fall, abs(v) * 3600 AS o_width FROM samples WHERE event_type = 'click'),
+    sc AS (SELECT capture_id, quantile_cont(v, 0.99) FILTER (event_type = 'purchase') - quantile_cont(v, 0.01) FILTER (event_type = 'purchase') AS amplitude, quantile_cont(v, 0.05) AS base FROM samples GROUP BY 1),
+    near AS (SELECT src.capture_id, src.id, s.v, s.t >= rise - 600 AS after FROM src JOIN samples s ON s.capture_id = src.capture_id AND s.t BETWEEN rise - 600 - 432000 AND rise + 86400),
+    lv AS (SELECT capture_id, id, max(v) FILTER (after) AS peak, median(v) FILTER (NOT after) AS baseline FROM near GROUP BY ALL), mad AS (SELECT near.capture_id, near.id, 1.4826 * median(abs(v - baseline)) AS mad FROM near JOIN lv USING (capture_id, id) WHERE NOT after GROUP BY ALL),
+    held AS (SELECT src.capture_id, src.id, output, o_rise, count(*) OVER (PARTITION BY src.capture_id, output) AS k FROM src JOIN outs ON outs.capture_id = src.capture_id AND o_rise <= rise + 43200 AND o_fall >= fall + 21600 - 43200),
+    mg AS (SELECT capture_id, id, arg_min(output, (o_rise, output)) AS merged FROM held WHERE k >= 2 GROUP BY ALL),
+    pr AS (SELECT src.capture_id, src.id, output, o_rise, o_width, o_rise <= rise + 21600 AS due FROM src JOIN outs ON outs.capture_id = src.capture_id AND o_rise BETWEEN rise AND rise + 86400),
+    met AS (SELECT capture_id, id, count(*) FILTER (due) AS n, string_agg(output::VARCHAR, ',' ORDER BY o_rise, output) FILTER (due) AS dues, arg_min(output, (o_rise, output)) FILTER (due) AS first_due, arg_min(output, (o_rise, output)) FILTER (NOT due) AS late FROM pr GROUP BY ALL),
+    a AS (SELECT src.*, coalesce(n, 0) AS n, dues, late, merged, coalesce(merged, first_due, late) AS pick, coalesce(peak, 0) AS peak, coalesce(baseline, 0) AS baseline, greatest(coalesce(mad, 0), 1e-12) AS noise, coalesce(amplitude, 0) AS amplitude, base, median(width) OVER (PARTITION BY src.capture_id) / 2 AS lim,
+        CASE WHEN width / 18000 < 2 THEN 'inadequate' WHEN width / 18000 < 5 THEN 'limited' WHEN width / 18000 < 10 THEN 'usable' ELSE 'strong' END AS acquisition
+        FROM src LEFT JOIN met USING (capture_id, id) LEFT JOIN mg USING (capture_id, id) LEFT JOIN lv USING (capture_id, id) LEFT JOIN mad USING (capture_id, id) LEFT JOIN sc USING (capture_id)),
+    b AS (SELECT a.*, o_rise, o_rise - rise AS latency_s, o_width, o_width / greatest(width, 1e-12) AS width_ratio FROM a LEFT JOIN outs ON outs.capture_id = a.capture_id AND outs.output = pick),
+    c AS MATERIALIZED (SELECT *, CASE WHEN merged IS NOT NULL THEN 'pulse merging' WHEN n > 1 THEN 'pulse splitting' WHEN pick IS NULL THEN CASE WHEN acquisition = 'inadequate' THEN 'possible acquisition miss' WHEN peak - baseline <= greatest(5 * noise, 0.03 * amplitude) THEN 'complete pulse non-propagation'
+        WHEN peak < 100 THEN 'subthreshold pulse suppression' ELSE 'unresolved pulse miss' END WHEN n = 0 THEN 'late pulse propagation' WHEN o_width < lim OR width_ratio < 0.5 THEN 'pulse-width collapse' WHEN width_ratio > 1.5 THEN 'pulse stretching' ELSE 'valid pulse propagation' END AS outcome,
+        CASE WHEN merged IS NOT NULL THEN merged::VARCHAR WHEN n > 1 THEN dues ELSE coalesce(pick::VARCHAR, '') END AS matched, CASE WHEN amplitude - base > 0 AND peak - base > 0 THEN (peak - base) / (amplitude - base) END AS ratio FROM b),
+    d AS (SELECT *, CASE WHEN outcome IN ('complete pulse non-propagation', 'subthreshold pulse suppression', 'possible acquisition miss', 'unresolved pulse miss') AND ratio < 0.98 THEN -width / ln(greatest(1e-12, 1 - ratio)) END AS tau_s FROM c)"""
+
+
+@query(f"""WITH {WAYS}, rg AS (SELECT d.capture_id, d.id, s.t, s.v - base AS s, count(*) OVER (PARTITION BY d.capture_id, d.id) AS c FROM d JOIN samples s ON s.capture_id = d.capture_id AND s.t BETWEEN o_rise AND o_rise + 43200 WHERE outcome = 'pulse splitting'),
+    rt AS (SELECT *, lag(s) OVER w AS b, lead(s) OVER w AS a FROM rg WINDOW w AS (PARTITION BY capture_id, id ORDER BY t)), tp AS (SELECT *, lead(s) OVER (PARTITION BY capture_id, id ORDER BY t) AS nx FROM rt WHERE c >= 20 AND s > b AND s >= a AND s > 0),
+    rq AS (SELECT capture_id, id, median(ln(s / nx)) AS dd, count(*) AS k FROM tp WHERE s > nx GROUP BY ALL), qq AS (SELECT capture_id, id, pi() / sqrt(dd * dd + 1e-12) AS q FROM rq WHERE k >= 2 AND dd > 0)
+    SELECT capture_id, id, outcome, CASE WHEN outcome IN ('pulse merging', 'pulse splitting') THEN CASE WHEN acquisition IN ('strong', 'usable') THEN 'high' ELSE 'limited' END WHEN outcome = 'possible acquisition miss' THEN 'unresolved' WHEN outcome = 'subthreshold pulse suppression' THEN CASE WHEN (peak - baseline) / noise >= 8 THEN 'high' ELSE 'moderate' END
+        WHEN outcome = 'unresolved pulse miss' THEN 'moderate' ELSE CASE WHEN acquisition = 'strong' THEN 'high' ELSE 'moderate' END END AS confidence, acquisition, matched, {r('latency_s', 'width_ratio', 'peak', 'tau_s', '1 / (2 * pi() * tau_s) AS cutoff_hz', 'CASE WHEN q BETWEEN 0.2 AND 100 THEN q END AS q')} FROM d LEFT JOIN qq USING (capture_id, id)""")
+def q106_pulse_outcomes(spark, sf_dir):
+    """What became of each purchase (source pulse) among the capture's clicks (outputs)."""
+    return propagation.outcomes(*sent(spark, sf_dir), WAY).drop("mechanism")
+
+
+@query(f"""WITH {WAYS}, u AS (SELECT capture_id, outcome, matched, unnest(string_split(matched, ',')) AS output FROM d WHERE matched <> ''), k AS (SELECT capture_id, count(DISTINCT output) AS used, count(DISTINCT CASE WHEN outcome = 'pulse merging' THEN matched END) AS merged_groups FROM u GROUP BY 1),
+    m AS (SELECT capture_id, outcome, row_number() OVER (PARTITION BY capture_id ORDER BY count(*) DESC, outcome) AS i FROM d GROUP BY capture_id, outcome), z AS (SELECT capture_id, count(*) AS outputs FROM outs GROUP BY 1)
+    SELECT d.capture_id, count(*) AS expected, count(*) FILTER (NOT miss) AS matched, count(*) FILTER (miss) AS missed, count(*) FILTER (d.outcome = 'pulse splitting') AS split, coalesce(any_value(merged_groups), 0) AS merged_groups, coalesce(any_value(outputs), 0) - coalesce(any_value(used), 0) AS extra_outputs,
+        round(count(*) FILTER (NOT miss) / count(*), 6) AS detection_ratio, count(*) FILTER (acquisition IN ('inadequate', 'limited')) AS acquisition_limited, any_value(m.outcome) AS dominant
+        FROM (SELECT *, outcome IN ('complete pulse non-propagation', 'subthreshold pulse suppression', 'possible acquisition miss', 'unresolved pulse miss') AS miss FROM d) d LEFT JOIN k USING (capture_id) LEFT JOIN z USING (capture_id) JOIN m ON m.capture_id = d.capture_id AND i = 1 GROUP BY d.capture_id""")
+def q107_propagation_summary(spark, sf_dir):
+    """Each capture's counts of outcomes."""
+    sources, outputs, signal, scales = sent(spark, sf_dir)
+    return propagation.summary(propagation.outcomes(sources, outputs, signal, scales, WAY), outputs)
