@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import REFERENCE, query, r
+from .catalog import REFERENCE, VECTORS, query, r
+from .functions.features import pair_features
 from .operators import alignment, events, propagation, ranks
 from .operators.quantiles import quantiles
-from .plans import views
+from .plans import analyzers, views
 from .plans.views import SAMPLES
 
 
@@ -172,3 +173,59 @@ def q107_propagation_summary(spark, sf_dir):
     """Each capture's counts of outcomes."""
     sources, outputs, signal, scales = sent(spark, sf_dir)
     return propagation.summary(propagation.outcomes(sources, outputs, signal, scales, WAY), outputs)
+
+
+def loud(batch):
+    return batch.assign(matched=batch.rms_ratio >= 1, confidence=(batch.rms_ratio / 2).clip(0, 1), reason="louder than its reference")[["capture_id", "matched", "confidence", "reason"]]
+
+
+def peaky(batch):
+    """Two modes: above and below the reference's peak."""
+    import pandas as pd
+
+    up = batch.assign(mode="over", matched=batch.peak_ratio > 1.1, confidence=(batch.peak_ratio / 3).clip(0, 1))
+    down = batch.assign(mode="under", matched=batch.peak_ratio < 0.9, confidence=(1 - batch.peak_ratio).clip(0, 1))
+    return pd.concat([up, down])[["capture_id", "mode", "matched", "confidence"]]
+
+
+def fragile(batch):
+    """Cannot take captures whose number ends in 7."""
+    if (batch.capture_id % 10 == 7).any():
+        raise ValueError("ends in 7")
+    return batch.assign(matched=batch.correlation > 0, confidence=batch.correlation.clip(0, 1))[["capture_id", "matched", "confidence"]]
+
+
+def own_signatures() -> analyzers.Registry:
+    registry = analyzers.Registry()
+    registry.register_signature("loud", "level", loud)
+    registry.register_signature("peaky", "level", peaky)
+    registry.register_signature("fragile", "shape", fragile)
+    return registry
+
+
+ANALYZED = f"""{VECTORS}, modes_of AS (SELECT capture_id, 'loud' AS signature_id, NULL AS mode, rms_ratio >= 1 AS matched, least(1, greatest(0, rms_ratio / 2)) AS confidence, NULL AS error FROM f
+    UNION ALL SELECT capture_id, 'peaky', 'over', peak_ratio > 1.1, least(1, greatest(0, peak_ratio / 3)), NULL FROM f UNION ALL SELECT capture_id, 'peaky', 'under', peak_ratio < 0.9, least(1, greatest(0, 1 - peak_ratio)), NULL FROM f
+    UNION ALL SELECT capture_id, 'fragile', NULL, capture_id % 10 <> 7 AND correlation > 0, CASE WHEN capture_id % 10 = 7 THEN 0 ELSE least(1, greatest(0, correlation)) END, CASE WHEN capture_id % 10 = 7 THEN 'x' END FROM f),
+    best_of AS (SELECT *, row_number() OVER (PARTITION BY capture_id, signature_id ORDER BY NOT matched, -confidence, coalesce(mode, '')) AS k, count(*) OVER (PARTITION BY capture_id, signature_id) AS modes FROM modes_of)"""
+
+
+@query(f"WITH {ANALYZED} SELECT capture_id, signature_id, mode, matched, round(confidence, 6) AS confidence, error IS NOT NULL AS failed, modes FROM best_of WHERE k = 1")
+def q108_own_analyzers(spark, sf_dir):
+    """Registered analyzers with modes and failures: each capture's best mode of each signature."""
+    found = analyzers.analyze(pair_features(views.vectors(spark, sf_dir)), own_signatures())
+    return analyzers.best_modes(found).select("capture_id", "signature_id", "mode", "matched", "confidence", F.col("error").isNotNull().alias("failed"), "modes")
+
+
+@query(f"""WITH {ANALYZED}, top_of AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY NOT matched, -confidence, signature_id) AS i FROM best_of WHERE k = 1)
+    SELECT capture_id, max(CASE WHEN i = 1 AND matched THEN signature_id END) AS winner, CASE WHEN bool_or(i = 1 AND matched) THEN 'matched' ELSE 'no_match' END AS decision, max(CASE WHEN i = 1 THEN signature_id END) AS top_signature, round(max(CASE WHEN i = 1 THEN confidence END), 6) AS top_confidence, count(*) AS signatures, count(error) AS errors FROM top_of GROUP BY 1""")
+def q109_own_decisions(spark, sf_dir):
+    return analyzers.decide(analyzers.best_modes(analyzers.analyze(pair_features(views.vectors(spark, sf_dir)), own_signatures())))
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT *, CASE WHEN v >= 80 THEN 1 WHEN v <= 30 THEN 0 WHEN n = 0 THEN CASE WHEN v >= 55 THEN 1 ELSE 0 END END AS mark FROM samples), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY capture_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS state FROM m),
+    e AS (SELECT *, lag(state) OVER (PARTITION BY capture_id ORDER BY n) AS was FROM s), p AS (SELECT *, sum(CASE WHEN state = 1 AND was = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS pulse FROM e)
+    SELECT capture_id, pulse::BIGINT AS pulse, {r('min(t) AS start_s', 'min(CASE WHEN state = 0 AND was = 1 THEN t END) AS end_s', 'max(CASE WHEN state = 1 THEN v END) AS peak')} FROM p WHERE pulse > 0 GROUP BY capture_id, pulse HAVING count(*) FILTER (state = 0 AND was = 1) > 0""")
+def q110_pulse_table(spark, sf_dir):
+    """Pulses by a table function over partitions."""
+    analyzers.register_pulse_table(spark, "wavelens_pulses", 30.0, 80.0)
+    return spark.sql("SELECT * FROM wavelens_pulses(TABLE({samples}) PARTITION BY capture_id ORDER BY n)", samples=views.samples(spark, sf_dir).select("capture_id", "n", "t", "v"))

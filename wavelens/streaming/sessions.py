@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed_stats(samples: DataFrame, width: str, late: str) -> DataFrame:
-    """Count, mean and RMS by capture and tumbling window; rows later than late go."""
-    w = samples.withWatermark("ts", late).groupBy("capture_id", F.window("ts", width).alias("w"))
+def windowed_stats(samples: DataFrame, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """Count, mean and RMS by capture and tumbling window, or sliding by slide (a row is in width / slide windows); rows later
+    than late go."""
+    w = samples.withWatermark("ts", late).groupBy("capture_id", F.window("ts", width, slide).alias("w"))
     return w.agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms")).select("capture_id", F.col("w.start").alias("start"), "count", "mean", "rms")
 
 
