@@ -13,17 +13,17 @@ EVENT = "capture_id bigint, event bigint, start_n bigint, end_n bigint, start_ts
 
 class _Detector(StatefulProcessor):
     """Rows are held until the watermark has passed them, then taken in order of time; a timer stands at the earliest held
-    row, another at the end of silence. The machine is a row of counters, kept for ttl_ms after its last change."""
+    row, another at the end of silence, after which the state goes. The machine is a row of counters."""
 
-    def __init__(self, enter: float, leave: float, enter_n: int, leave_n: int, least: int, silence_ms: int, ttl_ms: int):
+    def __init__(self, enter: float, leave: float, enter_n: int, leave_n: int, least: int, silence_ms: int):
         self.enter, self.leave, self.enter_n, self.leave_n, self.least = enter, leave, enter_n, leave_n, least
-        self.silence_ms, self.ttl_ms = silence_ms, ttl_ms
+        self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "ts_us bigint, v double")
         # n samples taken; events so far; whether on; where the run that may turn it began (-1: none); where it turned on.
-        self.machine = handle.getValueState("machine", "n bigint, events bigint, active boolean, run_n bigint, run_us bigint, start_n bigint, start_us bigint, last_us bigint", self.ttl_ms)
+        self.machine = handle.getValueState("machine", "n bigint, events bigint, active boolean, run_n bigint, run_us bigint, start_n bigint, start_us bigint, last_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
@@ -84,16 +84,15 @@ class _Detector(StatefulProcessor):
         pass
 
 
-def hysteresis_events(samples: DataFrame, enter: float, leave: float, enter_n: int = 1, leave_n: int = 1, least: int = 0, late: str = "10 seconds", silence_ms: int = 60_000, ttl_ms: int = 86_400_000) -> DataFrame:
+def hysteresis_events(samples: DataFrame, enter: float, leave: float, enter_n: int = 1, leave_n: int = 1, least: int = 0, late: str = "10 seconds", silence_ms: int = 60_000) -> DataFrame:
     """Events of a stream of samples(capture_id, ts, v), as operators.events.hysteresis finds them in a table (leave < enter).
 
     The detector turns on after enter_n samples at enter or above, off after leave_n at leave or below (or null or NaN);
     events go out when they end, those of under least samples not at all. Rows up to `late` behind the newest are put
     in order first; later ones are left out, as everywhere behind a watermark. A capture that is silent for silence_ms of
-    event time ends: an event still on is given as open, and its state goes. State that nothing touches for ttl_ms of
-    processing time goes as well. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
+    event time ends: an event still on is given as open, and its state goes. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
     if leave >= enter:
         raise ValueError("leave must lie below enter")
-    machine = _Detector(float(enter), float(leave), enter_n, leave_n, least, silence_ms, ttl_ms)
+    machine = _Detector(float(enter), float(leave), enter_n, leave_n, least, silence_ms)
     rows = samples.select("capture_id", "ts", "v").withWatermark("ts", late)
     return rows.groupBy("capture_id").transformWithStateInPandas(machine, EVENT, "Append", "EventTime")
