@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, row_key
 from .pairing import Union, block_pairs, sides
 
-SHARD = 16_384
+SHARD = 65_536
 MAX_SHARDS = 1024
 SAMPLE = 20_000
 LEAF = 128
