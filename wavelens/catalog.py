@@ -458,4 +458,4 @@ def q47_chatter_windows(spark, sf_dir):
     return events.chatter(views.samples(spark, sf_dir), 86400.0, 3)
 
 
-from . import kernels, reports  # noqa: E402, F401 - they add their queries
+from . import kernels, reports, roundtrips  # noqa: E402, F401 - they add their queries
