@@ -136,16 +136,28 @@ def split_summary(manifest: DataFrame, cases: DataFrame, baseline: str, tuned: s
     return z.join(wide.withColumn("recommended_profile", better), "split")
 
 
+#: Metrics whose intervals are compared, in this order.
+WEAK = ["balanced_accuracy", "precision", "recall"]
+
+
 def overfit_diagnostics(cases: DataFrame, baseline: str, tuned: str) -> DataFrame:
     """(diagnostic, baseline, tuned, delta) of the checks that fire, of case rows by profile and split; one row
-    no_material_overfit_signals if none does. All checks are filters over counts by split, tier and top groups."""
+    no_material_overfit_signals if none does. All checks are filters over counts by split, tier and top groups; the last
+    compares bootstrapped intervals of the locked split."""
     m = outcome_rates(cases, "profile", "split").where("split IN ('dev', 'test')")
     of = lambda p, s, c: F.max(F.when((F.col("profile") == p) & (F.col("split") == s), F.col(c)))
     one = m.agg(*(of(p, s, c).alias(f"{n}_{s}_{c}") for n, p in (("b", baseline), ("t", tuned)) for s in ("dev", "test") for c in ("balanced_accuracy", "recall", "precision", "fp", "fn")))
     wrong = cases.where((F.col("profile") == tuned) & (F.col("split") == "test"))
     share = lambda rows, key, name: rows.groupBy(key).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias(name))
     tiers = outcome_rates(cases.where(F.col("profile") == tuned), "noise_tier").agg(F.max(F.when(F.col("noise_tier") == "normal", F.col("balanced_accuracy"))).alias("normal"), F.max(F.when(F.col("noise_tier") == "high", F.col("balanced_accuracy"))).alias("high"))
-    parts = [one, share(wrong.where("is_false_positive"), "predicted_primary", "fp_share"), share(wrong.where("is_false_negative"), "test_id", "fn_share"), tiers]
+    # Intervals of the locked split: they overlap and hardly differ, so what was gained may be chance.
+    tested = cases.where("split = 'test'").select("profile", F.col("expected_fault_present").alias("positive"), (F.col("expected_fault_present") == F.col("is_correct")).alias("predicted"), F.lit(False).alias("conflict"))
+    ci = bootstrap(tested, "profile").where(F.col("metric").isin(WEAK))
+    side = lambda p, n: ci.where(F.col("profile") == p).select("metric", *(F.col(c).alias(f"{n}_{c}") for c in ("estimate", "ci_low", "ci_high")))
+    order = F.array_position(F.array(*map(F.lit, WEAK)), F.col("metric"))
+    over = side(baseline, "b").join(side(tuned, "t"), "metric").where("least(b_ci_high, t_ci_high) > greatest(b_ci_low, t_ci_low) AND abs(t_estimate - b_estimate) < 0.02")
+    weak = over.agg(F.min(F.struct(order.alias("o"), F.col("b_estimate").alias("b"), F.col("t_estimate").alias("t"))).alias("weak"))
+    parts = [one, share(wrong.where("is_false_positive"), "predicted_primary", "fp_share"), share(wrong.where("is_false_negative"), "test_id", "fn_share"), tiers, weak]
     row = parts[0].withColumn("one", F.lit(1))
     for p in parts[1:]:
         row = row.join(p.withColumn("one", F.lit(1)), "one")  # single rows
@@ -153,7 +165,7 @@ def overfit_diagnostics(cases: DataFrame, baseline: str, tuned: str) -> DataFram
         ("dev_improvement_not_transferred", "t_dev_balanced_accuracy > b_dev_balanced_accuracy AND t_test_balanced_accuracy < b_test_balanced_accuracy", "b_test_balanced_accuracy", "t_test_balanced_accuracy"),
         ("recall_gain_with_precision_collapse", "t_test_recall >= b_test_recall AND t_test_precision + 0.03 < b_test_precision", "b_test_precision", "t_test_precision"),
         ("single_analyzer_dominates_false_positives", "fp_share >= 0.30", "b_test_fp", "t_test_fp"), ("single_test_dominates_false_negatives", "fn_share >= 0.20", "b_test_fn", "t_test_fn"),
-        ("high_noise_underperforms_normal_noise", "normal - high >= 0.05", "normal", "high"),
+        ("high_noise_underperforms_normal_noise", "normal - high >= 0.05", "normal", "high"), ("confidence_interval_overlap_weak_improvement", "weak IS NOT NULL", "weak.b", "weak.t"),
     ]
     rows = ", ".join(f"CASE WHEN {cond} THEN named_struct('diagnostic', '{name}', 'baseline', double({a}), 'tuned', double({b})) END" for name, cond, a, b in checks)
     fired = row.select(F.expr(f"filter(array({rows}), x -> x IS NOT NULL)").alias("f"))

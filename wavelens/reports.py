@@ -195,9 +195,11 @@ def q65_split_summary(spark, sf_dir):
 @query(f"""WITH {PAIR}, j AS (SELECT b.split, b.balanced_accuracy AS bb, t.balanced_accuracy AS tb, b.recall AS br, t.recall AS tr, b.precision AS bp, t.precision AS tp_, b.fp AS bfp, t.fp AS tfp, b.fn AS bfn, t.fn AS tfn FROM bases b JOIN tuneds t USING (split)), dev AS (SELECT * FROM j WHERE split = 'dev'), tst AS (SELECT * FROM j WHERE split = 'test'),
     f AS (SELECT prim AS k, count(*) AS n FROM tuned WHERE split = 'test' AND NOT expected_fault_present AND won GROUP BY 1), f1 AS (SELECT max(n) / sum(n) AS share FROM f), g AS (SELECT test_id AS k, count(*) AS n FROM tuned WHERE split = 'test' AND expected_fault_present AND NOT won GROUP BY 1), g1 AS (SELECT max(n) / sum(n) AS share FROM g),
     nt AS (SELECT noise_tier, (coalesce(count(*) FILTER (expected_fault_present AND won) / nullif(count(*) FILTER (expected_fault_present), 0), 0) + coalesce(count(*) FILTER (NOT expected_fault_present AND NOT won) / nullif(count(*) FILTER (NOT expected_fault_present), 0), 0)) / 2 AS ba FROM tuned GROUP BY 1), nz AS (SELECT max(ba) FILTER (noise_tier = 'normal') AS a, max(ba) FILTER (noise_tier = 'high') AS b FROM nt),
+    ic AS (SELECT 'b' AS side, * FROM bases WHERE split = 'test' UNION ALL SELECT 't', * FROM tuneds WHERE split = 'test'), im AS (SELECT side, unnest([struct_pack(o := 1, m := balanced_accuracy, s := sqrt(recall * (1 - recall) / (tp + fn) + specificity * (1 - specificity) / (tn + fp)) / 2), struct_pack(o := 2, m := precision, s := sqrt(precision * (1 - precision) / (tp + fp))), struct_pack(o := 3, m := recall, s := sqrt(recall * (1 - recall) / (tp + fn)))]) AS x FROM ic),
+    iv AS (SELECT b.x.m AS b, t.x.m AS t, row_number() OVER (ORDER BY b.x.o) AS k FROM im b JOIN im t ON b.x.o = t.x.o AND b.side = 'b' AND t.side = 't' WHERE abs(b.x.m - t.x.m) < 0.02 AND least(1, b.x.m + 1.96 * b.x.s, t.x.m + 1.96 * t.x.s) > greatest(0, b.x.m - 1.96 * b.x.s, t.x.m - 1.96 * t.x.s)),
     u AS (SELECT 'dev_improvement_not_transferred' AS diagnostic, tst.bb AS baseline, tst.tb AS tuned FROM dev, tst WHERE dev.tb > dev.bb AND tst.tb < tst.bb
         UNION ALL SELECT 'recall_gain_with_precision_collapse', bp, tp_ FROM tst WHERE tr >= br AND tp_ + 0.03 < bp UNION ALL SELECT 'single_analyzer_dominates_false_positives', bfp, tfp FROM tst, f1 WHERE share >= 0.30
-        UNION ALL SELECT 'single_test_dominates_false_negatives', bfn, tfn FROM tst, g1 WHERE share >= 0.20 UNION ALL SELECT 'high_noise_underperforms_normal_noise', a, b FROM nz WHERE a - b >= 0.05)
+        UNION ALL SELECT 'single_test_dominates_false_negatives', bfn, tfn FROM tst, g1 WHERE share >= 0.20 UNION ALL SELECT 'high_noise_underperforms_normal_noise', a, b FROM nz WHERE a - b >= 0.05 UNION ALL SELECT 'confidence_interval_overlap_weak_improvement', b, t FROM iv WHERE k = 1)
     SELECT diagnostic, {r('baseline', 'tuned', 'tuned - baseline AS delta')} FROM (SELECT * FROM u UNION ALL SELECT 'no_material_overfit_signals', 0, 0 WHERE NOT EXISTS (SELECT 1 FROM u))""")
 def q66_overfit(spark, sf_dir):
     return tuning.overfit_diagnostics(profile_cases(spark, sf_dir), "baseline", "tuned")
