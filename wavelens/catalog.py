@@ -158,12 +158,12 @@ SWEEP = f"""c AS (SELECT signature_id, threshold, {COUNTS} FROM (SELECT signatur
 RATES = r("threshold", "tpr", "fpr", "precision", "accuracy", "f1", "youden_j")
 
 
-@query(f"WITH {SCORES}, {SWEEP} SELECT signature_id, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, {RATES}, deployable FROM sweep")
+@query(f"WITH {SCORES}, {SWEEP} SELECT signature_id, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, (tp + fp + tn + fn)::BIGINT AS total_cases, (tp + fn)::BIGINT AS truth_cases, {RATES}, deployable FROM sweep")
 def q14_threshold_sweep(spark, sf_dir):
     return metrics.threshold_sweep(views.scores(spark, sf_dir), CUTS, 0.3, 0.6)
 
 
-@query(f"WITH {SCORES}, {SWEEP} SELECT signature_id, tp, fp, tn, fn, {RATES}, deployable FROM (SELECT *, row_number() OVER (PARTITION BY signature_id ORDER BY threshold DESC) AS k FROM sweep WHERE deployable) WHERE k = 1")
+@query(f"WITH {SCORES}, {SWEEP} SELECT signature_id, tp, fp, tn, fn, tp + fp + tn + fn AS total_cases, tp + fn AS truth_cases, {RATES}, deployable FROM (SELECT *, row_number() OVER (PARTITION BY signature_id ORDER BY threshold DESC) AS k FROM sweep WHERE deployable) WHERE k = 1")
 def q15_deployable(spark, sf_dir):
     return metrics.deployable_thresholds(metrics.threshold_sweep(views.scores(spark, sf_dir), CUTS, 0.3, 0.6))
 

@@ -39,6 +39,23 @@ def signature_summary(scores: DataFrame) -> DataFrame:
     return out.select("signature_id", "total_cases", "matched_count", "mean_confidence", *names, "tp", "fp", "tn", "fn", *rates)
 
 
+def signature_report(per_case: DataFrame, with_truth: bool = True) -> DataFrame:
+    """Signatures over per-case rows (cases.per_case): cases, matches, wins, confidence statistics, mean rank and errors (column
+    error_count; absent: 0); with truth the counts and rates of one against the rest (over nothing: null), without it the
+    shares of matches and wins."""
+    c, errors = F.col("confidence"), F.sum("error_count") if "error_count" in per_case.columns else F.lit(0).cast("bigint")
+    won = F.coalesce(F.col("winner") == F.col("signature_id"), F.lit(False))
+    out = per_case.groupBy("signature_id").agg(F.count("*").alias("total_cases"), _count(F.col("matched")).alias("matched_count"), _count(won).alias("top1_count"), F.avg(c).alias("mean_confidence"), F.avg("rank").alias("mean_rank"), errors.alias("error_count"), *(_count(F.col(f"is_{x}")).alias(n) for x, n in (("true_positive", "tp"), ("false_positive", "fp"), ("true_negative", "tn"), ("false_negative", "fn"))))
+    names = ("median_confidence", "p05_confidence", "p95_confidence")
+    spread = quantiles(per_case, ["signature_id"], "confidence", [0.5, 0.05, 0.95]).select(F.col("signature_id").alias("__s"), *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
+    out = out.join(spread, F.col("signature_id").eqNullSafe(F.col("__s")), "left")
+    base = ["signature_id", "total_cases", "matched_count", "top1_count", "mean_confidence", *names, "mean_rank", "error_count"]
+    if not with_truth:
+        return out.select(*base, ratio_or_zero(F.col("matched_count"), F.col("total_cases")).alias("match_rate"), ratio_or_zero(F.col("top1_count"), F.col("total_cases")).alias("top1_rate"))
+    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    return out.select(*base, (tp + fn).alias("truth_cases"), "tp", "fp", "tn", "fn", ratio(tp, tp + fn).alias("recall"), ratio(tp, tp + fp).alias("precision"), ratio(fp, fp + tn).alias("false_positive_rate"), ratio(tn, tn + fp).alias("specificity"), ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"))
+
+
 def confusion_matrix(decisions: DataFrame) -> DataFrame:
     """Counts of (truth, predicted); a null winner is predicted none."""
     return decisions.where("truth IS NOT NULL").groupBy("truth", F.coalesce("winner", F.lit("none")).alias("predicted")).agg(F.count("*").alias("n"))
@@ -89,7 +106,7 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float], min_tpr: float =
     add = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     out = grid.groupBy("signature_id", "threshold").agg(add(F.col("is") & F.col("hit")).alias("tp"), add(~F.col("is") & F.col("hit")).alias("fp"), add(~F.col("is") & ~F.col("hit")).alias("tn"), add(F.col("is") & ~F.col("hit")).alias("fn"))
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    out = out.select("*", ratio(tp, tp + fn).alias("tpr"), ratio(fp, fp + tn).alias("fpr"), ratio(tp, tp + fp).alias("precision"), ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"))
+    out = out.select("*", (tp + fp + tn + fn).alias("total_cases"), (tp + fn).alias("truth_cases"), ratio(tp, tp + fn).alias("tpr"), ratio(fp, fp + tn).alias("fpr"), ratio(tp, tp + fp).alias("precision"), ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"))
     f1 = F.try_divide(2 * F.col("precision") * F.col("tpr"), F.col("precision") + F.col("tpr"))
     return out.select("*", f1.alias("f1"), (F.col("tpr") - F.col("fpr")).alias("youden_j"), F.coalesce((F.col("tpr") >= min_tpr) & (F.col("fpr") <= max_fpr), F.lit(False)).alias("deployable"))
 

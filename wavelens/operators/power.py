@@ -57,10 +57,10 @@ def success_distribution(cases: DataFrame) -> DataFrame:
         "states": count(~F.col("conflict_state").isin("negative_avoided_primary", "negative_no_match")), "stolen": count("primary_stolen"), "conflicts": count(is_conflict()), "conflict_wins": count(is_conflict() & right),
         "high_n": count(F.col("noise_tier") == "high"), "high_wins": count((F.col("noise_tier") == "high") & right), "normal_n": count(F.col("noise_tier") == "normal"), "normal_wins": count((F.col("noise_tier") == "normal") & right), "fps": count("is_false_positive"),
     }
-    # By all fine keys first: few rows go on, whatever the number of cases.
-    rows = fine.select("analyzer_id", F.inline(types), *fine.columns[fine.columns.index("expected_fault_present") :])
-    small = rows.groupBy(*keys, "worst_key", "fp_key").agg(*(v.alias(k) for k, v in parts.items()))
+    # By all bucket columns at once first: what is multiplied by the bucket types are counts, whatever the number of cases.
     total = lambda names: [F.sum(k).alias(k) for k in names]
+    counts = fine.groupBy("analyzer_id", *BUCKETS, "worst_key", "fp_key").agg(*(v.alias(k) for k, v in parts.items()))
+    small = counts.select("analyzer_id", F.inline(types), "worst_key", "fp_key", *parts).groupBy(*keys, "worst_key", "fp_key").agg(*total(parts))
     by_worst = small.groupBy(*keys, "worst_key").agg(*total(parts))
     worst = by_worst.groupBy(*keys).agg(*total(parts), F.min(F.col("successes") / F.col("n_cases")).alias("worst_bucket_success"))
     top = small.groupBy(*keys, "fp_key").agg(F.sum("fps").alias("k")).groupBy(*keys).agg(F.max("k").alias("top_fp"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import BASELINE, BOTH, TUNED, query, r
+from .catalog import BASELINE, BOTH, ORACLE_SQL, TUNED, query, r
 from .functions.features import pair_features
-from .operators import cases, events, evidence, joins, power, timing, tuning
+from .operators import cases, events, evidence, joins, metrics, power, timing, tuning
 from .plans import rules, views
 from .plans.views import MANIFEST, REFERENCES, SAMPLES
 
@@ -483,3 +483,18 @@ def q97_support_ladder(spark, sf_dir):
 def q98_bootstrap_support(spark, sf_dir):
     """Spread of resampled medians of each event type's values (tested against a loop)."""
     return evidence.bootstrap_support(views.table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+REPORT = "count(*) AS total_cases, count(*) FILTER (matched) AS matched_count, count(*) FILTER (winner = signature_id) AS top1_count, round(avg(confidence), 6) AS mean_confidence, round(median(confidence), 6) AS median_confidence, round(quantile_cont(confidence, 0.05), 6) AS p05_confidence, round(quantile_cont(confidence, 0.95), 6) AS p95_confidence, round(avg(rank), 6) AS mean_rank, 0::BIGINT AS error_count"
+
+
+@query(f"""WITH s AS (SELECT signature_id, {REPORT}, count(*) FILTER (is_true_positive) AS tp, count(*) FILTER (is_false_positive) AS fp, count(*) FILTER (is_true_negative) AS tn, count(*) FILTER (is_false_negative) AS fn FROM ({ORACLE_SQL['q50_per_case']}) GROUP BY 1)
+    SELECT *, tp + fn AS truth_cases, {r('tp / nullif(tp + fn, 0) AS recall', 'tp / nullif(tp + fp, 0) AS precision', 'fp / nullif(fp + tn, 0) AS false_positive_rate', 'tn / nullif(tn + fp, 0) AS specificity', '(tp + tn) / nullif(tp + fp + tn + fn, 0) AS accuracy')} FROM s""")
+def q126_signature_report(spark, sf_dir):
+    """Signatures over per-case rows, with truth."""
+    return metrics.signature_report(q50_per_case(spark, sf_dir))
+
+
+@query(f"WITH s AS (SELECT signature_id, {REPORT} FROM ({ORACLE_SQL['q50_per_case']}) GROUP BY 1) SELECT *, round(matched_count / total_cases, 6) AS match_rate, round(top1_count / total_cases, 6) AS top1_rate FROM s")
+def q127_signature_report_without_truth(spark, sf_dir):
+    return metrics.signature_report(q50_per_case(spark, sf_dir), with_truth=False)
