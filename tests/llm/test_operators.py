@@ -61,16 +61,16 @@ def test_top_k(spark, shard_rows):
     v = [list(map(float, x)) for x in rng.normal(0, 0.3, (400, 8))]
     for i in range(50, 90):
         v[i] = v[0]
-    rows = [(i, x, 0) for i, x in enumerate(v)] + [(5, v[5], 0), (1000, None, 0), (1050, [1.0, None] * 4, 0), (1100, [float("nan")] * 8, 0), (None, v[1], 0)]
+    rows = [(i, x, 0) for i, x in enumerate(v)] + [(5, v[5], 0), (9, v[70], 0), (1000, None, 0), (1050, [1.0, None] * 4, 0), (1100, [float("nan")] * 8, 0), (None, v[1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = defaultdict(list)
     for r in kd_search.top_k(df, shard_rows=shard_rows, block_queries=5).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    q = np.floor(256 * np.array(v)).astype(int)
+    ids, q = [*range(400), 5, 9], np.floor(256 * np.array([*v, v[5], v[70]])).astype(int)
     want = {}
     for i in range(0, 400, 50):
         s = q @ q[i]
-        want[i] = [(j, int(s[j])) for j in sorted(range(400), key=lambda j: (-s[j], j)) if j != i][:5]
+        want[i] = [(ids[j], int(s[j])) for j in sorted(range(402), key=lambda j: (-s[j], ids[j])) if ids[j] != i][:5]
     assert got == want
     assert kd_search.top_k(empty(df)).count() == 0
 

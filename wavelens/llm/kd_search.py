@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF = 64
@@ -92,7 +94,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     """For each row whose id is divisible by every, the k other rows of highest integer inner product.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Vectors that are null or empty, hold
-    null or non-finite components, or have a null id take no part. Rows that repeat an id count once (the least vector).
+    null or non-finite components, or have a null id take no part. Rows that repeat an id are candidates each, but not of
+    their own id; of query rows that repeat one the least vector asks. Extra columns are ignored.
     Vectors are compared only with those of their own length. Products are exact while components stay under 2**23 in
     magnitude. An empty table gives no rows. Rows cross the network once for each block of queries, queries once for
     each shard; the largest group is a shard and a block.
@@ -109,8 +112,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
             data, ask = group[~group.asks], group[group.asks]
             if not len(data) or not len(ask):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            if data.vec_id.duplicated().any():
-                data = data.assign(t=data.q.map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
             if ask.vec_id.duplicated().any():
                 ask = ask.assign(t=ask.q.map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
             tree = Tree(data.vec_id.to_numpy(), np.array(data.q.tolist()))
@@ -131,7 +132,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     if shards == 1:
         found = first
     else:
-        first = first.persist()  # k rows for each query; a lost part is searched again
+        first = materialise(first)  # k rows for each query
         reached = first.groupBy("query_id").agg(F.min("score").cast("double").alias("s"), F.count("*").alias("n"))
         floors = reached.select("query_id", F.expr(f"if(n >= {k}, s, double('-infinity'))").alias("floor"))
         away = asked.join(floors, asked.vec_id == floors.query_id, "left").withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)"))).where("shard <> home")
