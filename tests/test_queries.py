@@ -1,6 +1,7 @@
 """Every query that has SQL gives the rows that DuckDB gives."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -19,6 +20,16 @@ def duck():
     return c
 
 
+#: Queries beyond SQL, and the tests that hold what they call against plain versions.
+TESTED = {"q45_bootstrap": "test_bootstrap", "q62_power_bootstrap": "test_power_bootstrap", "q67_coordinate_descent": "test_coordinate_descent", "q98_bootstrap_support": "test_bootstrap_support"}
+
+
+def test_every_query_has_sql_or_a_test():
+    named = "".join(p.read_text() for p in Path(__file__).parent.glob("test_*.py"))
+    assert {q for q in QUERIES if q not in ORACLE_SQL} == set(TESTED) and set(ORACLE_SQL) <= set(QUERIES)
+    assert all(f"def {t}(" in named for t in TESTED.values())
+
+
 def plain(v):
     return round(float(v), 5) + 0.0 if isinstance(v, float) and not math.isnan(v) else v
 
