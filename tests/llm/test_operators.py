@@ -555,7 +555,7 @@ def test_line_recall(spark, opening):
 
 
 def test_line_fingerprints(spark):
-    lines = ["a b c d e f g h", "h g f e d c b a", "one", "w " * 70_000, *(f"{i} plus some other words {i * i}" for i in range(40))]
+    lines = ["a b c d e f g h", "h g f e d c b a", "one", "w " * 70_000, *(f"{c} " * 32_000 for c in "pqrstuv"), *(f"{i} plus some other words {i * i}" for i in range(40))]
     df = spark.createDataFrame([(i, len(x), x.strip()) for i, x in enumerate(lines)], "id long, len int, norm string")
     got = {r.id: r.at % (1 << 64) for r in line_dedup.fingerprinted(df, 0.5).select("id", "at").distinct().collect()}
     for i, x in enumerate(lines):
