@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pairs that are listed at a time: so many by point, or in all.
-LISTED, LEAST = 8, 1000
+LISTED, LEAST = 8, 100_000
 
 
 def _merged(order: np.ndarray, pairs: bool):
