@@ -70,3 +70,16 @@ def test_bandwidth_and_ring(spark):
     signal = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(t, ring, strict=True)], "capture_id long, t double, v double")
     starts = spark.createDataFrame([(1, 5, 0.0, 0.0)], "capture_id long, id long, start_s double, base double")
     assert propagation.ring_q(starts, signal, 0.04).first().q == pytest.approx(math.pi / (60 / 200), rel=0.05)
+
+
+def test_pulse_without_width(spark):
+    """Its time constant is 0 and its cutoff infinite, as the SQL has them; so are quotients by zero in general."""
+    sources = spark.createDataFrame([(1, 0, 0.2, 0.2), (1, 1, 0.3, 0.301)], "capture_id long, id long, rise_s double, fall_s double")
+    signal = spark.createDataFrame([(1, k / 1000, 0.3 if k in (200, 300) else 0.0) for k in range(400)], "capture_id long, t double, v double")
+    scales = spark.createDataFrame([(1, 1.0, 0.0)], "capture_id long, amplitude double, base double")
+    thin = propagation.outcomes(sources, sources.where("false"), signal, scales, WAY).orderBy("id").collect()
+    assert (thin[0].tau_s, thin[0].cutoff_hz) == (0.0, math.inf)
+    assert thin[1].tau_s == pytest.approx(-0.001 / math.log(0.7)) and thin[1].cutoff_hz == pytest.approx(1 / (2 * math.pi * thin[1].tau_s))
+    pairs = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None)], "a double, b double")
+    got = [r[0] for r in pairs.selectExpr(propagation.quotient("a", "b")).collect()]
+    assert got[:3] == [0.5, math.inf, -math.inf] and math.isnan(got[3]) and got[4:] == [None, None]

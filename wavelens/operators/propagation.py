@@ -38,6 +38,11 @@ class Path:
     least_width_s: float | None = None
 
 
+def quotient(a: str, b: str) -> str:
+    """SQL: a / b of doubles that may be zero, as floating point has it: infinite, or NaN of 0 / 0."""
+    return f"CASE WHEN {b} <> 0 THEN {a} / {b} WHEN {b} = 0 AND {a} > 0 THEN double('infinity') WHEN {b} = 0 AND {a} < 0 THEN double('-infinity') WHEN {b} = 0 AND {a} = 0 THEN double('NaN') END"
+
+
 def acquisition(width: str, path: Path) -> str:
     """SQL: how well a pulse of this width is sampled."""
     grade = "CASE " + " ".join(f"WHEN {width} * {path.rate!r}D < {n} THEN '{g}'" for n, g in GRADES) + " ELSE 'strong' END"
@@ -112,7 +117,7 @@ def outcomes(sources: DataFrame, outputs: DataFrame, signal: DataFrame, scales:
         WHEN n = 0 THEN 'late pulse propagation' WHEN o.o_width < limit OR width_ratio < {COLLAPSED} THEN 'pulse-width collapse' WHEN width_ratio > {STRETCHED} THEN 'pulse stretching' ELSE 'valid pulse propagation' END"""))
     # A first-order path that rose to peak within the pulse.
     rows = rows.withColumn("rise", F.expr("if(amplitude - base > 0 AND peak - base > 0, (peak - base) / (amplitude - base), NULL)")).withColumn("missed", F.col("outcome").isin(MISSED))
-    rows = rows.withColumn("tau_s", F.expr(f"if(missed AND rise > 0 AND rise < {NEAR_FULL}, -width / ln(greatest(1e-12, 1 - rise)), NULL)"))
+    rows = rows.withColumn("decay", F.expr(f"if(missed AND rise > 0 AND rise < {NEAR_FULL}, ln(greatest(1e-12, 1 - rise)), NULL)")).withColumn("tau_s", F.expr(quotient("-width", "decay")))  # a pulse without width has tau 0
     split = rows.where("outcome = 'pulse splitting'").select("capture_id", "id", F.col("o.o_rise").alias("start_s"), "base")
     rows = rows.join(ring_q(split, signal, path.late_s / 2, max(1, round(3e-6 * path.rate))), ["capture_id", "id"], "left")
     confidence = """CASE WHEN outcome IN ('pulse merging', 'pulse splitting') THEN if(acquisition IN ('strong', 'usable'), 'high', 'limited') WHEN outcome = 'possible acquisition miss' THEN 'unresolved'
@@ -122,7 +127,7 @@ def outcomes(sources: DataFrame, outputs: DataFrame, signal: DataFrame, scales:
         WHEN 'complete pulse non-propagation' THEN 'open or gated path' WHEN 'subthreshold pulse suppression' THEN if(tau_s IS NOT NULL, 'low-pass attenuation', 'attenuation or weak drive') WHEN 'unresolved pulse miss' THEN 'gating or unmatched timing'
         WHEN 'late pulse propagation' THEN 'delay on the path' WHEN 'pulse-width collapse' THEN 'clipping or filtering' WHEN 'pulse stretching' THEN 'slow discharge or hold' ELSE 'none' END"""
     matched = "CASE WHEN merger IS NOT NULL THEN array(merger.output) WHEN n > 1 THEN transform(due, x -> x.output) WHEN o IS NULL THEN array() ELSE array(o.output) END"
-    return rows.select("capture_id", "id", "outcome", F.expr(mechanism).alias("mechanism"), F.expr(confidence).alias("confidence"), "acquisition", F.expr(f"array_join({matched}, ',')").alias("matched"), "latency_s", "width_ratio", "peak", "tau_s", F.expr("1 / (2 * pi() * tau_s)").alias("cutoff_hz"), "q")
+    return rows.select("capture_id", "id", "outcome", F.expr(mechanism).alias("mechanism"), F.expr(confidence).alias("confidence"), "acquisition", F.expr(f"array_join({matched}, ',')").alias("matched"), "latency_s", "width_ratio", "peak", "tau_s", F.expr(quotient("1", "(2 * pi() * tau_s)")).alias("cutoff_hz"), "q")
 
 
 def summary(found: DataFrame, outputs: DataFrame) -> DataFrame:
