@@ -83,3 +83,26 @@ def test_pulse_without_width(spark):
     pairs = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None)], "a double, b double")
     got = [r[0] for r in pairs.selectExpr(propagation.quotient("a", "b")).collect()]
     assert got[:3] == [0.5, math.inf, -math.inf] and math.isnan(got[3]) and got[4:] == [None, None]
+
+
+def test_widths_at_a_limit(spark):
+    """A pulse of exactly two samples is not one of fewer, wherever it lies: fall_s - rise_s would round it below."""
+    sources = spark.createDataFrame([(1, 0, 1.1, 1.1002, 0.0002)], "capture_id long, id long, rise_s double, fall_s double, width_s double")
+    empty = [spark.createDataFrame([], k) for k in ("capture_id long, id long, rise_s double, fall_s double", "capture_id long, t double, v double", "capture_id long, amplitude double, base double")]
+    assert 1.1002 - 1.1 < 0.0002 and propagation.outcomes(sources, *empty, WAY).first().acquisition == "limited"
+
+
+def test_queries_at_limits(spark, tmp_path):
+    """Purchases and clicks of values 0, 5, 10 and 20, some across powers of two of seconds, so widths are zero or meet limits: rows as DuckDB's."""
+    import duckdb
+
+    from wavelens.catalog import ORACLE_SQL, QUERIES
+
+    duckdb.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i // 7 * 12_000_000_000 + i * i * 12_347 % 999_983) AS ts, i % 7 AS user_id, ['purchase', 'view', 'click', 'purchase'][1 + i * 3 // 7 % 4] AS event_type, [10.0, 0.0, 20.0, 5.0, 10.0][1 + i % 5]::DOUBLE AS value, '' AS props FROM (SELECT unnest(range(240)) AS i)) TO '{tmp_path}/events.parquet'""")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("q106_pulse_outcomes", "q107_propagation_summary"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = c.sql(ORACLE_SQL[name])
+        rows = lambda df: sorted(map(repr, df))
+        assert rows(tuple(r[k] for k in want.columns) for r in got.collect()) == rows(want.fetchall())

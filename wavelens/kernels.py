@@ -130,7 +130,7 @@ WAY = propagation.Path(threshold=100.0, rate=1 / 18_000, latency_max_s=21_600.0,
 
 def sent(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s = views.samples(spark, sf_dir)
-    side = lambda kind: s.where(f"event_type = '{kind}'").selectExpr("capture_id", "event_id AS id", "t AS rise_s", "t + abs(v) * 3600 AS fall_s")
+    side = lambda kind: s.where(f"event_type = '{kind}'").selectExpr("capture_id", "event_id AS id", "t AS rise_s", "t + abs(v) * 3600 AS fall_s", "abs(v) * 3600 AS width_s")
     amplitude = quantiles(s.where("event_type = 'purchase'"), ["capture_id"], "v", [0.01, 0.99]).select("capture_id", (F.col("q")[1] - F.col("q")[0]).alias("amplitude"))
     base = quantiles(s, ["capture_id"], "v", [0.05]).select("capture_id", F.col("q")[0].alias("base"))
     return side("purchase"), side("click"), s.select("capture_id", "t", "v"), base.join(amplitude, "capture_id", "left").select("capture_id", "amplitude", "base")

@@ -1,6 +1,7 @@
 """What becomes of short pulses on their way: sources are matched with outputs, and what is missing is told apart.
 
-sources and outputs are (capture_id, id, rise_s, fall_s), signal is the output's samples (capture_id, t, v). Joins are by
+sources and outputs are (capture_id, id, rise_s, fall_s and, where known, width_s, which fall_s - rise_s may round), signal is
+the output's samples (capture_id, t, v). Joins are by
 capture and time buckets, so a pulse meets only what lies within its window; groups are shapes of those matches.
 """
 
@@ -8,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import interval_join
@@ -43,6 +44,10 @@ def quotient(a: str, b: str) -> str:
     return f"CASE WHEN {b} <> 0 THEN {a} / {b} WHEN {b} = 0 AND {a} > 0 THEN double('infinity') WHEN {b} = 0 AND {a} < 0 THEN double('-infinity') WHEN {b} = 0 AND {a} = 0 THEN double('NaN') END"
 
 
+def width(pulses: DataFrame) -> Column:
+    return F.col("width_s") if "width_s" in pulses.columns else F.col("fall_s") - F.col("rise_s")
+
+
 def acquisition(width: str, path: Path) -> str:
     """SQL: how well a pulse of this width is sampled."""
     grade = "CASE " + " ".join(f"WHEN {width} * {path.rate!r}D < {n} THEN '{g}'" for n, g in GRADES) + " ELSE 'strong' END"
@@ -95,10 +100,9 @@ def outcomes(sources: DataFrame, outputs: DataFrame, signal: DataFrame, scales:
     late, collapsed, stretched or valid; without any, the acquisition may have missed it, nothing came through, it
     stayed under the threshold, or the miss is unresolved. Widths that collapse: under half the source's, or under half the
     median of the capture's sources (or least_width_s)."""
-    width = F.col("fall_s") - F.col("rise_s")
-    own = sources.select("capture_id", "id", "rise_s", width.alias("width"))
+    own = sources.select("capture_id", "id", "rise_s", width(sources).alias("width"))
     windows = own.select("capture_id", "id", "rise_s", "width", (F.col("rise_s") + path.latency_min_s).alias("__low"), (F.col("rise_s") + max(path.latency_max_s, path.late_s)).alias("__high"))
-    heard = outputs.select("capture_id", F.col("id").alias("output"), F.col("rise_s").alias("o_rise"), width.alias("o_width"))
+    heard = outputs.select("capture_id", F.col("id").alias("output"), F.col("rise_s").alias("o_rise"), width(outputs).alias("o_width"))
     pairs = interval_join(windows, heard, "capture_id", "__low", "__high", "o_rise", max(path.latency_max_s, path.late_s))
     due = F.col("o_rise") <= F.col("rise_s") + path.latency_max_s
     one = F.struct("o_rise", "output", "o_width")
