@@ -97,3 +97,16 @@ def test_theil_sen(spark):
     x, y = far.x.to_numpy(), far.y.to_numpy()
     below, upto = (slopes._merged(slopes._order(x, y, slope + d), False) for d in (-1e-12, 1e-12))
     assert below <= pairs // 2 <= upto + 1
+
+
+def test_median_slope_to_the_last_bit(monkeypatch):
+    """Slopes are of the points as given, not less an origin: a median at a rounding limit falls on the side that SQL has."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x, y = np.arange(64.0), rng.integers(1, 20_000, 64) / 100
+        i, j = np.triu_indices(64, 1)
+        assert slopes.median_slope(x, y)[0] == np.median((y[j] - y[i]) / (x[j] - x[i]))
+    monkeypatch.setattr(slopes, "LISTED", 0)
+    monkeypatch.setattr(slopes, "LEAST", 10)
+    y = np.arange(64.0) * 0.07 + 0.3  # more pairs of one slope than are listed: one of theirs
+    assert slopes.median_slope(x, y)[0] in (y[j] - y[i]) / (x[j] - x[i])

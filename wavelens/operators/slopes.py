@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 LISTED, LEAST = 8, 100_000
 
 
-def _merged(order: np.ndarray, pairs: bool):
-    """Inversions of a permutation by merging ever wider blocks: their number, or (places i < j with order[i] > order[j])."""
+def _merged(order: np.ndarray, pairs: bool, most: int | None = None):
+    """Inversions of a permutation by merging ever wider blocks: their number, or (places i < j with order[i] > order[j]), `most`
+    of them at least where there are more."""
     n, total, found = len(order), 0, []
     values, place, width = order.astype(np.int64), np.arange(n), 1
     while width < n:
@@ -29,8 +30,12 @@ def _merged(order: np.ndarray, pairs: bool):
         ends = np.searchsorted(a, (block[~left] + 1) * n)
         if pairs:
             more = ends - after
+            if most is not None:  # whole elements, up to the first that reaches it
+                more[np.cumsum(more) - more >= most] = 0
             at = np.repeat(after - np.concatenate([[0], np.cumsum(more)[:-1]]), more) + np.arange(more.sum())
             found.append((place[left][at], np.repeat(place[~left], more)))
+            if most is not None and (most := most - len(at)) <= 0:
+                break
         else:
             total += int((ends - after).sum())
         sort = np.argsort(key, kind="stable")
@@ -59,8 +64,8 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> tuple[float | None, int]:
     pairs = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
     if not pairs:
         return None, 0
-    origin, level = x[0], y[0]
-    x, y = x - origin, y - level
+    exact = x, y  # slopes returned are of the points as given; counts take them less an origin
+    x, y = x - x[0], y - y[0]
     wanted = sorted({(pairs - 1) // 2, pairs // 2})
     gaps = np.diff(x)
     steps = np.abs(np.diff(y)[gaps > 0] / gaps[gaps > 0])
@@ -69,27 +74,32 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> tuple[float | None, int]:
     near = lambda slope: max(abs(slope), top * 1e-3) * 1e-11  # noqa: E731 - beyond what rounding moves
     rng = np.random.default_rng(1)
 
-    def listed(low: float, high: float) -> np.ndarray:
-        """The slopes between low and high, in order."""
+    def listed(low: float, high: float, most: int | None = None) -> np.ndarray:
+        """The slopes between low and high, in order; `most` of them at least where there are more."""
         if (low, high) == (-top, top):
             i, j = np.triu_indices(n, 1)
         else:
             back = np.argsort(_order(x, y, low))
-            i, j = (back[k] for k in _merged(_order(x, y, high)[back], True))
+            i, j = (back[k] for k in _merged(_order(x, y, high)[back], True, most))
             i, j = np.minimum(i, j), np.maximum(i, j)
         keep = x[i] < x[j]
         i, j = i[keep], j[keep]
-        return np.sort((y[j] - y[i]) / (x[j] - x[i]))
+        return np.sort((exact[1][j] - exact[1][i]) / (exact[0][j] - exact[0][i]))
+
+    def one(middle: float) -> float:
+        """A slope that rounding can't tell from middle, of points; middle where none is found."""
+        slopes = listed(middle - near(middle), middle + near(middle), LEAST)
+        return float(slopes[len(slopes) // 2]) if len(slopes) else middle
 
     def search(low: float, high: float, below: int, upto: int, ranks: list[int]) -> list[float]:
         tries = 0
         while upto - below > max(LISTED * n, LEAST):
             middle = low + (high - low) * (0.5 if not tries else rng.uniform(0.3, 0.7))
             if high - low <= 4 * near(middle):
-                return [middle] * len(ranks)  # equal but for rounding
+                return [one(middle)] * len(ranks)  # equal but for rounding
             a, b = (_merged(_order(x, y, middle + d), False) for d in (-near(middle), near(middle)))
             if a <= ranks[0] and ranks[-1] < b:
-                return [middle] * len(ranks)
+                return [one(middle)] * len(ranks)
             if a != b and tries < 8:  # slopes lie where the count would be unsure: try beside them
                 tries += 1
                 continue
