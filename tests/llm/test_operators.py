@@ -438,6 +438,26 @@ def test_quality_plain(spark):
     assert quality.score_documents(docs, labels).count() == docs.count() and quality.score_documents(empty(docs), labels).count() == 0
 
 
+def test_pseudo_labels_shuffle_no_features(spark):
+    """Labelled ids are left out by a join of ids and scores: the same rows as without them in the pool, and no exchange of
+    features, which a table of documents would multiply by the rounds."""
+    rng = np.random.default_rng(4)
+    weights = [rng.normal(0, 1, quality.BUCKETS + 1).astype(np.float32), rng.normal(0, 1, quality.METADATA + 1).astype(np.float32)]
+    pool = quality.features(documents(spark)).where("doc_id IS NOT NULL")
+    known = pool.where("doc_id % 3 = 0").select(pool.doc_id.alias("id")).distinct()
+    left = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quality.candidates(pool, weights, [{4}, set()], 5, known)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got, want = quality.confident(pool, weights, [{4}, set()], 5, known), quality.confident(pool.where("doc_id % 3 <> 0"), weights, [{4}, set()], 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", left)
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part.strip())]
+    assert moved and not any("buckets" in part for part in moved)
+    rows = lambda found: sorted((r.view, r.side, r.doc_id, tuple(r.buckets)) for r in found)
+    assert rows(got) == rows(want) and got
+
+
 def test_stages_on_odd_and_empty_tables(spark):
     import corpus_pipeline
 

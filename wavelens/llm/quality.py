@@ -134,10 +134,11 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source").mapInArrow(run, kind)
 
 
-def confident(pool: DataFrame, weights: list[np.ndarray], taken: list[set[int]], most: int) -> list:
-    """Of all documents in pool, for each view and side the most confident ones (at most most each) that the other view
-    has not learnt from yet: rows (view, side, z, doc_id, buckets, shares, meta)."""
-    kind = "view int, side int, z double, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema)
+def surest(pool: DataFrame, weights: list[np.ndarray], taken: list[set[int]], whole: bool) -> DataFrame:
+    """(view, side, z, doc_id and, if whole, the features) of what each view of pool's rows says with log-odds over 1 and the
+    other view has not learnt from yet."""
+    held = pool.schema.fields if whole else pool.schema.fields[:1]
+    kind = "view int, side int, z double, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held)
 
     def run(batches):
         known = [np.array(sorted(t), np.int64) for t in taken]
@@ -148,13 +149,29 @@ def confident(pool: DataFrame, weights: list[np.ndarray], taken: list[set[int]],
                 new = ~np.isin(ids, known[1 - view])
                 for side, sure in ((0, -z[view]), (1, z[view])):
                     at = np.flatnonzero(new & (sure > 1))
-                    at = at[np.lexsort((ids[at], -sure[at]))[:most]]
                     if len(at):
-                        some = batch.take(pa.array(at))
+                        some = batch.select(range(len(held))).take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array(np.full(len(at), side, np.int32)), pa.array(sure[at].astype(float)), *some.columns], ["view", "side", "z", *some.schema.names])
 
-    sure = pool.mapInArrow(run, kind)  # a few rows of each batch
-    return sure.withColumn("r", F.expr("row_number() OVER (PARTITION BY view, side ORDER BY z DESC, doc_id)")).where(f"r <= {most}").drop("r").collect()
+    return pool.mapInArrow(run, kind)
+
+
+def first(sure: DataFrame, most: int) -> DataFrame:
+    """The most confident rows of each view and side."""
+    return sure.withColumn("r", F.expr("row_number() OVER (PARTITION BY view, side ORDER BY z DESC, doc_id)")).where(f"r <= {most}").drop("r")
+
+
+def candidates(pool: DataFrame, weights: list[np.ndarray], taken: list[set[int]], most: int, known: DataFrame | None = None) -> DataFrame:
+    """(view, side, z, doc_id) of the most confident rows of pool whose ids are not known(id): the join carries no features."""
+    sure = surest(pool, weights, taken, False)
+    return first(sure if known is None else sure.join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti"), most)
+
+
+def confident(pool: DataFrame, weights: list[np.ndarray], taken: list[set[int]], most: int, known: DataFrame | None = None) -> list:
+    """Of all documents in pool without a known label, for each view and side the most confident ones (at most most each) that
+    the other view has not learnt from yet: rows (view, side, z, doc_id, buckets, shares, meta)."""
+    ids = sorted({r.doc_id for r in candidates(pool, weights, taken, most, known).collect()})  # 4 * most at most
+    return first(surest(pool.where(F.col("doc_id").isin(ids)), weights, taken, True), most).collect() if ids else []
 
 
 def train(found: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS, taken: int = TAKEN) -> Model:
@@ -167,8 +184,8 @@ def train(found: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
     if not rows:
         return Model([(np.zeros(BUCKETS + 1, np.float32), 1.0, 0.0), (np.zeros(METADATA + 1, np.float32), 1.0, 0.0)])
     x, y = dense([r.x for r in rows]), np.array([r.q for r in rows], float)
-    pool = found.where("doc_id IS NOT NULL").join(known.select("id"), F.col("doc_id") == F.col("id"), "left_anti")
-    return fit(x, y, lambda weights, used: confident(pool, weights, used, taken), rounds)
+    pool = found.where("doc_id IS NOT NULL")
+    return fit(x, y, lambda weights, used: confident(pool, weights, used, taken, known), rounds)
 
 
 def fit(x: list[np.ndarray], y: np.ndarray, confident_rows, rounds: int = ROUNDS) -> Model:
