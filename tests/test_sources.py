@@ -269,3 +269,21 @@ def test_reject_reasons(spark):
     assert {k: v[0] for k, v in got.items()} == {"a": None, "b": "sample_rate", "c": "too_short", "d": "reference_length", "e": "not_finite", "f": "sample_rate", "g": "not_finite"}
     assert all(v[1] == [(False, 0.0), (False, 0.0)] for k, v in got.items() if k != "a")
     assert got["a"][1][1] == (False, 0.2)
+
+
+def test_joins_of_long_intervals(spark):
+    """Intervals far longer than the width asked for: all pairs, and few rows a bucketed interval."""
+    import random
+
+    from wavelens.operators import joins
+
+    rng = random.Random(7)
+    spans = lambda: [(c, i, s, s + rng.choice([0.0, 0.5, 90.0, 3000.0])) for i in range(60) for c, s in [(rng.randrange(3), rng.uniform(0, 5000))]]
+    left, right = spans(), spans()
+    a, b = spark.createDataFrame(left, "capture_id long, a_id long, a0 double, a1 double"), spark.createDataFrame(right, "capture_id long, b_id long, b0 double, b1 double")
+    got = [(r.a_id, r.b_id) for r in joins.overlap_join(a, b, "capture_id", ("a0", "a1"), ("b0", "b1"), 0.5).collect()]
+    assert sorted(got) == sorted((i, j) for c, i, s, e in left for d, j, t, f in right if c == d and s <= f and t <= e)
+    met = [(r.a_id, r.b_id) for r in joins.interval_join(a, b, "capture_id", "a0", "a1", "b0", 0.5).collect()]
+    assert sorted(met) == sorted((i, j) for c, i, s, e in left for d, j, t, _ in right if c == d and s <= t <= e)
+    width = joins._width(0.5, (a, "a0", "a1"))
+    assert joins._bucketed(a, "a0", "a1", width, "x").count() <= 3 * len(left) and joins._width(2.0, (a.where("false"), "a0", "a1")) == 2.0

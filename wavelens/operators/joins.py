@@ -3,6 +3,8 @@ the rows near each other in time, not the square of a capture's length."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,22 +23,37 @@ def asof(left: DataFrame, right: DataFrame, key: str, t: str, value: str, max_la
     return found.select("__l.*", F.when(near, F.col("__r.v")).alias(f"asof_{value}"), F.when(near, F.col("__r.t")).alias(f"asof_{t}"))
 
 
+def _width(least: float, *spans: tuple[DataFrame, str, str]) -> float:
+    """Width of buckets: the mean length of all spans, at least `least`. So intervals touch two buckets on average at most,
+    whatever their lengths."""
+    total, number = 0.0, 0
+    for df, start, end in spans:
+        length = F.col(end).cast("double") - F.col(start).cast("double")
+        found = df.where(length > 0).agg(F.sum(length), F.count("*")).first()
+        total, number = total + (found[0] or 0.0), number + found[1]
+    return max(least, total / number) if number and math.isfinite(total) else least
+
+
 def _bucketed(df: DataFrame, start: str, end: str, width: float, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, low: str, high: str, at: str, width: float) -> DataFrame:
-    """Pairs with low <= at <= high (low and high of left, at of right), equal in key. width: about a usual interval.
+def interval_join(left: DataFrame, right: DataFrame, key: str, low: str, high: str, at: str, width: float, fixed: bool = False) -> DataFrame:
+    """Pairs with low <= at <= high (low and high of left, at of right), equal in key. left's intervals are dealt to buckets
+    of their mean length, which a job of its own finds; a point lies in one bucket, so no pair appears twice.
 
-    left's intervals are dealt to buckets of that width; a point lies in one bucket, so no pair appears twice."""
+    width: of a bucket at least; with fixed, exactly (for intervals that are known to be no longer, which saves the job)."""
+    width = width if fixed else _width(width, (left, low, high))
     a = _bucketed(left.withColumnRenamed(key, "__k"), low, high, width, "__b")
     b = right.withColumn("__c", F.floor(F.col(at) / width))
     return a.join(b, (F.col("__k") == F.col(key)) & (F.col("__b") == F.col("__c")) & F.col(at).between(F.col(low), F.col(high))).drop("__k", "__b", "__c")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
-    """Pairs of overlapping intervals equal in key. Each pair is kept in the first bucket that both touch."""
+    """Pairs of overlapping intervals equal in key. Each pair is kept in the first bucket that both touch. Buckets are of the
+    mean length of both sides' intervals, and of width at least."""
     (a0, a1), (b0, b1) = left_span, right_span
+    width = _width(width, (left, a0, a1), (right, b0, b1))
     a = _bucketed(left.withColumnRenamed(key, "__k"), a0, a1, width, "__b")
     b = _bucketed(right, b0, b1, width, "__c")
     once = F.col("__b") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width)

@@ -62,7 +62,7 @@ def responses(sources: DataFrame, signal: DataFrame, path: Path) -> DataFrame:
     and robust deviation of what lies look_back_s before. Without samples there: 0, and noise of 1e-12 at least."""
     start = F.col("rise_s") + path.latency_min_s - path.before_s
     named = sources.select("capture_id", "id", (start - path.look_back_s).alias("__from"), start.alias("__start"), (F.col("rise_s") + max(path.late_s, path.latency_max_s)).alias("__to"))
-    near = interval_join(named, signal.select("capture_id", "t", "v"), "capture_id", "__from", "__to", "t", path.look_back_s + path.late_s)
+    near = interval_join(named, signal.select("capture_id", "t", "v"), "capture_id", "__from", "__to", "t", path.look_back_s + path.late_s, fixed=True)
     level = near.groupBy("capture_id", "id").agg(F.max(F.when(F.col("t") >= F.col("__start"), F.col("v"))).alias("peak"), F.median(F.when(F.col("t") < F.col("__start"), F.col("v"))).alias("baseline"))
     away = near.where(F.col("t") < F.col("__start")).join(level.select("capture_id", "id", "baseline"), ["capture_id", "id"]).groupBy("capture_id", "id").agg((1.4826 * F.median(F.abs(F.col("v") - F.col("baseline")))).alias("mad"))
     out = sources.select("capture_id", "id").join(level, ["capture_id", "id"], "left").join(away, ["capture_id", "id"], "left")
@@ -82,7 +82,7 @@ def merges(sources: DataFrame, outputs: DataFrame, path: Path) -> DataFrame:
 def ring_q(starts: DataFrame, signal: DataFrame, span_s: float, smooth: int = 1) -> DataFrame:
     """(capture_id, id, q) of starts(capture_id, id, start_s, base): from the logarithmic decrement of successive positive peaks
     within span_s (smoothed over `smooth` samples). Null under 20 samples, without two decays, or outside 0.2 to 100."""
-    near = interval_join(starts.withColumn("__to", F.col("start_s") + span_s), signal.select("capture_id", "t", "v"), "capture_id", "start_s", "__to", "t", span_s)
+    near = interval_join(starts.withColumn("__to", F.col("start_s") + span_s), signal.select("capture_id", "t", "v"), "capture_id", "start_s", "__to", "t", span_s, fixed=True)
     w = Window.partitionBy("capture_id", "id").orderBy("t")
     rows = near.withColumn("s", F.avg(F.col("v") - F.col("base")).over(w.rowsBetween(-(smooth // 2), smooth - 1 - smooth // 2))).withColumn("samples", F.count("*").over(Window.partitionBy("capture_id", "id")))
     tops = rows.withColumn("b", F.lag("s").over(w)).withColumn("a", F.lead("s").over(w)).where("samples >= 20 AND s > b AND s >= a AND s > 0")
@@ -103,7 +103,7 @@ def outcomes(sources: DataFrame, outputs: DataFrame, signal: DataFrame, scales:
     own = sources.select("capture_id", "id", "rise_s", width(sources).alias("width"))
     windows = own.select("capture_id", "id", "rise_s", "width", (F.col("rise_s") + path.latency_min_s).alias("__low"), (F.col("rise_s") + max(path.latency_max_s, path.late_s)).alias("__high"))
     heard = outputs.select("capture_id", F.col("id").alias("output"), F.col("rise_s").alias("o_rise"), width(outputs).alias("o_width"))
-    pairs = interval_join(windows, heard, "capture_id", "__low", "__high", "o_rise", max(path.latency_max_s, path.late_s))
+    pairs = interval_join(windows, heard, "capture_id", "__low", "__high", "o_rise", max(path.latency_max_s, path.late_s), fixed=True)
     due = F.col("o_rise") <= F.col("rise_s") + path.latency_max_s
     one = F.struct("o_rise", "output", "o_width")
     met = pairs.groupBy("capture_id", "id").agg(F.array_sort(F.collect_list(F.when(due, one))).alias("due"), F.min(F.when(~due, one)).alias("late"))  # outputs within one pulse's latency
