@@ -84,3 +84,10 @@ def test_peaks(spark, distance):
     for r in spectra.peaks(df, (0.0, 1e9), 1.2, 0.3, float(distance)).collect():
         got[r.ensemble].append(r.k)
     assert {e: sorted(k) for e, k in got.items()} == {e: plain_peaks(v, 1.2, 0.3, distance) for e, v in spectrums.items()}
+
+
+def test_lines_are_found_once(spark):
+    """What is left to run reads the spectral lines from a table: no step transforms the captures again."""
+    rows = [("e", i, [float((i * j) % 7) for j in range(32)], [float((i + j) % 5) for j in range(32)]) for i in range(6)]
+    df = spectra.common_mode(spark.createDataFrame(rows, "ensemble string, capture_id long, r1 array<double>, r2 array<double>"), 3200.0, (5.0, 1600.0), 1.0, 0.02, 1.0, 1.2)
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == df.select("hz").distinct().count()

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialise
 from .quantiles import quantiles
 
 #: Limits of the labels, and the smallest divisor.
@@ -89,13 +90,14 @@ def common_mode(captures: DataFrame, rate: float, band: tuple[float, float] = (5
     A row for each peak: ensemble, hz, mean_a1, mean_a2, gain (median over captures of a2 / a1 where channel 1 has the line),
     gain_mad (their median deviation, relative), coherence, phase_deg, occupancy1, occupancy2 (share of captures in which the line
     exceeds `occupied` times the capture's median amplitude in band) and label. Ensembles without peaks have no row."""
-    rows = lines(captures, rate)
-    spectrum = cross_spectrum(rows)
+    rows = materialise(lines(captures, rate))  # read several times; transforms and references are found once
+    spectrum = materialise(cross_spectrum(rows))
     at = peaks(spectrum, band, height, prominence, distance_hz)
     inside = rows.where((F.col("hz") >= band[0]) & (F.col("hz") <= band[1]))
     # A capture's own floor: over its lines, which lie in one row of few numbers.
     floors = inside.groupBy("ensemble", "capture_id").agg(F.median("a1").alias("floor1"), F.median("a2").alias("floor2"))
     met = inside.join(at, ["ensemble", "k"]).join(floors, ["ensemble", "capture_id"]).withColumn("on1", F.col("a1") > occupied * F.col("floor1")).withColumn("on2", F.col("a2") > occupied * F.col("floor2"))
+    met = materialise(met.select("ensemble", "k", "a1", "a2", "on1", "on2"))
     share = met.groupBy("ensemble", "k").agg(F.avg(F.col("on1").cast("double")).alias("occupancy1"), F.avg(F.col("on2").cast("double")).alias("occupancy2"))
     ratios = met.where("on1").select("ensemble", "k", F.expr(f"a2 / greatest(a1, {TINY!r}D)").alias("ratio"))
     gain = quantiles(ratios, ["ensemble", "k"], "ratio", [0.5]).select("ensemble", "k", F.col("q")[0].alias("gain"))
