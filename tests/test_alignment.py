@@ -109,3 +109,13 @@ def test_lags(spark, block, monkeypatch):
             assert np.allclose(lags[c], plain_best(x, y, 8), atol=1e-6) and np.allclose(fits[c], plain_fit(x, y, 8), atol=1e-6)
     assert lags[11] == (-8, 0.0)
     assert alignment.best_lag(rows.where("false"), 3).count() == 0
+
+
+def test_local_affine_sorts_once(spark):
+    rng = np.random.default_rng(2)
+    some = pairs(spark, {c: (rng.normal(0, 1, 30), rng.normal(0, 1, 30)) for c in (1, 2, None)})
+    found = alignment.local_affine(some, 5)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    prepared = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and prepared.count("Sort [") == 1 and prepared.count("Exchange hashpartitioning") == 1
+    assert {r.capture_id for r in found.collect()} == {1, 2} and found.count() == 60

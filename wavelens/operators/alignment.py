@@ -16,11 +16,12 @@ CORR_FLOOR, FIT_FLOOR, WC2_WEIGHT = 1e-12, 1e-18, 0.25
 
 
 def _centred(pairs: DataFrame) -> DataFrame:
-    """pairs with void ones as nulls on both sides, and cx, cy: less the capture's means, against cancellation in sums."""
+    """pairs with void ones as nulls on both sides, and cx, cy: less the capture's means, against cancellation in sums. Rows
+    without a capture are left out."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    clean = pairs.select("capture_id", "n", F.when(ok, F.col("x").cast("double")).alias("x"), F.when(ok, F.col("y").cast("double")).alias("y"))
-    mean = clean.groupBy("capture_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    return clean.join(mean, "capture_id").withColumn("cx", F.col("x") - F.col("mx")).withColumn("cy", F.col("y") - F.col("my"))
+    whole = Window.partitionBy("capture_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    clean = pairs.where("capture_id IS NOT NULL").select("capture_id", "n", F.when(ok, F.col("x").cast("double")).alias("x"), F.when(ok, F.col("y").cast("double")).alias("y"))
+    return clean.withColumns({"mx": F.avg("x").over(whole), "my": F.avg("y").over(whole)}).withColumn("cx", F.col("x") - F.col("mx")).withColumn("cy", F.col("y") - F.col("my"))
 
 
 def local_affine(pairs: DataFrame, width: int) -> DataFrame:
@@ -29,7 +30,8 @@ def local_affine(pairs: DataFrame, width: int) -> DataFrame:
 
     A sample is valid if a whole window lies around it, without void pairs, and the variance of x in it exceeds 3 % of the
     capture's median (and 1e-9); elsewhere all four are null. For that median, windows over a capture's ends repeat the first
-    and last sample. Five window sums in one pass over sorted captures; moments are about the capture's means."""
+    and last sample. Means, window sums and the median all run over one sort by capture, nothing is joined; moments are about the
+    capture's means."""
     if width % 2 == 0 or width < 3:
         raise ValueError("width must be odd and at least 3")
     half = width // 2
@@ -46,8 +48,7 @@ def local_affine(pairs: DataFrame, width: int) -> DataFrame:
     cx, cy = F.col("cx"), F.col("cy")
     rows = rows.select("capture_id", "n", "size", "mx", "my", held.alias("held"), mean(cx).alias("ax"), mean(cy).alias("ay"), mean(cx * cx).alias("axx"), mean(cy * cy).alias("ayy"), mean(cx * cy).alias("axy"))
     rows = rows.withColumn("var_x", F.when(F.col("held") == width, F.greatest(F.col("axx") - F.col("ax") * F.col("ax"), F.lit(0.0))))
-    floor = rows.groupBy("capture_id").agg(F.greatest(EXCITED * F.median("var_x"), F.lit(EPSILON)).alias("floor"))
-    rows = rows.join(floor, "capture_id").withColumn("valid", F.coalesce((F.col("var_x") > F.col("floor")) & (F.col("n") >= half) & (F.col("n") < F.col("size") - half), F.lit(False)))
+    rows = rows.withColumn("floor", F.greatest(EXCITED * F.median("var_x").over(Window.partitionBy("capture_id")), F.lit(EPSILON))).withColumn("valid", F.coalesce((F.col("var_x") > F.col("floor")) & (F.col("n") >= half) & (F.col("n") < F.col("size") - half), F.lit(False)))
     rows = rows.withColumn("var_y", F.greatest(F.col("ayy") - F.col("ay") * F.col("ay"), F.lit(0.0))).withColumn("cov", F.col("axy") - F.col("ax") * F.col("ay"))
     rows = rows.withColumn("b", F.col("cov") / (F.col("var_x") + EPSILON)).withColumn("x_", F.col("ax") + F.col("mx")).withColumn("y_", F.col("ay") + F.col("my"))
     corr = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("cov") / (F.sqrt(F.col("var_x") * F.col("var_y")) + EPSILON)))
