@@ -287,3 +287,15 @@ def test_joins_of_long_intervals(spark):
     assert sorted(met) == sorted((i, j) for c, i, s, e in left for d, j, t, _ in right if c == d and s <= t <= e)
     width = joins._width(0.5, (a, "a0", "a1"))
     assert joins._bucketed(a, "a0", "a1", width, "x").count() <= 3 * len(left) and joins._width(2.0, (a.where("false"), "a0", "a1")) == 2.0
+
+
+def test_first_lines_without_a_sort_of_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n\n﻿x,y\n" + "1,2\n" * 5000)
+    (tmp_path / "b.csv").write_text('z,"q"\n3,4\n')
+    (tmp_path / "c.csv").write_text("")
+    text = spark.read.text(str(tmp_path)).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    found = campaign._first_lines(text)
+    assert {r.f.rsplit("/", 1)[1]: r.value for r in found.collect()} == {"a.csv": "﻿x,y", "b.csv": 'z,"q"'}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan
+    assert sorted(len(g.columns) for g in campaign.read_groups(spark, str(tmp_path))) == [4, 4]

@@ -26,13 +26,13 @@ def read_groups(spark: SparkSession, path: str | list[str], kind: str | None = N
 
     Columns as strings (null: empty), without a byte order mark; with ordinal, the order of rows by file name and place in
     the file, and source_file. Quoted fields may hold commas, quotes and line ends; for that a file is one task's work.
-    Headers are found in a pass over the first blocks; the driver holds the list of files only. Raises if a file misses a
+    Headers are found in two passes over the first blocks; the driver holds the list of files only. Raises if a file misses a
     required column of kind."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("__file")).orderBy("path").toPandas()
     files["__at"] = range(len(files))
     order = F.broadcast(spark.createDataFrame(files[["__file", "__at"]].values.tolist(), "__file string, __at bigint"))  # as long as Spark's own list
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    first = {r.f: r.line.lstrip("\ufeff") for r in text.where("b = 0 AND value <> ''").groupBy("f").agg(F.min_by("value", "i").alias("line")).collect()}
+    first = {r.f: r.value.lstrip("\ufeff") for r in _first_lines(text).collect()}
     out = []
     for line in dict.fromkeys(first[f] for f in files["__file"] if f in first):  # an empty file has no header and no rows
         names = [c.strip() or f"column_{i}" for i, c in enumerate(next(csv.reader([line])))]
@@ -49,6 +49,13 @@ def read_groups(spark: SparkSession, path: str | list[str], kind: str | None = N
     return out
 
 
+def _first_lines(text: DataFrame) -> DataFrame:
+    """(f, value) of lines (value, f file, b start of block, i number): each file's first line that is not empty. The numbers are
+    found first, then their lines: an aggregate of the lines themselves would sort whole blocks."""
+    head = text.where("b = 0 AND value <> ''").groupBy("f").agg(F.min("i").alias("i"))
+    return text.where("b = 0").join(F.broadcast(head), ["f", "i"]).select("f", "value")
+
+
 def _name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
