@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from wavelens import roundtrips
 from wavelens.operators import cases, quantiles, tuning
 from wavelens.sources import campaign, scope, writers
 from wavelens.streaming import sessions
@@ -299,3 +300,8 @@ def test_first_lines_without_a_sort_of_lines(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "HashAggregate" in plan
     assert sorted(len(g.columns) for g in campaign.read_groups(spark, str(tmp_path))) == [4, 4]
+
+
+def test_capture_documents_take_the_scores_once(spark):
+    plan = roundtrips.q119_capture_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join ") == 1

@@ -120,9 +120,11 @@ def q118_summary_tables(spark, sf_dir):
 def q119_capture_documents(spark, sf_dir):
     """Nested documents and maps as JSON with keys in order, read back."""
     rows = views.scores(spark, sf_dir).withColumn("rank", F.expr("row_number() OVER (PARTITION BY capture_id ORDER BY confidence DESC, signature_id)"))
-    nested = writers.capture_documents(rows.select("capture_id", "rank", "signature_id")).select("capture_id", F.from_json("document", "results array<struct<rank:int,signature_id:string>>").alias("d"))
-    labels = rows.groupBy("capture_id").agg(F.create_map(F.lit("b"), F.max("truth"), F.lit("a"), F.min("signature_id")).alias("m")).select("capture_id", writers.stable_json("m").alias("labels"))
-    return nested.join(labels, "capture_id").select("capture_id", F.array_join(F.transform("d.results", lambda x: x.signature_id), ">").alias("ranked"), "labels", F.sha2(F.col("capture_id").cast("string"), 256).alias("id_hash"))
+    nested = writers.capture_documents(rows.select("capture_id", "rank", "signature_id", "truth")).select("capture_id", F.from_json("document", "results array<struct<rank:int,signature_id:string,truth:string>>").alias("d"))
+    # The labels are taken from the documents: a second aggregate of the scores would hold all its sorts beside those of the first.
+    signatures, truths = F.transform("d.results", lambda x: x.signature_id), F.transform("d.results", lambda x: x.truth)
+    marked = nested.withColumn("m", F.create_map(F.lit("b"), F.array_max(truths), F.lit("a"), F.array_min(signatures)))
+    return marked.select("capture_id", F.array_join(signatures, ">").alias("ranked"), writers.stable_json("m").alias("labels"), F.sha2(F.col("capture_id").cast("string"), 256).alias("id_hash"))
 
 
 @query("""WITH e AS (SELECT CASE WHEN p_size % 7 = 0 THEN 'gear-' || p_partkey ELSE 's' || p_partkey END AS seed_id, CASE p_size % 4 WHEN 0 THEN 'power_quality' WHEN 1 THEN 'digital_timing' WHEN 2 THEN 'other' END AS family FROM part)
