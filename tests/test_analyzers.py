@@ -60,3 +60,12 @@ def test_pulse_table(spark):
     rows = [(c, n, float(n), float(v)) for c, vs in {1: [0, 3, 2, 4, 1, 0, 5], 2: [5, 0, 3, 0], 3: [2, 0, 2, 2.9]}.items() for n, v in enumerate(vs)]
     out = spark.sql("SELECT * FROM some_pulses(TABLE({df}) PARTITION BY capture_id ORDER BY n)", df=spark.createDataFrame(rows, "capture_id long, n long, t double, v double"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 1.0, 4.0, 4.0), (2, 1, 2.0, 3.0, 3.0)]
+
+
+def test_analyzers_see_slices(spark):
+    """Frames that a retry keeps do not grow with Arrow's batches: no batch an analyzer sees is longer than a slice."""
+    registry = analyzers.Registry()
+    registry.register_signature("size", "x", lambda batch: batch.assign(matched=True, confidence=0.5, reason=str(len(batch)))[["capture_id", "matched", "confidence", "reason"]])
+    found = analyzers.analyze(spark.range(3000).withColumnRenamed("id", "capture_id").coalesce(1), registry).collect()
+    assert sorted(r.capture_id for r in found) == list(range(3000)) and all(r.error is None for r in found)
+    assert max(int(r.reason) for r in found) == 256

@@ -1,7 +1,7 @@
 """Signatures that bring their own code: registered by name, run over batches of captures, failures kept as results.
 
 An analyzer takes a pandas batch of captures and gives a row or several (modes) for each. All analyzers see a batch in
-one pass, nothing is shuffled. Where one fails, its batch is tried again row by row, so only the captures it cannot take
+one pass, nothing is shuffled; a batch is a slice of what Arrow brings. Where one fails, its batch is tried again row by row, so only the captures it cannot take
 get an error row; the job and the other analyzers go on.
 """
 
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 RESULT = "capture_id bigint, signature_id string, family string, mode string, matched boolean, confidence double, reason string, error string"
 FAILED = "signature_runtime_error"
 
+#: Captures that analyzers see at a time: where one fails, each of them gets a frame of its own.
+SLICE = 256
+
 
 @dataclass(frozen=True)
 class Analyzer:
@@ -74,8 +77,8 @@ def analyze(captures: DataFrame, registry: Registry) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if len(batch):
-                yield results(batch, analyzers)
+            for at in range(0, len(batch), SLICE):
+                yield results(batch.iloc[at : at + SLICE], analyzers)
 
     return captures.mapInPandas(run, RESULT)
 
