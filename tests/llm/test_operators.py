@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -16,7 +17,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from wavelens.llm import byte_bpe, embedding_dedup, kd_search, line_dedup, packing, quality, secret_scan, simhash_dedup, token_counts, toxicity
-from wavelens.llm.common import connected_components
+from wavelens.llm.common import connected_components, shared_dir
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "  \n\n a\x1c\x1d b\x85\xa0c ", "a" * 3000, "ΑΣ Σ ΟΔΟΣ. İstanbul", "日本語 テキスト 123४५ ½ x²", "<|endoftext|> hello<|startoftext|>", "'S it's I'LL we'll  ", "🎉🎉 z​z", "é ﬁ œuvre", "tab\t\tbb   cc\r\n\r\n", "x y " * 20000]
@@ -581,3 +582,13 @@ def test_line_fingerprints(spark):
     for i, x in enumerate(lines):
         hashes = [r.h % (1 << 64) for r in spark.createDataFrame([(w,) for w in dict.fromkeys(x.split()[:200])], "w string").selectExpr("xxhash64(w) AS h").collect()] if i != 3 else []
         assert got.get(i) == (None if i == 3 else sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+
+
+def test_line_tables_go(spark):
+    """Of the tables written on the way, only that of representatives still holds texts of lines; none holds fingerprints or pieces."""
+    tables = shared_dir(spark).removeprefix("file://") + "/tables"
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta\nsomething else entirely here"), (2, "alpha beta gamma delta epsilon zita\nsomething else entirely here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.pos) for r in line_dedup.repeated_lines(docs).collect()) == [(2, 0), (2, 1)]
+    columns = [spark.read.parquet(f"{tables}/{t}").columns for t in os.listdir(tables) if t not in before]
+    assert [c for c in columns if "norm" in c] == [["id", "len", "norm"]] and not [c for c in columns if "value" in c]
