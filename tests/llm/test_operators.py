@@ -592,3 +592,42 @@ def test_line_tables_go(spark):
     assert sorted((r.doc_id, r.pos) for r in line_dedup.repeated_lines(docs).collect()) == [(2, 0), (2, 1)]
     columns = [spark.read.parquet(f"{tables}/{t}").columns for t in os.listdir(tables) if t not in before]
     assert [c for c in columns if "norm" in c] == [["id", "len", "norm"]] and not [c for c in columns if "value" in c]
+
+
+def test_unlike_lines_of_a_block_are_known_by_letters(spark, monkeypatch):
+    """Lines that share a phrase are alike by their pieces; few of their pairs are compared by text, and all links are found, however
+    blocks are split, searched in slices and verified in shares."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    phrase = "and so it came to pass that all of them went home again"
+    texts = [f"{' '.join(word() for _ in range(10))} {phrase} {' '.join(word() for _ in range(10))}"[:150] for _ in range(60)]
+    texts += [edited(rng, t, 8) for t in texts[:12]]
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(line_dedup, "LARGE", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {r.doc_id for r in line_dedup.line_report(docs).collect() if r.n_dropped}
+    want = found()
+    assert want == set(range(60, 72)) and sum(compared) < 300
+    monkeypatch.setattr(line_dedup, "SLICE_ROWS", 400)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 3)
+    assert found() == want
+
+
+def test_letter_bound(spark):
+    """A pair that edits can account for is never refused, and no count of a letter runs over."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in (20, 60, 300, 4000):
+        for k in range(8):
+            line = "".join(rng.choice(list("etaoin shrdlu\u00e9,.")) for _ in range(n - 1)) + "e"
+            rows += [(len(rows), line), (len(rows) + 1, edited(rng, line, n // 11)), (len(rows) + 2, line.replace("e", "x"))]
+    rows += [(len(rows), "e" * 900), (len(rows) + 1, "e" * 850), (len(rows) + 2, "t" * 900)]
+    lines = spark.createDataFrame([(i, len(t), t) for i, t in rows], "id long, len int, norm string")
+    both = lines.select("id", "len").join(line_dedup.lettered(lines), "id")
+    side = lambda x: both.selectExpr(*(f"{c} AS {x}{c}" for c in both.columns))
+    passed = {(r.a_id, r.b_id) for r in side("a_").crossJoin(side("b_")).where(line_dedup._letters("a_", "b_", 0.9)).collect()}
+    for i in range(0, len(rows), 3):
+        assert {(i, i + 1), (i + 1, i), (i, i)} <= passed
+    last = len(rows) - 3
+    assert (last, last + 2) not in passed and (last + 2, last) not in passed
