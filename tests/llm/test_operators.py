@@ -200,6 +200,31 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(empty(df)).count() == 0
 
 
+def test_embedding_waves(spark, monkeypatch):
+    """Vectors without clusters, whose cells prune little: waves hold a bounded number of rows of blocks, and lose no link."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (260, 8)).astype(np.float32)
+    v = np.concatenate([base, base[:40] + rng.normal(0, 0.1, (40, 8)).astype(np.float32)])
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = roots(len(v), zip(*np.nonzero(near), strict=True))
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    sent, pairs = [], embedding_dedup.block_pairs
+
+    def noted(*a):
+        out = pairs(*a)
+        sent.append(out.selectExpr("sum(size(rep))").first()[0])
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "block_pairs", noted)
+    monkeypatch.setattr(embedding_dedup, "WAVE", 1)
+    monkeypatch.setattr(embedding_dedup, "BLOCKS", (8, 16))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, cell_rows=30).collect()}
+    assert got == {i: (int(near[i].sum()), root[i]) for i in range(len(v))}
+    assert len(sent) >= 5 and max(sent) < sum(sent) / 3
+
+
 def plain_fingerprint(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
     if not words:

@@ -2,7 +2,8 @@
 
 A vector also probes each other cell that may hold a partner: one whose nearest members are no farther than the
 threshold allows, by the cell's radius and by the distance to the plane between both centres. So no link across
-cells is lost. Equal vectors are one vector with a multiplicity throughout.
+cells is lost. Equal vectors are one vector with a multiplicity throughout. Cells are searched in waves, and a wave's
+shuffle files go before the next one begins; so disk follows the input even where vectors without clusters probe most cells.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, let_go, materialise
 from .pairing import Union, block_pairs, sides
 
-CELL_ROWS = 4096
+CELL_ROWS = 16384
 MAX_CELLS = 1024
 SAMPLE = 20_000
-BLOCK = 2048
+
+#: Rows of a block at least and at most: a row is shuffled once for each block that its own meets.
+BLOCKS = 2048, 16384
+
+#: Vectors' components that a wave shuffles; as many as all vectors have, if these are more.
+WAVE = 32_000_000
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -52,17 +58,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str =
     The centres are fitted on a bounded sample (sample rows); all rows are dealt to cells and compared.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"  # as narrow as they came
+    base = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast(kind).alias("v"))
     good = "v IS NOT NULL AND size(v) > 0 AND forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity')) AND exists(v, c -> c <> 0)"
     base = base.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
-    base = base.withColumn("v", F.expr("if(good, transform(v, c -> c + 0.0D), NULL)"))
+    base = base.withColumn("v", F.expr("if(good, transform(v, c -> c + 0.0D), NULL)").cast(kind))
     distinct = base.where("good").groupBy("v").agg(F.count("*").alias("mult"), F.min("vec_id").alias("least"))
     distinct = materialise(distinct.withColumn("rep", F.monotonically_increasing_id()))
     dims = [r[0] for r in distinct.select(F.size("v")).distinct().collect()]  # lengths of vectors, usually one
     edges, counts = [], []
     for dim in dims:
         rows = distinct.where(F.size("v") == dim) if len(dims) > 1 else distinct
-        found = materialise(_links(rows, dim, threshold, cell_rows, sample))
+        found = _links(rows, dim, threshold, cell_rows, sample)
         counts.append(found.groupBy("rep").agg(F.sum("n").alias("n")))
         edges.append(found.selectExpr("rep AS a", "root AS b").distinct())
     if not dims:
@@ -94,7 +101,7 @@ def _links(rows: DataFrame, dim: int, threshold: float, cell_rows: int, sample:
 
     def homes(batches):
         for pdf in batches:
-            sims = unit(np.array(pdf.v.tolist())) @ centres.T
+            sims = unit(np.array(pdf.v.tolist(), float)) @ centres.T
             yield pd.DataFrame({"cell": sims.argmax(1), "far": np.arccos(np.clip(sims.max(1), -1, 1))})
 
     radii = np.zeros(len(centres))
@@ -104,7 +111,7 @@ def _links(rows: DataFrame, dim: int, threshold: float, cell_rows: int, sample:
 
     def assign(batches):
         for pdf in batches:
-            sims = unit(np.array(pdf.v.tolist())) @ centres.T
+            sims = unit(np.array(pdf.v.tolist(), float)) @ centres.T
             home = sims.argmax(1)
             own = sims[np.arange(len(home)), home]
             reach = np.arccos(np.clip(sims, -1, 1)) <= angle + radii + 1e-9
@@ -112,15 +119,15 @@ def _links(rows: DataFrame, dim: int, threshold: float, cell_rows: int, sample:
             reach &= np.arange(len(centres)) > home[:, None]
             yield pdf.assign(cell=home, probes=[np.flatnonzero(r).astype(np.int32) for r in reach])[["rep", "v", "mult", "cell", "probes"]]
 
-    dealt = rows.select("rep", "v", "mult").mapInPandas(assign, "rep bigint, v array<double>, mult bigint, cell int, probes array<int>")
-    groups = block_pairs(dealt, "rep", BLOCK)
+    dealt = materialise(rows.select("rep", "v", "mult").mapInPandas(assign, f"rep bigint, v {rows.schema['v'].dataType.simpleString()}, mult bigint, cell int, probes array<int>"))
+    block = min(BLOCKS[1], max(BLOCKS[0], n // 8))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         rep, a, b = sides(pdf, "rep")
         v, mult, same = unit(sides(pdf, "v")[0].astype(float)), sides(pdf, "mult")[0].astype(float), pdf["x"].iloc[0] == pdf["y"].iloc[0]
         links, union = np.zeros(len(v)), Union(len(v))
-        for at in range(0, len(a), 512):
-            some = a[at : at + 512]
+        for at in range(0, len(a), 256):
+            some = a[at : at + 256]
             near = v[some] @ v[b].T >= threshold
             if same:
                 near[np.arange(len(some)), at + np.arange(len(some))] = False
@@ -133,4 +140,26 @@ def _links(rows: DataFrame, dim: int, threshold: float, cell_rows: int, sample:
         linked = np.flatnonzero(links > 0)
         return pd.DataFrame({"rep": rep[linked], "n": links[linked].astype(np.int64), "root": rep[union.root[linked]]})
 
-    return groups.groupBy("cell", "x", "y").applyInPandas(compare, "rep bigint, n bigint, root bigint")
+    found = None
+    for cells in waves(dealt, block, max(WAVE, n * dim) // dim):
+        these = f"array({', '.join(map(str, cells))})"
+        some = dealt.selectExpr("rep", "v", "mult", f"if(array_contains({these}, cell), cell, NULL) AS cell", f"array_intersect(probes, {these}) AS probes").where("cell IS NOT NULL OR size(probes) > 0")
+        links = materialise(block_pairs(some, "rep", block).groupBy("cell", "x", "y").applyInPandas(compare, "rep bigint, n bigint, root bigint"))
+        found = links if found is None else found.union(links)
+        let_go(rows.sparkSession)
+    return found
+
+
+def waves(dealt: DataFrame, block: int, most: int) -> list[list[int]]:
+    """Cells of rows(cell, probes) in groups whose pairs of blocks hold about most rows; a cell is not split."""
+    sides = dealt.select("cell", F.lit(1).alias("m"), F.lit(0).alias("p")).union(dealt.select(F.explode("probes"), F.lit(0), F.lit(1)))
+    out, left = [], 0
+    for r in sides.groupBy("cell").agg(F.sum("m").alias("m"), F.sum("p").alias("p")).where("m > 0").orderBy("cell").collect():  # MAX_CELLS rows at most
+        members, probes = -(-r.m // block), -(-r.p // block)
+        rows = r.m * (members + probes) + r.p * members
+        if not out or rows > left:
+            out.append([])
+            left = most
+        out[-1].append(r.cell)
+        left -= rows
+    return out
